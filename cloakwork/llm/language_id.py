@@ -1,8 +1,10 @@
 """Language identification by compression.
 
 For each learned language there is a zstandard raw-content dictionary of sampled text; a text belongs to the language
-whose dictionary compresses it to the fewest bytes. The margin to the second is judged against what the text itself
-takes: below `narrow` the decision counts as rejected.
+whose dictionary compresses it to the fewest bytes; case, digits and punctuation are left out of both. Where the second-best
+size is larger by no more than `narrow` of the best, a slower level with shorter matches decides, and in a tie the
+language with more learned rows. A text of at least JUDGED letters whose margin is still below `narrow` is rejected;
+shorter texts can't show a margin and pass.
 
 A null text, or one without a letter, is `und`, score 0, rejected; so is any text where nothing could be learned.
 Repeated rows are rows of their own; an empty table gives an empty result; other columns are ignored.
@@ -21,13 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 #: Learning takes for each language the first SAMPLE_CHARS characters of at most SAMPLE_TEXTS labelled texts.
-SAMPLE_TEXTS = 64
-SAMPLE_CHARS = 2_000
-LEVEL = 3
-#: Bytes by which the second-best language must be larger, as a share of the bytes that the best one takes.
-NARROW = 0.0
+SAMPLE_TEXTS = 128
+SAMPLE_CHARS = 4_000
+LEVEL, TIE_LEVEL = 3, 19
+#: Share of the best size by which the second-best must be larger, in texts of at least so many letters.
+NARROW, JUDGED = 0.005, 200
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_OTHER = re.compile(r"[\W\d_]+")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -35,42 +37,59 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce((F.crc32(doc_id.cast("string").cast("binary")) % 4) == 2, F.lit(False))
 
 
+def plain(text: str) -> bytes:
+    """Lower-case letters, words parted by single spaces."""
+    return _OTHER.sub(" ", text.lower()).strip().encode()
+
+
 def learn(docs: DataFrame) -> dict[str, bytes]:
-    """The dictionary of each language, from a bounded sample of rows that aren't held out.
+    """The dictionary of each language, those with more rows first, from a bounded sample of rows that aren't held out.
 
     Rows are dealt to SAMPLE_TEXTS slots of each language by a hash; a slot takes its row of least hash. Only
-    (language, slot) minima are shuffled, one for each task and slot.
+    (language, slot) minima and counts are shuffled, one for each task and slot.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
     hashed = rows.select("lang", "text", F.xxhash64("doc_id").alias("h"))
-    slot = F.pmod(F.col("h"), F.lit(SAMPLE_TEXTS))
-    picks = hashed.groupBy("lang", slot.alias("slot")).agg(F.min("h").alias("h")).select("lang", "h")
-    part = hashed.join(F.broadcast(picks), ["lang", "h"], "left_semi").select("lang", "h", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    slots = hashed.groupBy("lang", F.pmod(F.col("h"), F.lit(SAMPLE_TEXTS)).alias("slot")).agg(F.min("h").alias("h"), F.count("*").alias("n")).collect()
+    counts: dict[str, int] = {}
+    for r in slots:
+        counts[r["lang"]] = counts.get(r["lang"], 0) + r["n"]
+    if not counts:
+        return {}
+    picked = docs.sparkSession.createDataFrame([(r["lang"], r["h"]) for r in slots], "lang string, h long")
+    part = hashed.join(F.broadcast(picked), ["lang", "h"], "left_semi").select("lang", "h", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
     texts = part.groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("lang", "h").collect()
-    out: dict[str, bytes] = {}
-    for r in texts:
-        out[r["lang"]] = out.get(r["lang"], b"") + r["text"].encode() + b"\n"
-    return out
+    return {g: b"\n".join(plain(r["text"]) for r in texts if r["lang"] == g) for g in sorted(counts, key=lambda g: (-counts[g], g))}
+
+
+def _coder(dictionary: bytes, level: int):
+    prepared = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    prepared.precompute_compress(level=level)
+    return zstandard.ZstdCompressor(level=level, dict_data=prepared, write_content_size=False, write_checksum=False, write_dict_id=False).compress
 
 
 class Classifier:
     def __init__(self, dictionaries: dict[str, bytes], narrow: float = NARROW):
-        self.langs, self.narrow, self.coders = sorted(dictionaries), narrow, []
-        for lang in self.langs:
-            prepared = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            prepared.precompute_compress(level=LEVEL)
-            self.coders.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=prepared, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
+        self.dictionaries, self.langs, self.narrow = dictionaries, list(dictionaries), narrow
+        self.coders = [_coder(d, LEVEL) for d in dictionaries.values()]
+        self.slow: list = []
+
+    @staticmethod
+    def _margin(sizes: list[tuple[int, int]]) -> float:
+        return (sizes[1][0] - sizes[0][0]) / sizes[0][0] if len(sizes) > 1 else 1.0
 
     def classify(self, text: str | None) -> tuple[str, float, float, bool]:
-        """Language, score in 0 to 1, relative margin and whether the margin is too narrow."""
-        if text is None or not self.langs or not _LETTER.search(text):
+        """Language, score in 0 to 1, relative margin and whether the text is rejected."""
+        body = plain(text or "")
+        if not body or not self.langs:
             return UNDETERMINED, 0.0, 0.0, True
-        body = text.encode()
-        sizes = sorted((len(code(body)), lang) for code, lang in zip(self.coders, self.langs))
-        best, lang = sizes[0]
-        margin = (sizes[1][0] - best) / best if len(sizes) > 1 else 1.0
+        sizes = sorted((len(code(body)), i) for i, code in enumerate(self.coders))
+        if self._margin(sizes) <= self.narrow:
+            self.slow = self.slow or [_coder(d, TIE_LEVEL) for d in self.dictionaries.values()]
+            sizes = sorted((len(code(body)), i) for i, code in enumerate(self.slow))
+        best, margin = sizes[0][0], self._margin(sizes)
         score = 1 / sum(math.exp(-min(50.0, (s - best) / 4)) for s, _ in sizes)
-        return lang, score, margin, margin < self.narrow
+        return self.langs[sizes[0][1]], score, margin, margin < self.narrow and len(body) >= JUDGED
 
 
 def classifier_udf(dictionaries: dict[str, bytes], narrow: float = NARROW):
