@@ -437,3 +437,28 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:
     """Components of all documents under a Jaccard similarity of 0.8 of their 5-word shingles."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+         ELSE list_sort(list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))) END AS sh FROM w
+), g AS (
+  SELECT sh, min(doc_id) AS rep, len(sh) AS n FROM s WHERE len(sh) > 0 GROUP BY sh
+), u AS (
+  SELECT rep, n, unnest(sh) AS h FROM g
+), links AS (
+  SELECT a.rep AS x, b.rep AS y FROM u a JOIN u b ON a.h = b.h AND a.rep <> b.rep
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT rep AS x, rep AS y FROM g
+  UNION
+  SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+), c AS (
+  SELECT x, min(y) AS component FROM reach GROUP BY x
+)
+SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, coalesce(c.component, s.doc_id) AS component_id
+FROM s LEFT JOIN g ON len(s.sh) > 0 AND s.sh = g.sh LEFT JOIN c ON c.x = g.rep
+"""

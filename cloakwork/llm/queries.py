@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from cloakwork.llm import exact_dedup
+from cloakwork.llm import exact_dedup, ngram_join
 from cloakwork.llm.exact_dedup import op8_exact_dedup
 from cloakwork.llm.language_id import op5_language_id
 from cloakwork.llm.mixing import op4_mix_sources
 from cloakwork.llm.ngram_join import op3_ngram_join
 from cloakwork.llm.piece_bpe import op2_piece_round_trip
+from cloakwork.llm.quality import op6_quality
 from cloakwork.llm.sharding import op1_kd_shards
 from cloakwork.llm.tiff_media import op10_tiff_media
 from cloakwork.llm.token_store import op9_token_store
+from cloakwork.llm.toxicity import op7_toxicity
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_kd_shards, op2_piece_round_trip, op3_ngram_join, op4_mix_sources, op5_language_id, op8_exact_dedup, op9_token_store, op10_tiff_media)
-}
+    for f in (
+        op1_kd_shards, op2_piece_round_trip, op3_ngram_join, op4_mix_sources, op5_language_id,
+        op6_quality, op7_toxicity, op8_exact_dedup, op9_token_store, op10_tiff_media,
+    )
+}
 
-ORACLE_SQL = {"op8_exact_dedup": exact_dedup.OP8_SQL}
+ORACLE_SQL = {"op3_ngram_join": ngram_join.OP3_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}

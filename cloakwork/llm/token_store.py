@@ -139,10 +139,12 @@ class Store:
     path: str
 
     def table(self, spark: SparkSession, name: str) -> DataFrame:
-        return spark.read.schema(_SCHEMAS[name]).parquet(f"{self.path}/{_FOLDERS[name]}")
+        if kind := _KINDS.get(name):
+            return spark.read.schema(f"{_SCHEMAS[name]}, kind string").parquet(f"{self.path}/parts").where(F.col("kind") == kind).drop("kind")
+        return spark.read.schema(_SCHEMAS[name]).parquet(f"{self.path}/{name}")
 
 
-_FOLDERS = {"chunks": "parts/kind=chunk", "unordered": "parts/kind=recipe", "recipes": "recipes", "manifest": "manifest"}
+_KINDS = {"chunks": "chunk", "unordered": "recipe"}
 _RECIPE = "doc_id long, n_tokens long, digests array<binary>, sizes array<int>"
 _ROW = f"kind string, digest binary, body binary, source_row long, {_RECIPE}"
 _SCHEMAS = {

@@ -23,22 +23,26 @@ from cloakwork.llm.language_id import held_out
 from cloakwork.llm.words import mix, slices, text_bytes, word_hashes
 
 BITS = 20
-#: At most so many labelled rows, and characters of each, are learned from.
-SAMPLE_ROWS, SAMPLE_CHARS, PASSES = 20_000, 20_000, 3
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 0.5, 1.0
+#: At most so many labelled rows are learned from, their whole texts, so many times over.
+SAMPLE_ROWS, PASSES = 20_000, 4
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 6.0, 0.1
 DECIDE = 0.3
 SLICE_BYTES = 2_000_000
 _KINDS = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
+#: ASCII signs part words as spaces do.
+_LETTERS = np.array([b if b > 127 or chr(b).isalnum() else 32 for b in range(256)], np.uint8)
+
+
 def features(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """Distinct coordinates of each row."""
-    words, at = word_hashes(data, offsets)
+    words, at = word_hashes(_LETTERS[data], offsets)
     shift = np.uint64(64 - BITS)
     one = (mix(words * _KINDS[0]) >> shift).astype(np.int64)
     two = (mix(words[:-1] * _KINDS[1] + words[1:]) >> shift).astype(np.int64)
     skip = (mix(words[:-2] * _KINDS[2] + words[2:]) >> shift).astype(np.int64)
-    return [np.unique(np.concatenate((one[a:b], two[a : max(a, b - 1)], skip[a : max(a, b - 2)]))) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+    return [np.unique(np.concatenate((one[a:b], two[a : max(a, b - 1)], skip[a : max(a, b - 2)]))).astype(np.int32) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
 class Ftrl:
@@ -84,14 +88,14 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     share = min(1.0, 0.97 * SAMPLE_ROWS / max(1, total))
     least = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))
     picked = marked.where(least).limit(SAMPLE_ROWS)
-    sample = docs.where(least).select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).join(F.broadcast(picked), "doc_id")
+    sample = docs.where(least).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "text"])
         at, w = fit(pdf["text"].fillna("").tolist(), pdf["toxic"].tolist())
         return pd.DataFrame({"at": at, "w": w})
 
-    rows = sample.groupBy(F.lit(0)).applyInPandas(run, "at long, w double").toPandas()
+    rows = sample.withColumn("model", F.lit(0)).groupBy("model").applyInPandas(run, "at long, w double").toPandas()
     return rows["at"].to_numpy(), rows["w"].to_numpy()
 
 
