@@ -162,22 +162,63 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], width: str, others: list | Non
         yield digests, owner[kept], shingles[kept]
 
 
-def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of documents as they are, and for each set of a bucket how many of its shingles other sets have too."""
-    schema = _schema(f"{_DOC}, shared int")
-    docs: list[pa.RecordBatch] = []
-    for digests, owner, shingles in _by_bucket(batches, "<u4", docs):
-        keys = (shingles.astype(np.uint64) << np.uint64(32)) | owner.astype(np.uint64)
-        keys.sort()
-        same = (keys[1:] >> np.uint64(32)) == (keys[:-1] >> np.uint64(32))
-        shared = np.zeros(len(keys), bool)
-        shared[1:] |= same
-        shared[:-1] |= same
-        counts = np.bincount((keys[shared] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(digests))
-        some = np.flatnonzero(counts)
-        yield _batch(schema, {"sid": digests[some], "shared": counts[some].astype(np.int32)}, len(some))
-    for d in docs:
-        yield _batch(schema, {"doc_id": d.column("doc_id"), "n": d.column("n"), "sid": d.column("sid")}, d.num_rows)
+def _deal(digests: np.ndarray, buckets: int, sizes: np.ndarray, *flat: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
+    """Sets and what belongs to them, packed for each target bucket of their digests: at most one row a target.
+
+    sizes: how many entries of each array of flat a set has, in order.
+    """
+    target = (digests % buckets).astype(np.int64)
+    order = np.argsort(target, kind="stable")
+    begins, starts = np.cumsum(sizes) - sizes, np.append(np.flatnonzero(np.diff(target[order], prepend=-1)), len(order))
+    for a, b in zip(starts[:-1], starts[1:]):
+        mine = order[a:b]
+        n = sizes[mine]
+        entries = np.repeat(begins[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        yield int(target[mine[0]]), [digests[mine].tobytes(), n.astype(np.uint32).tobytes(), *(f[entries].tobytes() for f in flat)]
+
+
+def _count_shared(buckets: int):
+    """Rows of documents as they are; and for the sets of a bucket, packed by target, how many of its shingles others have too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = _schema(f"{_DOC}, target int, digests binary, shared binary")
+        docs: list[pa.RecordBatch] = []
+        for digests, owner, shingles in _by_bucket(batches, "<u4", docs):
+            keys = (shingles.astype(np.uint64) << np.uint64(32)) | owner.astype(np.uint64)
+            keys.sort()
+            same = (keys[1:] >> np.uint64(32)) == (keys[:-1] >> np.uint64(32))
+            shared = np.zeros(len(keys), bool)
+            shared[1:] |= same
+            shared[:-1] |= same
+            counts = np.bincount((keys[shared] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(digests))
+            some = np.flatnonzero(counts)
+            dealt = list(_deal(digests[some], buckets, np.ones(len(some), np.int64), counts[some].astype(np.uint32)))
+            yield _batch(schema, {"target": [t for t, _ in dealt], "digests": [p[0] for _, p in dealt], "shared": [p[2] for _, p in dealt]}, len(dealt))
+        for d in docs:
+            yield _batch(schema, {"doc_id": d.column("doc_id"), "n": d.column("n"), "sid": d.column("sid")}, d.num_rows)
+
+    return run
+
+
+def _sum_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """sid and shared, summed up over the buckets; sums are kept, not their parts."""
+    digests, sums, held, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+    def add() -> None:
+        nonlocal digests, sums, held, size
+        names = np.concatenate([digests, *(d for d, _ in held)])
+        weights = np.concatenate([sums, *(c for _, c in held)])
+        digests, at = np.unique(names, return_inverse=True)
+        sums, held, size = np.bincount(at, weights, len(digests)).astype(np.int64), [], 0
+
+    for batch in batches:
+        for d, c in zip(batch.column("digests").to_pylist(), batch.column("shared").to_pylist()):
+            held.append((np.frombuffer(d, "<i8"), np.frombuffer(c, "<u4")))
+            size += len(held[-1][0])
+            if size > FLUSH:
+                add()
+    add()
+    yield _batch(_schema("sid long, shared long"), {"sid": digests, "shared": sums}, len(digests))
 
 
 def _sets_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,37 +246,48 @@ def _send_sets(buckets: int):
     return run
 
 
-def _count_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each set of a bucket, its shingles that other sets have too, and in how many sets they are."""
-    schema = _schema("sid long, shingles binary, found binary")
-    for digests, owner, shingles in _by_bucket(batches, "<u8"):
-        order = np.argsort(shingles, kind="stable")
-        flat, owner = shingles[order], owner[order]
-        first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
-        counts = np.diff(np.append(first, len(flat)))
-        found = np.repeat(counts, counts).astype(np.uint32)
-        keep = found > 1
-        flat, owner, found = flat[keep], owner[keep], found[keep]
-        order = np.argsort(owner, kind="stable")
-        flat, owner, found = flat[order], owner[order], found[order]
-        first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else np.zeros(0, np.int64)
-        ends = np.append(first[1:], len(owner))
-        out = {"sid": digests[owner[first]], "shingles": [flat[a:b].tobytes() for a, b in zip(first, ends)], "found": [found[a:b].tobytes() for a, b in zip(first, ends)]}
-        yield _batch(schema, out, len(first))
-
-
-def _order_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Shared shingles of each set in the global order, rarest first, and how many of them its prefix has."""
-    for pdf in batches:
-        rows = []
-        for sid, rep, n, parts in zip(pdf["sid"], pdf["rep"], pdf["n"], pdf["parts"]):
-            shingles = np.concatenate([np.frombuffer(p["shingles"], "<u8") for p in parts])
-            found = np.concatenate([np.frombuffer(p["found"], "<u4") for p in parts])
-            order = np.lexsort((shingles, found))
-            prefix = n - -(-4 * n // 5) + 1 - (n - len(shingles))  # those that no other set has come first
-            if prefix > 0:
-                rows.append((sid, rep, n, prefix, shingles[order].view(np.int64), found[order].astype(np.int32)))
-        yield pd.DataFrame(rows, columns=["sid", "rep", "n", "prefix", "shingles", "found"])
+_FOUND = "target int, digests binary, counts binary, shingles binary, found binary"
+
+
+def _count_sets(buckets: int):
+    """For the sets of a bucket, packed by target: their shingles that other sets have too, and in how many sets they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = _schema(_FOUND)
+        for digests, owner, shingles in _by_bucket(batches, "<u8"):
+            order = np.argsort(shingles, kind="stable")
+            flat, owner = shingles[order], owner[order]
+            first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+            counts = np.diff(np.append(first, len(flat)))
+            found = np.repeat(counts, counts).astype(np.uint32)
+            keep = found > 1
+            flat, owner, found = flat[keep], owner[keep], found[keep]
+            order = np.argsort(owner, kind="stable")
+            flat, owner, found = flat[order], owner[order], found[order]
+            some, sizes = np.unique(owner, return_counts=True)
+            dealt = list(_deal(digests[some], buckets, sizes, flat, found))
+            yield _batch(schema, {"target": [t for t, _ in dealt]} | {c: [p[i] for _, p in dealt] for i, c in enumerate(("digests", "counts", "shingles", "found"))}, len(dealt))
+
+    return run
+
+
+def _order_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shared shingles of each set of a target in the global order, rarest first, and in how many sets each is."""
+    held: dict[int, list[tuple]] = {}
+    for batch in batches:
+        for target, *parts in zip(*(batch.column(c).to_pylist() for c in ("target", "digests", "counts", "shingles", "found"))):
+            held.setdefault(target, []).append(tuple(np.frombuffer(p, kind) for p, kind in zip(parts, ("<i8", "<u4", "<u8", "<u4"))))
+    for target in list(held):
+        digests, counts, shingles, found = (np.concatenate(x) for x in zip(*held.pop(target)))
+        owner = np.repeat(digests, counts)
+        order = np.lexsort((shingles, found, owner))
+        owner, shingles, found = owner[order], shingles[order].view(np.int64), found[order].astype(np.int32)
+        starts = np.append(np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))), len(owner))
+        for i in range(0, len(starts) - 1, 2000):
+            at = starts[i : i + 2001]
+            body = slice(at[0], at[-1])
+            lists = [pa.ListArray.from_arrays(pa.array(at - at[0], pa.int32()), pa.array(x[body])) for x in (shingles, found)]
+            yield pa.RecordBatch.from_arrays([pa.array(owner[at[:-1]]), *lists], names=["sid", "shingles", "found"])
 
 
 class _Tree:
@@ -348,18 +400,17 @@ def _join_groups(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out)
 
 
-_ORDERED = "sid long, rep long, n int, prefix int, shingles array<long>, found array<int>"
-
-
 def ordered_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The sets of nodes (sid, n, rep) in the global order among themselves; without those that can't have a partner."""
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = with_ids(docs.select("doc_id", "text"), nodes.select(F.col("rep").alias("doc_id")), ["doc_id"], "left_semi")
     sets = texts.select("text").mapInArrow(_sets_again, "sid long, n int, shingles binary").join(nodes.select("sid", "rep"), "sid").dropDuplicates(["sid"])
     sets = materialize(sets, "sets")
-    counted = sets.select("sid", "shingles").mapInArrow(_send_sets(buckets), _PACKED).repartition(buckets, "bucket").mapInArrow(_count_sets, "sid long, shingles binary, found binary")
-    parts = counted.groupBy("sid").agg(F.collect_list(F.struct("shingles", "found")).alias("parts"))
-    return materialize(parts.join(sets.select("sid", "rep", "n"), "sid").mapInPandas(_order_sets, _ORDERED), "ordered")
+    counted = sets.select("sid", "shingles").mapInArrow(_send_sets(buckets), _PACKED).repartition(buckets, "bucket").mapInArrow(_count_sets(buckets), _FOUND)
+    ordered = counted.repartition(buckets, "target").mapInArrow(_order_sets, "sid long, shingles array<long>, found array<int>")
+    # a prefix has what may be missing, and one more; those that no other set has come first and aren't listed
+    prefix = F.expr("size(shingles) - (4 * n + 4) div 5 + 1").cast("int")
+    return materialize(ordered.join(sets.select("sid", "rep", "n"), "sid").withColumn("prefix", prefix).where("prefix > 0"), "ordered")
 
 
 def blocks_of(ordered: DataFrame) -> DataFrame:
@@ -412,10 +463,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sent = docs.mapInArrow(_send_shingles(buckets), f"{_PACKED}, {_DOC}").repartition(buckets, "bucket")
-    counted = materialize(sent.mapInArrow(_count_shared, f"{_DOC}, shared int"), "shared")
-    rows = counted.where(F.col("n").isNotNull()).drop("shared")
+    counted = materialize(sent.mapInArrow(_count_shared(buckets), f"{_DOC}, target int, digests binary, shared binary"), "shared")
+    rows = counted.where(F.col("n").isNotNull()).select("doc_id", "n", "sid")
     nodes = rows.where("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("rep"))
-    shared = counted.where(F.col("shared").isNotNull()).groupBy("sid").agg(F.sum("shared").alias("shared"))
+    shared = counted.where(F.col("target").isNotNull()).select("target", "digests", "shared").repartition(buckets, "target").mapInArrow(_sum_shared, "sid long, shared long")
     near = materialize(nodes.join(shared, "sid").where(5 * F.col("shared") >= 4 * F.col("n")).select("sid", "n", "rep"), "near")
     ordered = ordered_sets(docs, near)
     links = materialize(linked_sets(ordered), "linked")
