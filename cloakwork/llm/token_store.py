@@ -21,10 +21,12 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,19 +37,24 @@ from cloakwork.llm.common import shared_dir
 WINDOW_DOUBLINGS, MASK = 5, np.uint64(255 << 40)
 LEAST, MOST = 64, 2048
 MERKLE_FAN = 256
-#: A task forgets words and chunk names beyond this many.
+#: A worker forgets words, and a task chunk names, beyond this many.
 MOST_WORDS, MOST_NAMES = 400_000, 200_000
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 4_000_000
+#: So many new words go to the library as one text.
+JOINED = 500
 _GAP = re.compile(r"(?<=\S)(?= \S)")
-_ADJACENT = re.compile(r"\s\s|^ | $")
+#: White space beside white space, or a space at either end.
+_ODD = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}|\A | \z"
 _MARK = "\ue000"
 
 
 class Encoder:
-    """The tokenizers library behind a memory of segments.
+    """The tokenizers library behind a memory of words.
 
-    A single space between two other characters always starts a token of the byte-level pattern, so the parts of a
-    text between such places can be encoded apart, and each different part once.
+    A single space between two other characters always starts a token of the byte-level pattern, so the parts of a text
+    between such places can be encoded apart, and each different part once. A part's key is what follows its space;
+    _MARK stands before the key of a part without that space. New parts without other white space are put together
+    and encoded as one text: the tokens that begin with a space tell where each starts.
     """
 
     def __init__(self, path: str):
@@ -55,6 +62,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.after_space = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.after_space[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -62,36 +72,79 @@ class Encoder:
         self.flat, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     @staticmethod
-    def segments(text: str) -> list[str]:
-        if not text:
-            return []
-        if _MARK in text or _ADJACENT.search(text):
-            return _GAP.split(text)
-        return text.replace(" ", _MARK + " ").split(_MARK)
-
-    def encode(self, texts: list[str], end: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, flat, each followed by end, and the n + 1 offsets of the texts."""
+    def parts(text: str) -> list[str]:
+        """Keys of the parts of any text."""
+        if _MARK in text:
+            return [_MARK + text]
+        return [p[1:] if p[0] == " " and i else _MARK + p for i, p in enumerate(_GAP.split(text))] if text else []
+
+    def _batch(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, keys: list[str]) -> None:
+        plain, single = [], []
+        for k in keys:
+            (plain if k and " " not in k and k[0] != _MARK and "<|" not in k and k.strip() == k else single).append(k)
+        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        keys, flat, sizes = [], [], []
+        for group, got in zip(groups, self._batch([" " + " ".join(g) for g in groups])):
+            ids = np.array(got, np.int32)
+            at = np.flatnonzero(self.after_space[ids])
+            if len(at) == len(group):
+                keys += group
+                flat.append(ids)
+                sizes.append(np.diff(np.append(at, len(ids))))
+            else:
+                single += group
+        got = self._batch([k[1:] if k.startswith(_MARK) else " " + k for k in single])
+        counts = np.fromiter(map(len, got), np.int64, len(got))
+        flat.append(np.fromiter(chain.from_iterable(got), np.int32, int(counts.sum())))
+        self.known.update(zip(keys + single, range(len(self.known), len(self.known) + len(keys) + len(single))))
+        self.starts = np.concatenate((self.starts, np.cumsum(np.concatenate((*sizes, counts))) + self.starts[-1]))
+        self.flat = np.concatenate((self.flat, *flat))
+
+    def encode(self, texts: pa.StringArray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (null: empty), flat, each followed by end, and the n + 1 offsets of the texts."""
         if len(self.known) > MOST_WORDS:
             self.forget()
-        split = [self.segments(t) for t in texts]
-        if new := list(set(chain.from_iterable(split)).difference(self.known)):
-            got = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            self.starts = np.concatenate((self.starts, np.cumsum(sizes) + self.starts[-1]))
-            self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(got), np.int32, int(sizes.sum()))))
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        where = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        texts = pc.fill_null(texts, "")
+        odd = pc.or_(pc.match_substring_regex(texts, _ODD), pc.match_substring(texts, _MARK))
+        simple = pc.split_pattern(pc.binary_join_element_wise(_MARK, texts.filter(pc.invert(odd)), ""), " ")
+        others = pa.array(map(self.parts, texts.filter(odd).to_pylist()), pa.list_(pa.string()))
+        lists = pa.concat_arrays([simple, others])
+        words = lists.flatten().dictionary_encode()
+        keys = words.dictionary.to_pylist()
+        if new := [k for k in keys if k not in self.known]:
+            self._learn(new)
+        place = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+        counts = lists.value_lengths().to_numpy().astype(np.int64)
+        begins = np.cumsum(counts) - counts
+        odd = odd.to_numpy(zero_copy_only=False)
+        order = np.empty(len(texts), np.int64)  # where each text is in lists
+        order[np.concatenate((np.flatnonzero(~odd), np.flatnonzero(odd)))] = np.arange(len(texts))
+        counts, begins = counts[order], begins[order]
+        last = np.cumsum(counts)
+        where = place[words.indices.to_numpy()][np.repeat(begins - (last - counts), counts) + np.arange(counts.sum())]
         sizes = self.starts[where + 1] - self.starts[where]
         ends = np.concatenate(([0], np.cumsum(sizes)))
         ids = self.flat[np.repeat(self.starts[where] - ends[:-1], sizes) + np.arange(ends[-1])]
-        at = ends[np.concatenate(([0], np.cumsum(counts)))]
+        at = ends[np.concatenate(([0], last))]
         if end is not None:
             ids = np.insert(ids, at[1:], end)
             at = at + np.arange(len(at))
         return ids, at
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One for each Python worker and file."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 _GEAR = np.random.default_rng(9).integers(0, 2**64, 1 << 16, np.uint64)
 
 
@@ -154,23 +207,29 @@ _SCHEMAS = {
 
 
 def _encode_task(tokenizer_path: str, end: int | None):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, sent = Encoder(tokenizer_path), set()
-        for pdf in batches:
-            texts, doc_ids, rows = pdf["text"].fillna("").tolist(), pdf["doc_id"], pdf["source_row"].tolist()
-            at = size = 0
-            for i, t in enumerate(texts):
-                size += len(t)
-                if size < SLICE_CHARS and i + 1 < len(texts):
-                    continue
-                ids, ends = encoder.encode(texts[at : i + 1], end)
-                names, bodies, recipes = [], [], []
-                for k in range(i + 1 - at):
-                    mine, last, digests, sizes = ids[ends[k] : ends[k + 1]], 0, [], []
+    fields = [("kind", pa.string()), ("digest", pa.binary()), ("body", pa.binary()), ("source_row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32()))]
+
+    def rows(n: int, kind: str, **columns) -> pa.RecordBatch:
+        columns["kind"] = pa.array([kind] * n, pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(columns[f], t) if f in columns else pa.nulls(n, t) for f, t in fields], schema=pa.schema(fields))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        library, sent = encoder(tokenizer_path), set()
+        for batch in batches:
+            texts = batch.column("text").cast(pa.string())
+            chars = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy())
+            turn = np.flatnonzero(np.diff(chars // SLICE_CHARS)) + 1
+            for a, b in pairwise([0, *turn.tolist(), batch.num_rows]):
+                ids, ends = library.encode(texts.slice(a, b - a), end)
+                names, bodies, digests, sizes = [], [], [], []
+                for begin, stop in pairwise(ends.tolist()):
+                    mine, last = ids[begin:stop], 0
+                    digests.append(own := [])
+                    sizes.append(lengths := [])
                     for c in cut_points(mine):
                         body = pack(mine[last:c])
-                        digests.append(name := name_of(body))
-                        sizes.append(c - last)
+                        own.append(name := name_of(body))
+                        lengths.append(c - last)
                         last = c
                         if name not in sent:
                             if len(sent) >= MOST_NAMES:
@@ -178,11 +237,9 @@ def _encode_task(tokenizer_path: str, end: int | None):
                             sent.add(name)
                             names.append(name)
                             bodies.append(body)
-                    recipes.append((len(mine), digests, sizes))
-                yield pd.DataFrame({"kind": "chunk", "digest": names, "body": bodies, "source_row": 0, "doc_id": pd.array([None] * len(names), "Int64"), "n_tokens": pd.array([None] * len(names), "Int64"), "digests": None, "sizes": None})
-                n, d, s = zip(*recipes)
-                yield pd.DataFrame({"kind": "recipe", "digest": None, "body": None, "source_row": rows[at : i + 1], "doc_id": pd.array(doc_ids.iloc[at : i + 1], "Int64"), "n_tokens": pd.array(n, "Int64"), "digests": list(d), "sizes": list(s)})
-                at, size = i + 1, 0
+                yield rows(len(names), "chunk", digest=names, body=bodies, source_row=np.zeros(len(names), np.int64))
+                part = {f: batch.column(f).slice(a, b - a) for f in ("doc_id", "source_row")}
+                yield rows(b - a, "recipe", n_tokens=np.diff(ends), digests=digests, sizes=sizes, **part)
 
     return run
 
@@ -203,7 +260,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, end: int | None = None, pa
     spark = docs.sparkSession
     store = Store(path or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("source_row"))
-    made = source.mapInPandas(_encode_task(tokenizer_path, end), _ROW)
+    made = source.mapInArrow(_encode_task(tokenizer_path, end), _ROW)
     dealt = made.repartition(F.coalesce(F.xxhash64("digest", "source_row"), F.lit(0)))
     dealt.mapInPandas(_first_of_name, _ROW).write.partitionBy("kind").option("compression", "zstd").parquet(f"{store.path}/parts")
     recipes = store.table(spark, "unordered")
