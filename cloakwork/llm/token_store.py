@@ -278,31 +278,26 @@ def merkle(recipes: DataFrame) -> DataFrame:
     return nodes.select("part", "block", F.unhex(F.sha2(F.aggregate("leaves", F.lit(b""), lambda a, x: F.concat(a, x["root"])), 256)).alias("root"))
 
 
-_shift_tables: dict[int, list[int]] = {}
+def _table_of(columns: np.ndarray) -> np.ndarray:
+    """What a 32 x 32 bit matrix makes of each value of each of four bytes."""
+    bits = np.arange(256)[:, None] >> np.arange(8) & 1
+    return np.bitwise_xor.reduce(np.where(bits, columns.reshape(4, 1, 8), 0), axis=2)
 
 
-def _times(matrix: list[int], vector: int) -> int:
-    out = k = 0
-    while vector:
-        if vector & 1:
-            out ^= matrix[k]
-        vector >>= 1
-        k += 1
-    return out
+def _apply(table: np.ndarray, crc: np.ndarray) -> np.ndarray:
+    return table[0][crc & 255] ^ table[1][crc >> 8 & 255] ^ table[2][crc >> 16 & 255] ^ table[3][crc >> 24]
 
 
-def crc_join(crc: int, more: int, n_bytes: int) -> int:
-    """CRC-32 of two byte strings put together, of which the second has n_bytes."""
-    if n_bytes not in _shift_tables:
-        one = [0xEDB88320, *(1 << k for k in range(31))]  # fixed value: the CRC-32 polynomial; the effect of one zero bit
-        power, matrix, bits = one, [1 << k for k in range(32)], n_bytes * 8
-        while bits:
-            if bits & 1:
-                matrix = [_times(power, v) for v in matrix]
-            power = [_times(power, v) for v in power]
-            bits >>= 1
-        _shift_tables[n_bytes] = matrix
-    return _times(_shift_tables[n_bytes], crc) ^ more
+def _append_zeros(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
+    """What each CRC-32 adds to that of a longer string, in which so many bytes follow."""
+    columns = np.array([0xEDB88320, *(1 << k for k in range(31))], np.int64)  # fixed value: the CRC-32 polynomial; the effect of one zero bit
+    out = crc.astype(np.int64)
+    for k in range(3 + int(n_bytes.max(initial=0)).bit_length()):
+        table = _table_of(columns)
+        if k >= 3 and len(at := np.flatnonzero(n_bytes >> (k - 3) & 1)):
+            out[at] = _apply(table, out[at])
+        columns = _apply(table, columns)
+    return out
 
 
 def _read_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -318,15 +313,14 @@ def _read_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"digest": names, "n": sizes, "crc": crcs})
 
 
-def _join_crcs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out = []
-        for parts in pdf["parts"]:
-            crc = 0
-            for p in parts:
-                crc = crc_join(crc, p["crc"], 4 * p["n"])
-            out.append(crc)
-        yield pd.DataFrame({"place": pdf["place"], "ids_crc32": out})
+def _join_crcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        parts = batch.column("parts")
+        flat, counts = parts.flatten(), parts.value_lengths().to_numpy()
+        n_bytes, crc = 4 * flat.field("n").to_numpy().astype(np.int64), flat.field("crc").to_numpy()
+        upto, first = np.cumsum(n_bytes), np.cumsum(counts) - counts
+        total = upto[first + counts - 1]  # a document has one chunk at least here
+        yield pa.RecordBatch.from_arrays([batch.column("place"), pa.array(np.bitwise_xor.reduceat(_append_zeros(crc, np.repeat(total, counts) - upto), first))], names=["place", "ids_crc32"])
 
 
 def read_digests(spark: SparkSession, store: Store) -> DataFrame:
@@ -340,7 +334,7 @@ def read_digests(spark: SparkSession, store: Store) -> DataFrame:
     uses = recipes.select("place", F.posexplode(F.arrays_zip("digests", "sizes")).alias("pos", "use")).select("place", "pos", F.col("use.digests").alias("digest"), F.col("use.sizes").alias("size"))
     found = uses.join(read, "digest", "left").withColumn("crc", F.when(F.col("n") == F.col("size"), F.col("crc")).otherwise(F.raise_error(F.lit("a recipe names a chunk that is missing or of another size"))))
     parts = found.groupBy("place").agg(F.sort_array(F.collect_list(F.struct("pos", "n", "crc"))).alias("parts"))
-    crcs = parts.mapInPandas(_join_crcs, "place long, ids_crc32 long")
+    crcs = parts.mapInArrow(_join_crcs, "place long, ids_crc32 long")
     within = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     sums = recipes.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     earlier = sums.select("part", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
