@@ -3,7 +3,8 @@
 For each learned language there is a zstandard raw-content dictionary of sampled text; a text belongs to the language
 whose dictionary compresses it to the fewest bytes; case, digits and punctuation are left out of both. Where the second-best
 size is larger by no more than `narrow` of the best, a slower level with shorter matches decides, and in a tie the
-language with more learned rows. A text of at least JUDGED letters whose margin is still below `narrow` is rejected;
+language with more learned rows. Texts are compressed whole, in blocks of BLOCK bytes that each start afresh from the
+dictionary, so that the margin doesn't fall with a text's length. A text of at least JUDGED letters whose margin is still below `narrow` is rejected;
 shorter texts can't show a margin and pass.
 
 A null text, or one without a letter, is `und`, score 0, rejected; so is any text where nothing could be learned.
@@ -26,6 +27,7 @@ from pyspark.sql.functions import pandas_udf
 SAMPLE_TEXTS = 128
 SAMPLE_CHARS = 4_000
 LEVEL, TIE_LEVEL = 3, 19
+BLOCK = 65_536
 #: Share of the best size by which the second-best must be larger, in texts of at least so many letters.
 NARROW, JUDGED = 0.005, 200
 UNDETERMINED = "und"
@@ -74,6 +76,12 @@ class Classifier:
         self.coders = [_coder(d, LEVEL) for d in dictionaries.values()]
         self.slow: list = []
 
+    @staticmethod
+    def _sizes(body: bytes, coders: list) -> list[tuple[int, int]]:
+        """Compressed size and number of each language, the smallest first."""
+        blocks = [body[at : at + BLOCK] for at in range(0, len(body), BLOCK)]
+        return sorted((sum(len(code(b)) for b in blocks), i) for i, code in enumerate(coders))
+
     @staticmethod
     def _margin(sizes: list[tuple[int, int]]) -> float:
         return (sizes[1][0] - sizes[0][0]) / sizes[0][0] if len(sizes) > 1 else 1.0
@@ -83,10 +91,10 @@ class Classifier:
         body = plain(text or "")
         if not body or not self.langs:
             return UNDETERMINED, 0.0, 0.0, True
-        sizes = sorted((len(code(body)), i) for i, code in enumerate(self.coders))
+        sizes = self._sizes(body, self.coders)
         if self._margin(sizes) <= self.narrow:
             self.slow = self.slow or [_coder(d, TIE_LEVEL) for d in self.dictionaries.values()]
-            sizes = sorted((len(code(body)), i) for i, code in enumerate(self.slow))
+            sizes = self._sizes(body, self.slow)
         best, margin = sizes[0][0], self._margin(sizes)
         score = 1 / sum(math.exp(-min(50.0, (s - best) / 4)) for s, _ in sizes)
         return self.langs[sizes[0][1]], score, margin, margin < self.narrow and len(body) >= JUDGED

@@ -223,6 +223,17 @@ def test_language_is_found(spark, docs, odd, empty):
     assert language_id.accepted(odd).columns == odd.columns
 
 
+def test_language_of_a_very_long_text(spark):
+    """A clean text's margin doesn't fall with its length."""
+    big = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    body = "\n".join(r["text"] for r in big.where("lang = 'en'").orderBy("doc_id").select("text").collect())
+    assert len(body) >= 10_000_000
+    c = language_id.Classifier(language_id.learn(big))
+    for n in (200_000, 10_000_000):
+        lang, _, margin, rejected = c.classify(body[:n])
+        assert (lang, rejected) == ("en", False) and margin > 2 * language_id.NARROW, (n, margin)
+
+
 def test_toxicity(spark, docs, odd, empty):
     big, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     found = toxicity.score(big, toxicity.learn(big, labels)).join(labels, "doc_id").where("held_out").collect()
