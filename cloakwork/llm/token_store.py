@@ -3,10 +3,10 @@
 Texts are encoded in tasks; a rolling hash over the ids cuts each document's stream into chunks, whose BLAKE2 digest is
 their name. A chunk is stored once: tasks send each chunk at most once, and the store's hash partitions keep the first of
 a name. Recipes list the chunks of each document in ascending doc_id, with the place of its first id in the whole stream;
-Merkle nodes over the recipes let a reader verify what it puts together.
+Merkle nodes over the recipes are held against what a reader finds, before it puts anything together.
 
 Files, all Parquet under one folder: parts/kind=chunk(digest, body) with body = one byte of width (2 or 4) and little-endian ids;
-recipes(part, place, doc_id, n_tokens, digests, sizes, root); manifest(part, block, root).
+recipes(part, place, doc_id, n_tokens, digests, sizes); manifest(part, block, root).
 
 Null text counts as empty and still has its end id; rows that share a doc_id keep an order by where they were read; a
 null doc_id comes first; an empty table gives an empty result; other columns are ignored.
@@ -201,7 +201,7 @@ _KINDS = {"chunks": "chunk", "unordered": "recipe"}
 _RECIPE = "doc_id long, n_tokens long, digests array<binary>, sizes array<int>"
 _ROW = f"kind string, digest binary, body binary, source_row long, {_RECIPE}"
 _SCHEMAS = {
-    "chunks": "digest binary, body binary", "recipes": f"part int, place long, {_RECIPE}, root binary", "manifest": "part int, block long, root binary",
+    "chunks": "digest binary, body binary", "recipes": f"part int, place long, {_RECIPE}", "manifest": "part int, block long, root binary",
     "unordered": f"source_row long, {_RECIPE}",
 }
 
@@ -266,14 +266,16 @@ def write_store(docs: DataFrame, tokenizer_path: str, end: int | None = None, pa
     recipes = store.table(spark, "unordered")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = recipes.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "source_row").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "source_row")
-    joined = F.aggregate("digests", F.lit(b""), lambda a, x: F.concat(a, x))
-    ordered.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place"), "doc_id", "n_tokens", "digests", "sizes", F.unhex(F.sha2(joined, 256)).alias("root")).write.parquet(f"{store.path}/recipes")
+    ordered.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place"), "doc_id", "n_tokens", "digests", "sizes").write.parquet(f"{store.path}/recipes")
     merkle(store.table(spark, "recipes")).write.parquet(f"{store.path}/manifest")
     return store
 
 
 def merkle(recipes: DataFrame) -> DataFrame:
-    """One node for every MERKLE_FAN consecutive recipes of a part."""
+    """One node for every MERKLE_FAN consecutive recipes of a part; a leaf is the hash of all that a recipe says."""
+    joined = F.hex(F.aggregate("digests", F.lit(b""), lambda a, x: F.concat(a, x)))
+    said = F.concat_ws("|", "place", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "n_tokens", F.concat_ws(",", F.col("sizes").cast("array<string>")), joined)
+    recipes = recipes.select("part", "place", F.unhex(F.sha2(said, 256)).alias("root"))
     nodes = recipes.groupBy("part", F.floor(F.col("place") % 2**33 / MERKLE_FAN).alias("block")).agg(F.sort_array(F.collect_list(F.struct("place", "root"))).alias("leaves"))
     return nodes.select("part", "block", F.unhex(F.sha2(F.aggregate("leaves", F.lit(b""), lambda a, x: F.concat(a, x["root"])), 256)).alias("root"))
 
@@ -327,8 +329,10 @@ def read_digests(spark: SparkSession, store: Store) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the store's files.
 
     Every chunk is read once and held against its name; a document's checksum is put together from those of its
-    chunks, in the order of its recipe, so no ids are shuffled. A missing chunk or a size that differs is an error.
+    chunks, in the order of its recipe, so no ids are shuffled. A missing chunk, a size that differs or a recipe that
+    the manifest doesn't confirm is an error.
     """
+    check(spark, store)
     recipes = store.table(spark, "recipes")
     read = store.table(spark, "chunks").mapInPandas(_read_chunks, "digest binary, n int, crc long")
     uses = recipes.select("place", F.posexplode(F.arrays_zip("digests", "sizes")).alias("pos", "use")).select("place", "pos", F.col("use.digests").alias("digest"), F.col("use.sizes").alias("size"))
@@ -350,6 +354,7 @@ def read_documents(spark: SparkSession, store: Store) -> DataFrame:
             ids = [np.concatenate([unpack(p["body"]) for p in parts]).astype(np.int64) if len(parts) else np.zeros(0, np.int64) for parts in pdf["parts"]]
             yield pd.DataFrame({"place": pdf["place"], "ids": ids})
 
+    check(spark, store)
     recipes = store.table(spark, "recipes")
     uses = recipes.select("place", F.posexplode("digests").alias("pos", "digest"))
     parts = uses.join(store.table(spark, "chunks"), "digest").groupBy("place").agg(F.sort_array(F.collect_list(F.struct("pos", "body"))).alias("parts"))
@@ -364,6 +369,12 @@ def verify(spark: SparkSession, store: Store) -> DataFrame:
     return both.where(~F.col("found").eqNullSafe(F.col("root")))
 
 
+def check(spark: SparkSession, store: Store) -> None:
+    """An error unless every recipe is as the manifest has it."""
+    if bad := verify(spark, store).select("part", "block").first():
+        raise ValueError(f"recipes differ from the manifest in part {bad['part']}, block {bad['block']}")
+
+
 def op9_token_store(spark, sf_dir: str) -> DataFrame:
     """All documents through the store, each with the end id 2."""
     import public_tokenizers

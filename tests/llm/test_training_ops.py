@@ -315,6 +315,24 @@ def test_token_store(spark, docs, odd, empty):
     assert token_store.read_digests(spark, store).count() == 0
 
 
+def test_altered_recipes_are_found(spark, docs):
+    import public_tokenizers
+
+    store = token_store.write_store(docs, public_tokenizers.path("byte_bpe_50k.json"), end=2)
+    recipes = store.table(spark, "recipes")
+    schema, sound = recipes.schema, [r.asDict() for r in recipes.collect()]
+    many = next(i for i, r in enumerate(sound) if len(set(map(bytes, r["digests"]))) > 1)
+    turned = {f: sound[many][f][::-1] for f in ("digests", "sizes")}
+    for change in (turned, {"doc_id": -5}, {"doc_id": None}, {"n_tokens": sound[many]["n_tokens"] + 1}, {"digests": sound[many - 1]["digests"], "sizes": sound[many - 1]["sizes"]}, None):
+        rows = [r | change if i == many else r for i, r in enumerate(sound)] if change else sound[:many] + sound[many + 1 :]
+        spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{store.path}/recipes")
+        for read in (token_store.read_digests, token_store.read_documents):
+            with pytest.raises(ValueError, match="differ from the manifest"):
+                read(spark, store).collect()
+    spark.createDataFrame(sound, schema).write.mode("overwrite").parquet(f"{store.path}/recipes")
+    assert token_store.read_digests(spark, store).count() == len(sound)
+
+
 def test_tiff_payloads(spark, docs, odd, empty):
     for table in (docs, odd):
         media = tiff_media.store_texts(table)
