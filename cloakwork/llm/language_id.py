@@ -23,9 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-#: Learning takes for each language the first SAMPLE_CHARS characters of at most SAMPLE_TEXTS labelled texts.
+#: Learning takes for each language SAMPLE_CHARS characters of at most SAMPLE_TEXTS labelled texts; of a longer text, in
+#: SAMPLE_PIECES equal pieces at even distances, from its first character to its last.
 SAMPLE_TEXTS = 128
-SAMPLE_CHARS = 4_000
+SAMPLE_CHARS, SAMPLE_PIECES = 4_000, 16
 LEVEL, TIE_LEVEL = 3, 19
 BLOCK = 65_536
 #: Share of the best size by which the second-best must be larger, in texts of at least so many letters.
@@ -44,6 +45,14 @@ def plain(text: str) -> bytes:
     return _OTHER.sub(" ", text.lower()).strip().encode()
 
 
+def sampled(text: Column) -> Column:
+    """What is learned of a text."""
+    size = SAMPLE_CHARS // SAMPLE_PIECES
+    step = (F.length(text) - size) / (SAMPLE_PIECES - 1)
+    pieces = [F.substring(text, F.round(k * step).cast("int") + 1, F.lit(size)) for k in range(SAMPLE_PIECES)]
+    return F.when(F.length(text) <= SAMPLE_CHARS, text).otherwise(F.concat_ws("\n", *pieces))
+
+
 def learn(docs: DataFrame) -> dict[str, bytes]:
     """The dictionary of each language, those with more rows first, from a bounded sample of rows that aren't held out.
 
@@ -59,7 +68,7 @@ def learn(docs: DataFrame) -> dict[str, bytes]:
     if not counts:
         return {}
     picked = docs.sparkSession.createDataFrame([(r["lang"], r["h"]) for r in slots], "lang string, h long")
-    part = hashed.join(F.broadcast(picked), ["lang", "h"], "left_semi").select("lang", "h", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    part = hashed.join(F.broadcast(picked), ["lang", "h"], "left_semi").select("lang", "h", sampled(F.col("text")).alias("text"))
     texts = part.groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("lang", "h").collect()
     return {g: b"\n".join(plain(r["text"]) for r in texts if r["lang"] == g) for g in sorted(counts, key=lambda g: (-counts[g], g))}
 

@@ -223,6 +223,16 @@ def test_language_is_found(spark, docs, odd, empty):
     assert language_id.accepted(odd).columns == odd.columns
 
 
+def test_language_is_learned_from_all_of_a_text(spark):
+    parts = [chr(97 + k) * 6 for k in range(16)]
+    long = " ".join(p for p in parts for _ in range(1_000))
+    rows = spark.createDataFrame([(i, long, "xx") for i in range(8)] + [(9, "é" * 3_999 + "z", "yy")], "doc_id long, text string, lang string")
+    found = language_id.learn(rows)
+    assert all(p.encode() in found["xx"] for p in parts) and found["yy"] == ("é" * 3_999 + "z").encode()
+    picked = rows.where("doc_id = 0").select(language_id.sampled(F.col("text")).alias("t")).first()["t"]
+    assert len(picked.replace("\n", "")) == language_id.SAMPLE_CHARS and picked.startswith(long[:250]) and picked.endswith(long[-250:])
+
+
 def test_language_of_a_very_long_text(spark):
     """A clean text's margin doesn't fall with its length."""
     big = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
