@@ -1,10 +1,12 @@
-"""Media columns: TIFF files of 8-bit samples in a binary column, one row for each page.
+"""Media columns: TIFF files in a binary column, one row for each page.
 
 The reader walks the chain of image directories in either byte order, decodes strips or tiles that are plain, PackBits,
-LZW or deflate, undoes horizontal prediction, and gives the samples of each page, row by row. The writer makes such
-files, and is what stores texts losslessly for the round trip.
+LZW or deflate, chunky or planar, of unsigned samples of 1, 2, 4, 8 or 16 bits, undoes horizontal prediction, and gives
+the samples of each page, row by row: a byte each, or two (low first) of 16 bits. The writer makes files of 8-bit
+samples, and is what stores texts losslessly for the round trip.
 
-A null or empty value has no pages; a file that can't be read is one row with an error; repeated rows are rows of their
+A null or empty value has no pages; a page that can't be read is one row with an error beside the file's other pages; so
+is a directory that can't be followed; repeated rows are rows of their
 own; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -25,10 +27,12 @@ from cloakwork.llm.common import materialize
 
 # Fixed values of the TIFF 6.0 format: tags, compression schemes, field types.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_SIZES = 256, 257, 258, 259, 262, 273, 277, 278, 279
-PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_SIZES = 284, 317, 322, 323, 324, 325
+FILL_ORDER, PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_SIZES, SAMPLE_FORMAT = 266, 284, 317, 322, 323, 324, 325, 339
 PLAIN, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 _TYPES = {1: "B", 3: "H", 4: "I"}
 _BYTES = {"B": 1, "H": 2, "I": 4}
+_TURNED = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
+_UNREADABLE = (ValueError, KeyError, IndexError, TypeError, struct.error, zlib.error)
 
 #: A text's payload is padded to rows of 64 RGB pixels; a page holds at most so many of them.
 ROW, PAGE_ROWS, STRIP_ROWS = 192, 4096, 1024
@@ -144,10 +148,25 @@ class Page:
     samples: int
     compression: int
     predictor: int
-    pixels: np.ndarray  # height x width x samples
+    pixels: np.ndarray  # height x width x samples, uint8 or, of 16 bits, little-endian uint16
 
 
-def _directory(data: bytes, order: str, at: int) -> tuple[dict[int, list[int]], int]:
+def _directories(data: bytes) -> Iterator[tuple[int, str, int]]:
+    """Number, byte order and place of each image directory."""
+    order = {b"II": "<", b"MM": ">"}[bytes(data[:2])]
+    magic, at = struct.unpack_from(order + "HI", data, 2)
+    if magic != 42:
+        raise ValueError("not a TIFF file")
+    seen: set[int] = set()
+    while at and at not in seen:
+        seen.add(at)
+        (n,) = struct.unpack_from(order + "H", data, at)
+        (following,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
+        yield len(seen) - 1, order, at
+        at = following
+
+
+def _tags(data: bytes, order: str, at: int) -> dict[int, list[int]]:
     (n,) = struct.unpack_from(order + "H", data, at)
     tags: dict[int, list[int]] = {}
     for k in range(n):
@@ -158,44 +177,65 @@ def _directory(data: bytes, order: str, at: int) -> tuple[dict[int, list[int]],
             if count * _BYTES[code] > 4:
                 (place,) = struct.unpack_from(order + "I", data, place)
             tags[tag] = list(struct.unpack_from(f"{order}{count}{code}", data, place))
-    return tags, struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
+    return tags
+
+
+def _block(body: bytes, order: str, bits: int, predictor: int, rows: int, width: int, samples: int) -> np.ndarray:
+    if bits < 8:  # rows begin at a byte
+        line = -(-width * samples * bits // 8)
+        parts = np.unpackbits(np.frombuffer(body, np.uint8)[: rows * line].reshape(rows, line), axis=1).reshape(rows, -1, bits)
+        return (parts @ (1 << np.arange(bits)[::-1]).astype(np.uint8))[:, : width * samples].reshape(rows, width, samples)
+    kind = np.dtype(np.uint8) if bits == 8 else np.dtype(order + "u2")
+    size = rows * width * samples
+    found = np.frombuffer(body[: size * kind.itemsize], kind).reshape(rows, width, samples)
+    found = found if bits == 8 else found.astype("<u2")
+    return np.cumsum(found, axis=1, dtype=found.dtype) if predictor == 2 else found
+
+
+def _page(data: bytes, number: int, order: str, at: int) -> Page:
+    tags = _tags(data, order, at)
+    one = lambda tag, default=None: tags[tag][0] if tag in tags else default
+    width, height, samples = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
+    scheme, predictor, bits, fill = one(COMPRESSION, PLAIN), one(PREDICTOR, 1), one(BITS, 1), one(FILL_ORDER, 1)
+    if len(set(tags.get(BITS, [1]))) != 1 or bits not in (1, 2, 4, 8, 16) or bits == 16 and 3 in tags.get(SAMPLE_FORMAT, []):
+        raise ValueError("samples aren't integers of 1, 2, 4, 8 or 16 bits")
+    if scheme not in _UNPACK or predictor not in (1, 2) or predictor == 2 and bits < 8:
+        raise ValueError(f"no compression {scheme} with predictor {predictor}")
+    planes, each = (samples, 1) if one(PLANAR, 1) == 2 else (1, samples)
+    pixels = np.zeros((height, width, samples), np.uint8 if bits <= 8 else "<u2")
+    tiled = TILE_OFFSETS in tags
+    places, sizes = (tags[TILE_OFFSETS], tags[TILE_SIZES]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_SIZES])
+    bw, bh = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
+    across, down = -(-width // bw), -(-height // bh)
+    if min(len(places), len(sizes)) < planes * across * down:
+        raise ValueError("blocks are missing")
+    for k in range(planes * across * down):
+        plane, nth = divmod(k, across * down)
+        y, x = nth // across * bh, nth % across * bw
+        rows = bh if tiled else min(bh, height - y)
+        packed = data[places[k] : places[k] + sizes[k]]
+        body = _UNPACK[scheme](packed.translate(_TURNED) if fill == 2 else packed)
+        block = _block(body, order, bits, predictor, rows, bw, each)
+        pixels[y : y + rows, x : x + bw, plane * each : plane * each + each] = block[: height - y, : width - x]
+    return Page(number, width, height, samples, scheme, predictor, pixels)
 
 
-def _block(data: bytes, compression: int, predictor: int, rows: int, width: int, samples: int) -> np.ndarray:
-    body = np.frombuffer(_UNPACK[compression](data), np.uint8)[: rows * width * samples].reshape(-1, width, samples)
-    return np.cumsum(body, axis=1, dtype=np.uint8) if predictor == 2 else body
+def pages(data: bytes) -> Iterator[Page]:
+    """All pages of a file; an error at the first that can't be read."""
+    return (_page(data, *found) for found in _directories(data))
 
 
-def pages(data: bytes) -> Iterator[Page]:
-    """All pages of a file."""
-    order = {b"II": "<", b"MM": ">"}[bytes(data[:2])]
-    magic, at = struct.unpack_from(order + "HI", data, 2)
-    if magic != 42:
-        raise ValueError("not a TIFF file")
-    seen: set[int] = set()
-    while at and at not in seen:
-        seen.add(at)
-        tags, following = _directory(data, order, at)
-        one = lambda tag, default=None: tags[tag][0] if tag in tags else default  # noqa: B023, E731
-        width, height, samples = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
-        scheme, predictor = one(COMPRESSION, PLAIN), one(PREDICTOR, 1)
-        if set(tags.get(BITS, [1])) != {8} or one(PLANAR, 1) != 1 or scheme not in _UNPACK or predictor not in (1, 2):
-            raise ValueError("only chunky 8-bit samples, and no such compression or predictor")
-        pixels = np.zeros((height, width, samples), np.uint8)
-        if TILE_OFFSETS in tags:
-            tw, th = one(TILE_WIDTH), one(TILE_HEIGHT)
-            across = -(-width // tw)
-            for k, (place, size) in enumerate(zip(tags[TILE_OFFSETS], tags[TILE_SIZES])):
-                y, x = k // across * th, k % across * tw
-                tile = _block(data[place : place + size], scheme, predictor, th, tw, samples)
-                pixels[y : y + th, x : x + tw] = tile[: height - y, : width - x]
-        else:
-            per = min(one(ROWS_PER_STRIP, height), height)
-            for k, (place, size) in enumerate(zip(tags[STRIP_OFFSETS], tags[STRIP_SIZES])):
-                rows = min(per, height - k * per)
-                pixels[k * per : k * per + rows] = _block(data[place : place + size], scheme, predictor, rows, width, samples)
-        yield Page(len(seen) - 1, width, height, samples, scheme, predictor, pixels)
-        at = following
+def readable_pages(data: bytes) -> Iterator[Page | str]:
+    """Each page of a file, or what is wrong with it."""
+    try:
+        for number, order, at in _directories(data):
+            try:
+                found: Page | str = _page(data, number, order, at)
+            except _UNREADABLE as e:
+                found = f"page {number}: {type(e).__name__}: {e}"[:200]
+            yield found
+    except _UNREADABLE as e:
+        yield f"{type(e).__name__}: {e}"[:200]
 
 
 def write_tiff(images: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, strip_rows: int = STRIP_ROWS, tile: tuple[int, int] | None = None, order: str = "<") -> bytes:
@@ -248,11 +288,11 @@ def tiff_pages(files: DataFrame, key: str, content: str) -> DataFrame:
         for pdf in batches:
             for k, data in zip(pdf["key"], pdf["content"]):
                 rows = []
-                if data is not None and len(data):
-                    try:
-                        rows = [(k, p.number, p.width, p.height, p.samples, p.compression, p.predictor, p.pixels.tobytes(), None) for p in pages(data)]
-                    except (ValueError, KeyError, IndexError, TypeError, struct.error, zlib.error) as e:
-                        rows = [(k, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"[:200])]
+                for p in readable_pages(bytes(data)) if data is not None and len(data) else ():
+                    if isinstance(p, str):
+                        rows.append((k, None, None, None, None, None, None, None, p))
+                    else:
+                        rows.append((k, p.number, p.width, p.height, p.samples, p.compression, p.predictor, p.pixels.tobytes(), None))
                 if rows:
                     out = pd.DataFrame(rows, columns=names)
                     yield out.astype(dict.fromkeys(names[1:7], "Int64"))

@@ -377,6 +377,44 @@ def test_tiff_schemes_round_trip(spark):
     assert Counter((r["pages"], r["errors"]) for r in found) == Counter({(3, 0): 40, (0, 1): 2})
 
 
+def plain_tiff(images, order):
+    """(bits or None, planar, scheme, image) each → a page of one strip a plane; a scheme without name is written plain."""
+    import numpy as np
+
+    out, link = bytearray((b"II" if order == "<" else b"MM") + tiff_media.struct.pack(order + "HI", 42, 0)), 4
+    for bits, planar, scheme, image in images:
+        height, width, samples = image.shape
+        strips = []
+        for plane in [image[:, :, c : c + 1] for c in range(samples)] if planar == 2 else [image]:
+            flat = plane.reshape(height, -1)
+            body = flat.astype(order + "u2").tobytes() if bits == 16 else flat.tobytes() if bits == 8 else np.packbits(flat, axis=1).tobytes()
+            strips.append((len(out), body := tiff_media._PACK.get(scheme, bytes)(body)))
+            out += body
+        arrays = len(out)
+        out += tiff_media.struct.pack(f"{order}{2 * len(strips)}I", *[p for p, _ in strips], *[len(b) for _, b in strips])
+        fields = [(256, width), (257, height), (258, bits), (259, scheme), (273, strips[0][0]), (277, samples), (278, height), (279, len(strips[0][1])), (284, planar)]
+        fields = [(t, 1, v) if len(strips) == 1 or t not in (273, 279) else (t, len(strips), arrays + (t == 279) * 4 * len(strips)) for t, v in fields if v]
+        tiff_media.struct.pack_into(order + "I", out, link, len(out))
+        out += tiff_media.struct.pack(order + "H", len(fields)) + b"".join(tiff_media.struct.pack(order + "HHII", t, 4, n, v) for t, n, v in fields)
+        link = len(out)
+        out += bytes(4)
+    return bytes(out)
+
+
+def test_tiff_depths_planes_and_bad_pages(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(2)
+    scan, deep, rgb = draw.integers(0, 2, (9, 21, 1)).astype(np.uint8), draw.integers(0, 65536, (7, 5, 3)).astype("<u2"), draw.integers(0, 256, (6, 11, 3)).astype(np.uint8)
+    good = [(1, 1, 32773, scan), (None, 1, 1, scan), (16, 1, 8, deep), (16, 2, 5, deep), (8, 2, 32773, rgb)]
+    for order in "<>":
+        assert all(np.array_equal(p.pixels, g[3]) for p, g in zip(tiff_media.pages(plain_tiff(good, order)), good, strict=True))
+        mixed = plain_tiff([(8, 1, 8, rgb), (1, 1, 4, scan), (16, 1, 8, deep)], order)
+        rows = tiff_media.tiff_pages(spark.createDataFrame([(1, bytearray(mixed))], "file int, body binary"), "file", "body").collect()
+        assert [r["page"] for r in rows] == [0, None, 2] and [bool(r["error"]) for r in rows] == [False, True, False]
+        assert rows[0]["pixels"] == rgb.tobytes() and rows[2]["pixels"] == deep.tobytes() and "page 1" in rows[1]["error"]
+
+
 def test_quality(spark, docs, odd, empty):
     from cloakwork.llm import quality
 
