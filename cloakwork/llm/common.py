@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,35 +21,95 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A side of a join is broadcast only when a count shows it has at most this many ids (16 MB of longs).
 BROADCAST_IDS = 2_000_000
 
-_own_dirs: dict[str, str] = {}
+_dirs: dict[str, str] = {}
+_written: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_scopes: list[list[str]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of this process where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="cloakwork-")
-        atexit.register(shutil.rmtree, _own_dirs[app], ignore_errors=True)
-    return _own_dirs[app]
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def shared_dir(spark: SparkSession) -> str:
+    """This application's folder under spark.checkpoint.dir, which driver and executors share; it goes when the driver ends.
+
+    Only a local session may leave that setting out; it then gets a temporary folder.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _dirs:
+        named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not named and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"{named.rstrip('/')}/cloakwork-{app}" if named else tempfile.mkdtemp(prefix="cloakwork-")
+        files, place = _file_system(spark, root)
+        files.mkdirs(place)
+        files.deleteOnExit(place)
+        _dirs[app] = root
+    return _dirs[app]
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[out] = path
+    return out
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """written(), for a table that an operator makes for itself: it goes with the scratch() around it, if there is one."""
+    out = written(df, label)
+    if _scopes:
+        _scopes[-1].append(_written[out])
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table of written() or materialize() that nothing reads any more."""
+    if path := _written.pop(table, None):
+        files, place = _file_system(table.sparkSession, path)
+        files.delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What materialize() writes inside goes at the end: for work whose result is written somewhere else by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            files, place = _file_system(spark, path)
+            files.delete(place, True)
+
+
+def free_name(*tables: DataFrame, wanted: str = "_extra") -> str:
+    """A column name that none of the tables has, in any case."""
+    taken, k = {c.lower() for t in tables for c in t.columns}, 0
+    while (name := f"{wanted}{k}") in taken:
+        k += 1
+    return name
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def columns_of(table: DataFrame) -> list[Column]:
+    """All columns of a table, whatever signs their names have."""
+    return [F.col(quoted(c)) for c in table.columns]
 
 
 def with_ids(docs: DataFrame, ids: DataFrame, keys: list[str], how: str) -> DataFrame:
     """left_semi or left_anti join of docs with ids on null-safe keys; ids are broadcast only when counted small."""
-    ids = ids.select(*[F.col(k).alias(f"__{k}") for k in keys])
+    names = [free_name(docs, wanted=f"_id{i}_") for i in range(len(keys))]
+    ids = ids.select(*[F.col(quoted(k)).alias(n) for k, n in zip(keys, names)])
     small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     same = F.lit(True)
-    for k in keys:
-        same = same & docs[k].eqNullSafe(F.col(f"__{k}"))
+    for k, n in zip(keys, names):
+        same = same & F.col(quoted(k)).eqNullSafe(F.col(n))
     return docs.join(F.broadcast(ids) if small else ids, same, how)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakwork.llm.common import materialize
+from cloakwork.llm.common import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -34,5 +34,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         state = now.agg(F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("h")).first()
         if state == seen or not state["n"]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        seen = state
-        now = materialize(_small_star(_large_star(now)), "edges")
+        seen, before = state, now
+        now = materialize(_small_star(_large_star(before)), "edges")
+        discard(before)

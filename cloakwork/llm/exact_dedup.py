@@ -4,7 +4,8 @@ The digest of a row is the SHA-256 of its text with every run of white space rep
 map-side first, so a text that a third of all rows share reaches its bucket as one row from each task. A bucket holds
 the stored keys and a cuckoo filter over them: a digest that the filter has not seen is inserted unchecked, a hit is
 verified against the bucket's stored keys, and a full filter is rebuilt at twice the size from them. The index is a
-table of one row for each live digest; update_index() inserts and deletes.
+table of one row for each live digest; update_index() inserts and deletes. A digest whose best row was deleted while
+copies of it live on is stale: it names no row until it is worked out anew from the live rows.
 
 Null text counts as empty; rows that repeat a doc_id and text are rows of their own, of which the first written stays;
 a null doc_id sorts after all others; an empty table gives an empty result; other columns are ignored.
@@ -18,11 +19,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakwork.llm.common import SPACE, materialize, with_ids
+from cloakwork.llm.common import SPACE, columns_of, free_name, materialize, quoted, with_ids
+from cloakwork.llm.memory import map_pandas
 
 SLOTS = 4
 MAX_KICKS = 200
-INDEX_SCHEMA = "digest binary, best long, best_row long, n long"
+INDEX_SCHEMA = "digest binary, best long, best_row long, n long, stale boolean"
+#: Stands for the doc_id of a row without one, and for the best row of a stale digest.
+NO_ID = 2**63 - 1
 
 
 class CuckooFilter:
@@ -73,29 +77,33 @@ class CuckooFilter:
 
 
 class Bucket:
-    """One bucket of the index: stored keys with their best row and count, and the filter in front of them."""
+    """One bucket of the index: stored keys with their best row, count and staleness, and the filter in front of them."""
 
     def __init__(self, capacity: int = 1024):
-        self.keys: dict[bytes, tuple[int, int, int]] = {}
+        self.keys: dict[bytes, tuple[int, int, int, bool]] = {}
         self.filter = CuckooFilter(capacity)
         self.resizes = 0
 
-    def add(self, digest: bytes, best: int, row: int, n: int) -> None:
+    def add(self, digest: bytes, best: int, row: int, n: int, stale: bool = False) -> None:
         if digest in self.filter and (known := self.keys.get(digest)):  # a hit, verified by its stored key
-            self.keys[digest] = (*min(known[:2], (best, row)), known[2] + n)
+            unknown = stale or known[3]
+            self.keys[digest] = (*((NO_ID, NO_ID) if unknown else min(known[:2], (best, row))), known[2] + n, unknown)
             return
-        self.keys[digest] = (best, row, n)
+        self.keys[digest] = (best, row, n, stale)
         if not self.filter.insert(digest):
             self.resize()
 
-    def remove(self, digest: bytes, n: int) -> None:
+    def remove(self, digest: bytes, best: int, row: int, n: int) -> None:
+        """n live rows go, of which (best, row) is the first."""
         if digest not in self.filter or not (known := self.keys.get(digest)):
             return
-        if known[2] > n:
-            self.keys[digest] = (*known[:2], known[2] - n)
-        else:
+        if known[2] <= n:
             del self.keys[digest]
             self.filter.delete(digest)
+        elif known[3] or (best, row) <= known[:2]:
+            self.keys[digest] = (NO_ID, NO_ID, known[2] - n, True)
+        else:
+            self.keys[digest] = (*known[:2], known[2] - n, False)
 
     def resize(self) -> None:
         """Twice the room, or more, filled from the stored keys."""
@@ -113,22 +121,22 @@ def digest_of(text: Column) -> Column:
 
 
 def _order_id() -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
 
 
 def _index_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     bucket = Bucket()
     for pdf in batches:
-        for digest, best, row, n, op in zip(pdf["digest"], pdf["best"].tolist(), pdf["best_row"].tolist(), pdf["n"].tolist(), pdf["op"].tolist()):
+        for digest, best, row, n, stale, op in zip(pdf["digest"], *(pdf[c].tolist() for c in ("best", "best_row", "n", "stale", "op"))):
             if op > 0:
-                bucket.add(bytes(digest), best, row, n)
+                bucket.add(bytes(digest), best, row, n, stale)
             else:
-                bucket.remove(bytes(digest), n)
+                bucket.remove(bytes(digest), best, row, n)
     keys = list(bucket.keys)
     for i in range(0, len(keys), 20_000):
         part = keys[i : i + 20_000]
-        stored = [bucket.keys[k] for k in part]
-        yield pd.DataFrame({"digest": part, "best": [s[0] for s in stored], "best_row": [s[1] for s in stored], "n": [s[2] for s in stored]})
+        best, row, n, stale = zip(*(bucket.keys[k] for k in part))
+        yield pd.DataFrame({"digest": part, "best": best, "best_row": row, "n": n, "stale": stale})
 
 
 def _counted(digests: DataFrame) -> DataFrame:
@@ -139,7 +147,7 @@ def _counted(digests: DataFrame) -> DataFrame:
 
         def merged() -> pd.DataFrame:
             pdf = pd.concat(held).sort_values(["best", "best_row"], kind="stable")
-            return pdf.groupby("digest", sort=False, as_index=False).agg({"best": "first", "best_row": "first", "n": "sum"})[["digest", "best", "best_row", "n"]]
+            return pdf.groupby("digest", sort=False, as_index=False).agg({"best": "first", "best_row": "first", "n": "sum"})[["digest", "best", "best_row", "n"]].assign(stale=False)
 
         for pdf in batches:
             held.append(pdf)
@@ -149,24 +157,35 @@ def _counted(digests: DataFrame) -> DataFrame:
         if held:
             yield merged()
 
-    return digests.select("digest", _order_id().alias("best"), F.col("row").alias("best_row"), F.lit(1).cast("long").alias("n")).mapInPandas(count, INDEX_SCHEMA)
+    return digests.select("digest", _order_id().alias("best"), F.col("row").alias("best_row"), F.lit(1).cast("long").alias("n")).transform(map_pandas, count, INDEX_SCHEMA)
 
 
 def build_index(digests: DataFrame) -> DataFrame:
-    """digests(digest binary, doc_id, row) → the index: digest, best (doc_id), best_row, n; one row a live digest."""
-    return _counted(digests).withColumn("op", F.lit(1)).repartition("digest").mapInPandas(_index_partition, INDEX_SCHEMA)
+    """digests(digest binary, doc_id, row) → the index: digest, best (doc_id), best_row, n, stale; one row a live digest."""
+    return _counted(digests).withColumn("op", F.lit(1)).repartition("digest").transform(map_pandas, _index_partition, INDEX_SCHEMA)
 
 
-def update_index(index: DataFrame, inserts: DataFrame | None = None, deletes: DataFrame | None = None) -> DataFrame:
-    """The index after insertion and deletion of rows; each of inserts and deletes has digest, doc_id and row.
+def update_index(index: DataFrame, inserts: DataFrame | None = None, deletes: DataFrame | None = None, live: DataFrame | None = None) -> DataFrame:
+    """The index after insertion and deletion of rows; each of inserts, deletes and live has digest, doc_id and row.
 
-    A deletion of a digest that isn't live is ignored. The kept row of a digest with some copies left stays its key.
+    A deletion of a digest that isn't live is ignored. Where a digest's best row is deleted and copies are left, its best
+    is worked out from live, the rows that are left, if that is given; else it is stale and stays so.
     """
     parts = index.withColumn("op", F.lit(1)).withColumn("turn", F.lit(0))
     for turn, (rows, op) in enumerate(((inserts, 1), (deletes, -1)), 1):
         if rows is not None:
             parts = parts.unionByName(_counted(rows).withColumn("op", F.lit(op)).withColumn("turn", F.lit(turn)))
-    return parts.repartition("digest").sortWithinPartitions("turn").drop("turn").mapInPandas(_index_partition, INDEX_SCHEMA)
+    updated = parts.repartition("digest").sortWithinPartitions("turn").drop("turn").transform(map_pandas, _index_partition, INDEX_SCHEMA)
+    if live is None:
+        return updated
+    updated = materialize(updated, "dedup-index")
+    lost = updated.where("stale").select("digest")
+    firsts = live.join(lost, "digest", "left_semi").groupBy("digest").agg(F.min(F.struct(_order_id().alias("id"), "row")).alias("first"))
+    known = F.col("first").isNotNull()
+    return updated.join(firsts, "digest", "left").select(
+        "digest", F.when(known, F.col("first.id")).otherwise(F.col("best")).alias("best"), F.when(known, F.col("first.row")).otherwise(F.col("best_row")).alias("best_row"),
+        "n", (F.col("stale") & ~known).alias("stale"),
+    )
 
 
 def digests_of(docs: DataFrame) -> DataFrame:
@@ -178,7 +197,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     rows = materialize(digests_of(docs), "digests")
     index = build_index(rows).select(F.col("digest").alias("key"), "best", "best_row", "n")
     joined = rows.join(index, rows["digest"] == F.col("key"))  # a hot digest is split by AQE: the index side has one row for it
-    keep = F.when(F.col("best") < 2**63 - 1, F.col("best"))
+    keep = F.when(F.col("best") < NO_ID, F.col("best"))
     return joined.select(
         "doc_id", keep.alias("keep_id"), F.col("n").alias("group_size"), (F.col("row") == F.col("best_row")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
@@ -186,20 +205,21 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """docs without the rows that repeat an earlier text; all columns stay.
+    """docs without the rows that repeat an earlier text; all columns stay, whatever their names.
 
     The decisions are joined by doc_id and digest; of rows equal in both, one is picked by their other columns.
     """
     decided = materialize(exact_dedup(docs), "dedup-decisions")
-    dropped = decided.where(~F.col("kept")).select("doc_id", F.unhex("text_sha256").alias("__digest")).distinct()
-    names = docs.columns
-    body = docs.withColumn("__digest", F.unhex(digest_of(F.col("text"))))
-    kept = decided.where("kept").select("doc_id", F.unhex("text_sha256").alias("__digest"))
-    again = materialize(dropped.join(kept, (dropped["doc_id"].eqNullSafe(kept["doc_id"])) & (dropped["__digest"] == kept["__digest"]), "left_semi"), "dedup-repeats")
-    out = with_ids(body, dropped, ["doc_id", "__digest"], "left_anti").select(*names)
+    at = free_name(docs, wanted="_digest")
+    named = decided.select("doc_id", F.unhex("text_sha256").alias(at), "kept")
+    dropped, kept = (named.where(F.col("kept") == k).select("doc_id", at).distinct() for k in (False, True))
+    body = docs.withColumn(at, F.unhex(digest_of(F.col("text"))))
+    again = materialize(with_ids(dropped, kept, ["doc_id", at], "left_semi"), "dedup-repeats")
+    out = with_ids(body, dropped, ["doc_id", at], "left_anti").select(*columns_of(docs))
     if again.isEmpty():
         return out
-    firsts = with_ids(body, again, ["doc_id", "__digest"], "left_semi").groupBy("doc_id", "__digest").agg(F.min_by(F.struct(*names), F.hash(*names)).alias("doc")).select("doc.*")
+    whole = F.struct(*columns_of(docs))
+    firsts = with_ids(body, again, ["doc_id", at], "left_semi").groupBy("doc_id", quoted(at)).agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("doc")).select("doc.*")
     return out.unionByName(firsts)
 
 

@@ -4,11 +4,11 @@ For each learned language there is a zstandard raw-content dictionary of sampled
 whose dictionary compresses it to the fewest bytes; case, digits and punctuation are left out of both. Where the second-best
 size is larger by no more than `narrow` of the best, a slower level with shorter matches decides, and in a tie the
 language with more learned rows. Texts are compressed whole, in blocks of BLOCK bytes that each start afresh from the
-dictionary, so that the margin doesn't fall with a text's length. A text of at least JUDGED letters whose margin is still below `narrow` is rejected;
-shorter texts can't show a margin and pass.
+dictionary, so that the margin doesn't fall with a text's length. A text of any length whose margin is still below
+`narrow` is rejected; so are texts of a few letters that all dictionaries compress alike.
 
-A null text, or one without a letter, is `und`, score 0, rejected; so is any text where nothing could be learned.
-Repeated rows are rows of their own; an empty table gives an empty result; other columns are ignored.
+A null text, or one without a letter (Unicode category L), is `und`, score 0, rejected; so is any text where nothing
+could be learned. Repeated rows are rows of their own; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,11 +17,14 @@ import math
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
+
+from cloakwork.llm.common import columns_of, free_name
+from cloakwork.llm.memory import bound_batches, tidy
 
 #: Learning takes for each language SAMPLE_CHARS characters of at most SAMPLE_TEXTS labelled texts; of a longer text, in
 #: SAMPLE_PIECES equal pieces at even distances, from its first character to its last.
@@ -29,8 +32,11 @@ SAMPLE_TEXTS = 128
 SAMPLE_CHARS, SAMPLE_PIECES = 4_000, 16
 LEVEL, TIE_LEVEL = 3, 19
 BLOCK = 65_536
-#: Share of the best size by which the second-best must be larger, in texts of at least so many letters.
-NARROW, JUDGED = 0.005, 200
+SLICE_ROWS = 256
+#: So many languages are learned at most, those with the most rows: a column of junk can't fill the driver or a task.
+MOST_LANGUAGES = 100
+#: Share of the best size by which the second-best must be larger.
+NARROW = 0.005
 UNDETERMINED = "und"
 _OTHER = re.compile(r"[\W\d_]+")
 
@@ -41,8 +47,9 @@ def held_out(doc_id: Column) -> Column:
 
 
 def plain(text: str) -> bytes:
-    """Lower-case letters, words parted by single spaces."""
-    return _OTHER.sub(" ", text.lower()).strip().encode()
+    """Lower-case letters, words parted by single spaces; nothing of a text without a letter."""
+    body = _OTHER.sub(" ", text.lower()).strip()
+    return body.encode() if any(map(str.isalpha, body)) else b""
 
 
 def sampled(text: Column) -> Column:
@@ -57,20 +64,19 @@ def learn(docs: DataFrame) -> dict[str, bytes]:
     """The dictionary of each language, those with more rows first, from a bounded sample of rows that aren't held out.
 
     Rows are dealt to SAMPLE_TEXTS slots of each language by a hash; a slot takes its row of least hash. Only
-    (language, slot) minima and counts are shuffled, one for each task and slot.
+    (language, slot) minima and counts are shuffled, one for each task and slot, and only those of MOST_LANGUAGES
+    languages reach the driver.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
     hashed = rows.select("lang", "text", F.xxhash64("doc_id").alias("h"))
-    slots = hashed.groupBy("lang", F.pmod(F.col("h"), F.lit(SAMPLE_TEXTS)).alias("slot")).agg(F.min("h").alias("h"), F.count("*").alias("n")).collect()
-    counts: dict[str, int] = {}
-    for r in slots:
-        counts[r["lang"]] = counts.get(r["lang"], 0) + r["n"]
-    if not counts:
+    slots = hashed.groupBy("lang", F.pmod(F.col("h"), F.lit(SAMPLE_TEXTS)).alias("slot")).agg(F.min("h").alias("h"), F.count("*").alias("n"))
+    langs = slots.groupBy("lang").agg(F.sum("n").alias("n"), F.collect_list("h").alias("hs")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    if not langs:
         return {}
-    picked = docs.sparkSession.createDataFrame([(r["lang"], r["h"]) for r in slots], "lang string, h long")
+    picked = docs.sparkSession.createDataFrame([(r["lang"], h) for r in langs for h in r["hs"]], "lang string, h long")
     part = hashed.join(F.broadcast(picked), ["lang", "h"], "left_semi").select("lang", "h", sampled(F.col("text")).alias("text"))
     texts = part.groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("lang", "h").collect()
-    return {g: b"\n".join(plain(r["text"]) for r in texts if r["lang"] == g) for g in sorted(counts, key=lambda g: (-counts[g], g))}
+    return {g: b"\n".join(plain(r["text"]) for r in texts if r["lang"] == g) for g in (r["lang"] for r in langs)}
 
 
 def _coder(dictionary: bytes, level: int):
@@ -106,32 +112,37 @@ class Classifier:
             sizes = self._sizes(body, self.slow)
         best, margin = sizes[0][0], self._margin(sizes)
         score = 1 / sum(math.exp(-min(50.0, (s - best) / 4)) for s, _ in sizes)
-        return self.langs[sizes[0][1]], score, margin, margin < self.narrow and len(body) >= JUDGED
+        return self.langs[sizes[0][1]], score, margin, margin < self.narrow
 
 
-def classifier_udf(dictionaries: dict[str, bytes], narrow: float = NARROW):
+def classifier_udf(spark: SparkSession, dictionaries: dict[str, bytes], narrow: float = NARROW):
     """text → struct(lang_pred, score, margin, rejected); compressors are made once for each task."""
+    bound_batches(spark)
 
-    @pandas_udf("lang_pred string, score double, margin double, rejected boolean")
-    def classify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def classify(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = Classifier(dictionaries, narrow)
         for texts in batches:
-            yield pd.DataFrame([c.classify(t) for t in texts.tolist()], columns=["lang_pred", "score", "margin", "rejected"])
+            found = [c.classify(t) for at in range(0, len(texts), SLICE_ROWS) for t in texts.slice(at, SLICE_ROWS).to_pylist()]
+            yield pa.StructArray.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*found), (pa.string(), pa.float64(), pa.float64(), pa.bool_()))], names=["lang_pred", "score", "margin", "rejected"])
+
+    @arrow_udf("lang_pred string, score double, margin double, rejected boolean")
+    def task(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return tidy(classify)(batches)
 
-    return classify
+    return task
 
 
 def identify(docs: DataFrame, narrow: float = NARROW) -> DataFrame:
     """doc_id, held_out, lang_pred, score, margin and rejected for every row."""
-    found = classifier_udf(learn(docs), narrow)(F.col("text"))
+    found = classifier_udf(docs.sparkSession, learn(docs), narrow)(F.col("text"))
     return docs.select(F.col("doc_id"), held_out(F.col("doc_id")).alias("held_out"), found.alias("found")).select("doc_id", "held_out", "found.*")
 
 
 def accepted(docs: DataFrame, narrow: float = NARROW) -> DataFrame:
     """The rows whose language is found by no narrow margin, with their columns."""
-    names = docs.columns
-    found = classifier_udf(learn(docs), narrow)(F.col("text"))
-    return docs.withColumn("__found", found).where(~F.col("__found.rejected")).select(*names)
+    found = classifier_udf(docs.sparkSession, learn(docs), narrow)(F.col("text"))
+    at = free_name(docs)
+    return docs.withColumn(at, found).where(~F.col(at)["rejected"]).select(*columns_of(docs))
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:

@@ -25,16 +25,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakwork.llm.common import materialize, with_ids
+from cloakwork.llm.common import columns_of, materialize, with_ids
 from cloakwork.llm.components import connected_components
-from cloakwork.llm.words import mix, slices, text_bytes, word_hashes
+from cloakwork.llm.memory import bound_batches, map_arrow, release
+from cloakwork.llm.words import forget_powers, mix, slices, text_bytes, word_hashes
 
 SHINGLE = 5
 #: Links need 9 * shared >= 4 * (sum of sizes), which is a Jaccard similarity of 0.8.
 SHARED, SIZES = 9, 4
 #: A prefix tree holds at most CHUNK sets of one block; a task collects TASK_SETS sets of small blocks.
 CHUNK, TASK_SETS = 1_500, 2_000
-SLICE_BYTES, FLUSH = 2_000_000, 2_000_000
+SLICE_BYTES, FLUSH = 1_000_000, 1_000_000
+#: A task remembers so many sets that it has sent; beyond, a set may be sent again and is dropped where it arrives.
+MOST_NAMES = 200_000
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -126,7 +129,7 @@ def _send_shingles(buckets: int):
                 sets, digests = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 for digest, s in zip(digests.tolist(), sets):
                     if len(s) and digest not in sent:
-                        if len(sent) > 500_000:
+                        if len(sent) > MOST_NAMES:
                             sent.clear()
                         sent.add(digest)
                         packer.add(digest, s)
@@ -404,10 +407,10 @@ def ordered_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The sets of nodes (sid, n, rep) in the global order among themselves; without those that can't have a partner."""
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = with_ids(docs.select("doc_id", "text"), nodes.select(F.col("rep").alias("doc_id")), ["doc_id"], "left_semi")
-    sets = texts.select("text").mapInArrow(_sets_again, "sid long, n int, shingles binary").join(nodes.select("sid", "rep"), "sid").dropDuplicates(["sid"])
+    sets = texts.select("text").transform(map_arrow, _sets_again, "sid long, n int, shingles binary", then=forget_powers).join(nodes.select("sid", "rep"), "sid").dropDuplicates(["sid"])
     sets = materialize(sets, "sets")
-    counted = sets.select("sid", "shingles").mapInArrow(_send_sets(buckets), _PACKED).repartition(buckets, "bucket").mapInArrow(_count_sets(buckets), _FOUND)
-    ordered = counted.repartition(buckets, "target").mapInArrow(_order_sets, "sid long, shingles array<long>, found array<int>")
+    counted = sets.select("sid", "shingles").transform(map_arrow, _send_sets(buckets), _PACKED).repartition(buckets, "bucket").transform(map_arrow, _count_sets(buckets), _FOUND)
+    ordered = counted.repartition(buckets, "target").transform(map_arrow, _order_sets, "sid long, shingles array<long>, found array<int>")
     # a prefix has what may be missing, and one more; those that no other set has come first and aren't listed
     prefix = F.expr("size(shingles) - (4 * n + 4) div 5 + 1").cast("int")
     return materialize(ordered.join(sets.select("sid", "rep", "n"), "sid").withColumn("prefix", prefix).where("prefix > 0"), "ordered")
@@ -422,7 +425,14 @@ def blocks_of(ordered: DataFrame) -> DataFrame:
 
 
 def _joined(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.groupBy(*keys).applyInPandas(_join_groups, "sid long, leader long")
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return _join_groups(pdf)
+        finally:
+            release()
+
+    bound_batches(rows.sparkSession)
+    return rows.groupBy(*keys).applyInPandas(join, "sid long, leader long")
 
 
 def linked_sets(ordered: DataFrame) -> DataFrame:
@@ -462,11 +472,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) for every row."""
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sent = docs.mapInArrow(_send_shingles(buckets), f"{_PACKED}, {_DOC}").repartition(buckets, "bucket")
-    counted = materialize(sent.mapInArrow(_count_shared(buckets), f"{_DOC}, target int, digests binary, shared binary"), "shared")
+    sent = docs.transform(map_arrow, _send_shingles(buckets), f"{_PACKED}, {_DOC}", then=forget_powers).repartition(buckets, "bucket")
+    counted = materialize(sent.transform(map_arrow, _count_shared(buckets), f"{_DOC}, target int, digests binary, shared binary"), "shared")
     rows = counted.where(F.col("n").isNotNull()).select("doc_id", "n", "sid")
     nodes = rows.where("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("rep"))
-    shared = counted.where(F.col("target").isNotNull()).select("target", "digests", "shared").repartition(buckets, "target").mapInArrow(_sum_shared, "sid long, shared long")
+    shared = counted.where(F.col("target").isNotNull()).select("target", "digests", "shared").repartition(buckets, "target").transform(map_arrow, _sum_shared, "sid long, shared long")
     near = materialize(nodes.join(shared, "sid").where(5 * F.col("shared") >= 4 * F.col("n")).select("sid", "n", "rep"), "near")
     ordered = ordered_sets(docs, near)
     links = materialize(linked_sets(ordered), "linked")
@@ -482,7 +492,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one document of each component: that of the smallest doc_id. All columns stay; rows without id stay."""
     found = jaccard_components(docs)
     dropped = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    return with_ids(docs, dropped, ["doc_id"], "left_anti").select(*docs.columns)
+    return with_ids(docs, dropped, ["doc_id"], "left_anti").select(*columns_of(docs))
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -21,10 +21,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cloakwork.llm.memory import map_pandas
+
 SPACE_MARK = "▁"
 #: A task forgets its words beyond this many, and works on so many characters at a time.
-MOST_WORDS = 600_000
-SLICE_CHARS = 1_000_000
+MOST_WORDS = 300_000
+SLICE_CHARS = 500_000
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 _RUN = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}]+|{SPACE_MARK}+")
 
@@ -249,12 +251,16 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One for each Python worker and model."""
+    """One for each task and model; forget_encoders() ends it."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
+def forget_encoders() -> None:
+    _encoders.clear()
+
+
 def text_slices(texts: list[str], most: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `most` characters each."""
     at = size = 0
@@ -278,7 +284,7 @@ def encode_column(docs: DataFrame, model_path: str) -> DataFrame:
                 ids, at = enc.encode(texts[a:b])
                 yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[a:b].to_numpy(), "ids": np.split(ids, at[1:-1])})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids array<int>")
+    return docs.select("doc_id", "text").transform(map_pandas, run, "doc_id long, ids array<int>", then=forget_encoders)
 
 
 def decode_column(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -289,7 +295,7 @@ def decode_column(encoded: DataFrame, model_path: str) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": [enc.decode(list(x)) if x is not None else "" for x in pdf["ids"]]})
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").transform(map_pandas, run, "doc_id long, text string", then=forget_encoders)
 
 
 def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
@@ -309,7 +315,7 @@ def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
                     "ids_sha256": [sha(",".join(map(decimal, x))) for x in ids], "decoded_sha256": [sha(enc.decode(x)) for x in ids],
                 })
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(map_pandas, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", then=forget_encoders)
 
 
 def op2_piece_round_trip(spark, sf_dir: str) -> DataFrame:

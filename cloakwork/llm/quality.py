@@ -23,13 +23,14 @@ from pyspark.sql import functions as F
 
 from cloakwork.llm.common import materialize, up_to, weighted_cuts
 from cloakwork.llm.language_id import held_out
-from cloakwork.llm.words import mix, slices, text_bytes, word_hashes
+from cloakwork.llm.memory import map_arrow
+from cloakwork.llm.words import forget_powers, mix, slices, text_bytes, word_hashes
 
 BUCKETS = 1 << 14
 #: At most so many labelled rows make the target model.
 SAMPLE_ROWS = 100_000
 EVIDENCE, KEEP, SEED = 200.0, 0.75, 6
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 _SCALE = 2**40
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -66,7 +67,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     share = min(1.0, 0.97 * SAMPLE_ROWS / max(1, good.count()))
     picked = good.where(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(SAMPLE_ROWS).select(F.col("doc_id").alias("target_id"))
     marked = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("target_id"), "left").select("text", F.col("target_id").isNotNull().alias("good"))
-    counts = marked.mapInArrow(_count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+    counts = marked.transform(map_arrow, _count, "bucket int, raw long, target long", then=forget_powers).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[counts["bucket"]], target[counts["bucket"]] = counts["raw"], counts["target"]
     if not target.any():
@@ -86,7 +87,7 @@ def log_weights(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
                 columns = [batch.column("doc_id").slice(a, b - a), pa.array(n, pa.int64()), pa.array(EVIDENCE * sums / np.maximum(n, 1), pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_grams", "log_weight"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_grams long, log_weight double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(map_arrow, run, "doc_id long, n_grams long, log_weight double", then=forget_powers)
 
 
 def gumbel(doc_id: Column, seed: int = SEED) -> Column:

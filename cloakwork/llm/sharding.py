@@ -2,8 +2,9 @@
 
 A node that must hold k shards is cut at the distributed weighted quantile floor(k/2)/k (the weighted median where k is
 even) of its widest dimension, until every leaf is one shard of about total/k bytes. Widths are relative to the range of
-the whole table. Equal values are told apart by doc_id and a row number, so a hot value, or a third of all rows being
-copies, is cut like any other range. Only sums over intervals reach the driver; no task sees a whole node.
+the whole table. A string dimension is the rank of its values in the order of their bytes, so whole strings count. Equal
+values are told apart by doc_id and a row number, so a hot value, or a third of all rows being copies, is cut like any
+other range. Only sums over intervals reach the driver; no task sees a whole node.
 
 Null text counts as no bytes; null metadata sorts first; repeated rows are rows of their own; an empty table gives an
 empty result; other columns are ignored.
@@ -23,27 +24,40 @@ SHARDS = 24
 DIMENSIONS = ("source", "lang", "size", "doc_id")
 
 
-def order_key(column: Column, kind: str) -> Column:
-    """A long in the column's order: strings by their first seven UTF-8 bytes, null first."""
-    if kind == "string":
-        head = F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 7)), 14, "0")
-        return F.coalesce(F.conv(head, 16, 10).cast("long"), F.lit(-1).cast("long"))
+def order_key(column: Column) -> Column:
+    """A number, date or flag as a long in the column's order, null first."""
     return F.coalesce(column.cast("long"), F.lit(-(2**62)).cast("long"))
 
 
+def ranks(docs: DataFrame, column: str) -> DataFrame:
+    """value and rank (from 0, without gaps) of each distinct value of a string column; nulls have none.
+
+    Values are dealt to ranges and numbered in each, and the ranges' counts are summed up, so no task sorts all values.
+    """
+    distinct = docs.select(F.col(column).alias("value")).where("value IS NOT NULL").distinct()
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = distinct.repartitionByRange(parts, "value").sortWithinPartitions("value").withColumn("at", F.monotonically_increasing_id())
+    dealt = materialize(dealt.select("value", F.shiftright("at", 33).alias("part"), (F.col("at") % F.lit(2**33)).alias("row")), "kd-ranks")
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = dealt.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("start"))
+    return materialize(dealt.join(starts, "part").select("value", (F.col("start") + F.col("row")).alias("rank")), "kd-ranks")
+
+
 def metadata(docs: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS) -> DataFrame:
     """doc_id, size, text_crc32, the dimensions as longs d0.. and a row number: all that the tree needs, without texts."""
-    kinds = dict(docs.dtypes) | {"size": "bigint"}
+    kinds = dict(docs.dtypes)
+    used = [d for d in dimensions if d == "size" or d in docs.columns]
     body = F.coalesce(F.col("text"), F.lit(""))
-    sized = docs.select(
-        "doc_id", (utf8_length(F.col("text")) + ROW_BYTES).alias("size"), F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
-        *[F.col(d).alias(d) for d in dimensions if d in docs.columns and d not in ("doc_id", "size")],
-    )
-    used = [d for d in dimensions if d in sized.columns]
-    return sized.select(
-        "doc_id", "size", "text_crc32", *[order_key(F.col(d), kinds[d]).alias(f"d{i}") for i, d in enumerate(used)],
-        order_key(F.col("doc_id"), "bigint").alias("tie"), F.monotonically_increasing_id().alias("row"),
+    size = utf8_length(F.col("text")) + ROW_BYTES
+    rows = docs.select(
+        "doc_id", size.alias("size"), F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"), order_key(F.col("doc_id")).alias("tie"), F.monotonically_increasing_id().alias("row"),
+        *[size.alias(f"d{i}") if d == "size" else F.col(d).alias(f"s{i}") if kinds[d] == "string" else order_key(F.col(d)).alias(f"d{i}") for i, d in enumerate(used)],
     )
+    for i, d in enumerate(used):
+        if d != "size" and kinds[d] == "string":
+            table = ranks(docs, d).select(F.col("value").alias(f"v{i}"), F.col("rank").alias(f"r{i}"))
+            rows = rows.join(table, F.col(f"s{i}") == F.col(f"v{i}"), "left").withColumn(f"d{i}", F.coalesce(f"r{i}", F.lit(-1).cast("long"))).drop(f"s{i}", f"v{i}", f"r{i}")
+    return rows
 
 
 class _Node:
@@ -69,7 +83,7 @@ def _shard(leaf: _Node) -> Column:
 
 def grow_tree(rows: DataFrame, shards: int) -> _Node:
     """Cut level by level; a level costs one pass for widths and a few for its cuts, for all its nodes at once."""
-    dims = [c for c in rows.columns if c[0] == "d" and c[1:].isdigit()]
+    dims = sorted((c for c in rows.columns if c[0] == "d" and c[1:].isdigit()), key=lambda c: int(c[1:]))
     root, whole = _Node(shards, 0), None
     while nodes := root.open():
         at = rows.withColumn("node", root.choose(_shard))

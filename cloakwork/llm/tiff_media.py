@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloakwork.llm.common import materialize
+from cloakwork.llm.memory import map_pandas
 
 # Fixed values of the TIFF 6.0 format: tags, compression schemes, field types.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_SIZES = 256, 257, 258, 259, 262, 273, 277, 278, 279
@@ -299,7 +300,7 @@ def tiff_pages(files: DataFrame, key: str, content: str) -> DataFrame:
 
     kind = files.schema[key].dataType.simpleString()
     schema = f"key {kind}, page int, width int, height int, samples int, compression int, predictor int, pixels binary, error string"
-    return files.select(F.col(key).alias("key"), F.col(content).alias("content")).mapInPandas(run, schema).withColumnRenamed("key", key)
+    return files.select(F.col(key).alias("key"), F.col(content).alias("content")).transform(map_pandas, run, schema).withColumnRenamed("key", key)
 
 
 def payload_of(text: str | None) -> tuple[int, bytes]:
@@ -321,7 +322,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
                 media.append(write_tiff([image[y : y + PAGE_ROWS] for y in range(0, len(image), PAGE_ROWS)]))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": sizes, "media": media})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(map_pandas, run, "doc_id long, n_bytes long, media binary")
 
 
 def feature_of(images: list[np.ndarray]) -> str:
@@ -351,7 +352,7 @@ def media_features(media: DataFrame) -> DataFrame:
             yield out
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.select("doc_id", "n_bytes", "media").mapInPandas(run, schema)
+    return media.select("doc_id", "n_bytes", "media").transform(map_pandas, run, schema)
 
 
 def op10_tiff_media(spark, sf_dir: str) -> DataFrame:

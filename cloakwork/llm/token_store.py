@@ -2,11 +2,13 @@
 
 Texts are encoded in tasks; a rolling hash over the ids cuts each document's stream into chunks, whose BLAKE2 digest is
 their name. A chunk is stored once: tasks send each chunk at most once, and the store's hash partitions keep the first of
-a name. Recipes list the chunks of each document in ascending doc_id, with the place of its first id in the whole stream;
-Merkle nodes over the recipes are held against what a reader finds, before it puts anything together.
+a name. Recipes list the chunks of each document in ascending doc_id. A Merkle tree stands over the recipes: a leaf is
+the hash of all that a recipe says, and the hashes of MERKLE_FAN leaves, of a part's nodes and of all parts end in one
+root. A reader works the tree out anew from the recipes and holds it against the manifest before it puts anything together.
 
 Files, all Parquet under one folder: parts/kind=chunk(digest, body) with body = one byte of width (2 or 4) and little-endian ids;
-recipes(part, place, doc_id, n_tokens, digests, sizes); manifest(part, block, root).
+recipes(part, place, doc_id, n_tokens, digests, sizes), the digests joined, 16 bytes each; manifest(part, block, root) with
+block -1 for a part's own root and part -1 for that of the store.
 
 Null text counts as empty and still has its end id; rows that share a doc_id keep an order by where they were read; a
 null doc_id comes first; an empty table gives an empty result; other columns are ignored.
@@ -32,11 +34,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cloakwork.llm.common import shared_dir
+from cloakwork.llm.memory import map_arrow, map_pandas
 
 #: A cut falls after an id where WINDOW hashed ids leave zero under MASK: every 256 ids on average.
 WINDOW_DOUBLINGS, MASK = 5, np.uint64(255 << 40)
 LEAST, MOST = 64, 2048
-MERKLE_FAN = 256
+MERKLE_FAN, NAME_BYTES = 256, 16
 #: A worker forgets words, and a task chunk names, beyond this many.
 MOST_WORDS, MOST_NAMES = 400_000, 200_000
 SLICE_CHARS = 4_000_000
@@ -148,19 +151,24 @@ def encoder(path: str) -> Encoder:
 _GEAR = np.random.default_rng(9).integers(0, 2**64, 1 << 16, np.uint64)
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one document's ids: content decides, within LEAST and MOST."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
+def cut_marks(ids: np.ndarray) -> np.ndarray:
+    """Places after which a chunk may end in a run of ids of many documents.
+
+    What lies LEAST ids or more into a document is decided by its own ids alone, as WINDOW hashed ids are fewer.
+    """
     h = _GEAR[ids & 0xFFFF] + (ids >> 16).astype(np.uint64)
     for k in range(WINDOW_DOUBLINGS):
         step = 1 << k
         grown = h.copy()
         grown[step:] += h[:-step] << np.uint64(step)
         h = grown
+    return np.flatnonzero((h & MASK) == 0) + 1
+
+
+def cut_points(marks: list[int], n: int) -> list[int]:
+    """Ends of the chunks of one document of n ids, of its marks: content decides, within LEAST and MOST."""
     ends, last = [], 0
-    for c in (np.flatnonzero((h & MASK) == 0) + 1).tolist():
+    for c in marks:
         while c - last > MOST:
             last += MOST
             ends.append(last)
@@ -175,16 +183,12 @@ def cut_points(ids: np.ndarray) -> list[int]:
     return ends
 
 
-def pack(ids: np.ndarray) -> bytes:
-    return b"\2" + ids.astype("<u2").tobytes() if len(ids) == 0 or int(ids.max()) < 65536 else b"\4" + ids.astype("<u4").tobytes()
-
-
 def unpack(body: bytes) -> np.ndarray:
     return np.frombuffer(body, "<u2" if body[0] == 2 else "<u4", offset=1)
 
 
 def name_of(body: bytes) -> bytes:
-    return hashlib.blake2b(body, digest_size=16).digest()
+    return hashlib.blake2b(body, digest_size=NAME_BYTES).digest()
 
 
 @dataclass(frozen=True)
@@ -198,20 +202,20 @@ class Store:
 
 
 _KINDS = {"chunks": "chunk", "unordered": "recipe"}
-_RECIPE = "doc_id long, n_tokens long, digests array<binary>, sizes array<int>"
+_RECIPE = "doc_id long, n_tokens long, digests binary, sizes array<int>"
 _ROW = f"kind string, digest binary, body binary, source_row long, {_RECIPE}"
 _SCHEMAS = {
-    "chunks": "digest binary, body binary", "recipes": f"part int, place long, {_RECIPE}", "manifest": "part int, block long, root binary",
+    "chunks": "digest binary, body binary", "recipes": f"part int, place long, {_RECIPE}", "manifest": "part int, block long, root string",
     "unordered": f"source_row long, {_RECIPE}",
 }
 
 
 def _encode_task(tokenizer_path: str, end: int | None):
-    fields = [("kind", pa.string()), ("digest", pa.binary()), ("body", pa.binary()), ("source_row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32()))]
+    fields = [("kind", pa.string()), ("digest", pa.binary()), ("body", pa.binary()), ("source_row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.binary()), ("sizes", pa.list_(pa.int32()))]
 
     def rows(n: int, kind: str, **columns) -> pa.RecordBatch:
         columns["kind"] = pa.array([kind] * n, pa.string())
-        return pa.RecordBatch.from_arrays([pa.array(columns[f], t) if f in columns else pa.nulls(n, t) for f, t in fields], schema=pa.schema(fields))
+        return pa.RecordBatch.from_arrays([columns.get(f, pa.nulls(n, t)) for f, t in fields], schema=pa.schema(fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library, sent = encoder(tokenizer_path), set()
@@ -221,15 +225,18 @@ def _encode_task(tokenizer_path: str, end: int | None):
             turn = np.flatnonzero(np.diff(chars // SLICE_CHARS)) + 1
             for a, b in pairwise([0, *turn.tolist(), batch.num_rows]):
                 ids, ends = library.encode(texts.slice(a, b - a), end)
-                names, bodies, digests, sizes = [], [], [], []
-                for begin, stop in pairwise(ends.tolist()):
-                    mine, last = ids[begin:stop], 0
-                    digests.append(own := [])
-                    sizes.append(lengths := [])
-                    for c in cut_points(mine):
-                        body = pack(mine[last:c])
+                width, kind = (2, "<u2") if not len(ids) or int(ids.max()) < 65536 else (4, "<u4")
+                raw, head = ids.astype(kind).tobytes(), bytes((width,))
+                marks = cut_marks(ids)
+                first = np.searchsorted(marks, ends, "right").tolist()
+                names, bodies, digests, sizes, counts = [], [], [], [], [0]
+                for k, (begin, stop) in enumerate(pairwise(ends.tolist())):
+                    own, last = [], 0
+                    cuts = cut_points((marks[first[k] : first[k + 1]] - begin).tolist(), stop - begin)
+                    for c in cuts:
+                        body = head + raw[width * (begin + last) : width * (begin + c)]
                         own.append(name := name_of(body))
-                        lengths.append(c - last)
+                        sizes.append(c - last)
                         last = c
                         if name not in sent:
                             if len(sent) >= MOST_NAMES:
@@ -237,22 +244,26 @@ def _encode_task(tokenizer_path: str, end: int | None):
                             sent.add(name)
                             names.append(name)
                             bodies.append(body)
-                yield rows(len(names), "chunk", digest=names, body=bodies, source_row=np.zeros(len(names), np.int64))
+                    digests.append(b"".join(own))
+                    counts.append(len(sizes))
+                yield rows(len(names), "chunk", digest=pa.array(names, pa.binary()), body=pa.array(bodies, pa.binary()), source_row=pa.array(np.zeros(len(names), np.int64)))
                 part = {f: batch.column(f).slice(a, b - a) for f in ("doc_id", "source_row")}
-                yield rows(b - a, "recipe", n_tokens=np.diff(ends), digests=digests, sizes=sizes, **part)
+                lists = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.array(sizes, pa.int32()))
+                yield rows(b - a, "recipe", n_tokens=pa.array(np.diff(ends), pa.int64()), digests=pa.array(digests, pa.binary()), sizes=lists, **part)
 
     return run
 
 
-def _first_of_name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _first_of_name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Recipes, and the first chunk of each name; the names of one partition are held."""
     seen: set[bytes] = set()
-    for pdf in batches:
+    for batch in batches:
         keep = []
-        for kind, digest in zip(pdf["kind"], pdf["digest"]):
-            keep.append(kind == "recipe" or digest not in seen)
-            if kind == "chunk":
+        for digest in batch.column("digest").to_pylist():  # a recipe has none
+            keep.append(digest is None or digest not in seen)
+            if digest is not None:
                 seen.add(digest)
-        yield pdf[keep]
+        yield batch.filter(pa.array(keep, pa.bool_()))
 
 
 def write_store(docs: DataFrame, tokenizer_path: str, end: int | None = None, path: str | None = None) -> Store:
@@ -260,9 +271,9 @@ def write_store(docs: DataFrame, tokenizer_path: str, end: int | None = None, pa
     spark = docs.sparkSession
     store = Store(path or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("source_row"))
-    made = source.mapInArrow(_encode_task(tokenizer_path, end), _ROW)
+    made = source.transform(map_arrow, _encode_task(tokenizer_path, end), _ROW)
     dealt = made.repartition(F.coalesce(F.xxhash64("digest", "source_row"), F.lit(0)))
-    dealt.mapInPandas(_first_of_name, _ROW).write.partitionBy("kind").option("compression", "zstd").parquet(f"{store.path}/parts")
+    dealt.transform(map_arrow, _first_of_name, _ROW).write.partitionBy("kind").option("compression", "zstd").parquet(f"{store.path}/parts")
     recipes = store.table(spark, "unordered")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = recipes.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "source_row").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "source_row")
@@ -272,12 +283,14 @@ def write_store(docs: DataFrame, tokenizer_path: str, end: int | None = None, pa
 
 
 def merkle(recipes: DataFrame) -> DataFrame:
-    """One node for every MERKLE_FAN consecutive recipes of a part; a leaf is the hash of all that a recipe says."""
-    joined = F.hex(F.aggregate("digests", F.lit(b""), lambda a, x: F.concat(a, x)))
-    said = F.concat_ws("|", "place", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "n_tokens", F.concat_ws(",", F.col("sizes").cast("array<string>")), joined)
-    recipes = recipes.select("part", "place", F.unhex(F.sha2(said, 256)).alias("root"))
-    nodes = recipes.groupBy("part", F.floor(F.col("place") % 2**33 / MERKLE_FAN).alias("block")).agg(F.sort_array(F.collect_list(F.struct("place", "root"))).alias("leaves"))
-    return nodes.select("part", "block", F.unhex(F.sha2(F.aggregate("leaves", F.lit(b""), lambda a, x: F.concat(a, x["root"])), 256)).alias("root"))
+    """part, block, root of every node above the leaves: of MERKLE_FAN recipes in turn, of each part, and of all."""
+    said = F.concat_ws("|", "place", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "n_tokens", F.concat_ws(",", F.col("sizes").cast("array<string>")))
+    leaves = recipes.select("part", "place", F.sha2(F.concat(F.encode(said, "UTF-8"), "digests"), 256).alias("root"))
+    joined = lambda *order: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, "root"))), lambda x: x["root"]), ""), 256).alias("root")
+    blocks = leaves.groupBy("part", F.floor(F.col("place") % 2**33 / MERKLE_FAN).alias("block")).agg(joined("place"))
+    parts = blocks.groupBy("part").agg(joined("block")).select("part", F.lit(-1).cast("long").alias("block"), "root")
+    whole = parts.groupBy().agg(joined("part")).select(F.lit(-1).alias("part"), F.lit(-1).cast("long").alias("block"), "root")
+    return blocks.unionByName(parts).unionByName(whole)
 
 
 def _table_of(columns: np.ndarray) -> np.ndarray:
@@ -302,17 +315,16 @@ def _append_zeros(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _read_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        names, sizes, crcs = [], [], []
-        for digest, body in zip(pdf["digest"], pdf["body"]):
+def _read_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        digests, sizes, crcs = batch.column("digest"), [], []
+        for digest, body in zip(digests.to_pylist(), batch.column("body").to_pylist()):
             if name_of(body) != digest:
                 raise ValueError(f"chunk {digest.hex()} doesn't hold what its name says")
             ids = unpack(body)
-            names.append(digest)
             sizes.append(len(ids))
             crcs.append(zlib.crc32(ids.astype("<u4").tobytes()))
-        yield pd.DataFrame({"digest": names, "n": sizes, "crc": crcs})
+        yield pa.RecordBatch.from_arrays([digests, pa.array(sizes, pa.int32()), pa.array(crcs, pa.int64())], names=["digest", "n", "crc"])
 
 
 def _join_crcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,6 +337,12 @@ def _join_crcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("place"), pa.array(np.bitwise_xor.reduceat(_append_zeros(crc, np.repeat(total, counts) - upto), first))], names=["place", "ids_crc32"])
 
 
+def _uses(recipes: DataFrame) -> DataFrame:
+    """place, pos, size and digest of every chunk of every recipe."""
+    each = recipes.select("place", "digests", F.posexplode("sizes").alias("pos", "size"))
+    return each.select("place", "pos", "size", F.substring("digests", F.col("pos") * NAME_BYTES + 1, F.lit(NAME_BYTES)).alias("digest"))
+
+
 def read_digests(spark: SparkSession, store: Store) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the store's files.
 
@@ -334,11 +352,11 @@ def read_digests(spark: SparkSession, store: Store) -> DataFrame:
     """
     check(spark, store)
     recipes = store.table(spark, "recipes")
-    read = store.table(spark, "chunks").mapInPandas(_read_chunks, "digest binary, n int, crc long")
-    uses = recipes.select("place", F.posexplode(F.arrays_zip("digests", "sizes")).alias("pos", "use")).select("place", "pos", F.col("use.digests").alias("digest"), F.col("use.sizes").alias("size"))
+    read = store.table(spark, "chunks").transform(map_arrow, _read_chunks, "digest binary, n int, crc long")
+    uses = _uses(recipes)
     found = uses.join(read, "digest", "left").withColumn("crc", F.when(F.col("n") == F.col("size"), F.col("crc")).otherwise(F.raise_error(F.lit("a recipe names a chunk that is missing or of another size"))))
     parts = found.groupBy("place").agg(F.sort_array(F.collect_list(F.struct("pos", "n", "crc"))).alias("parts"))
-    crcs = parts.mapInArrow(_join_crcs, "place long, ids_crc32 long")
+    crcs = parts.transform(map_arrow, _join_crcs, "place long, ids_crc32 long")
     within = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     sums = recipes.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     earlier = sums.select("part", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
@@ -356,9 +374,8 @@ def read_documents(spark: SparkSession, store: Store) -> DataFrame:
 
     check(spark, store)
     recipes = store.table(spark, "recipes")
-    uses = recipes.select("place", F.posexplode("digests").alias("pos", "digest"))
-    parts = uses.join(store.table(spark, "chunks"), "digest").groupBy("place").agg(F.sort_array(F.collect_list(F.struct("pos", "body"))).alias("parts"))
-    ids = parts.mapInPandas(build, "place long, ids array<long>")
+    parts = _uses(recipes).join(store.table(spark, "chunks"), "digest").groupBy("place").agg(F.sort_array(F.collect_list(F.struct("pos", "body"))).alias("parts"))
+    ids = parts.transform(map_pandas, build, "place long, ids array<long>")
     return recipes.select("place", "doc_id").join(ids, "place", "left").select("doc_id", F.coalesce("ids", F.array().cast("array<bigint>")).alias("ids"))
 
 

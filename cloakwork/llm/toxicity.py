@@ -20,14 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloakwork.llm.language_id import held_out
-from cloakwork.llm.words import mix, slices, text_bytes, word_hashes
+from cloakwork.llm.memory import map_arrow
+from cloakwork.llm.words import forget_powers, mix, slices, text_bytes, word_hashes
 
 BITS = 20
 #: At most so many labelled rows are learned from, their whole texts, so many times over.
 SAMPLE_ROWS, PASSES = 20_000, 4
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 6.0, 0.1
 DECIDE = 0.3
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 _KINDS = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -113,7 +114,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
                 out = 1 / (1 + np.exp(-np.clip(np.array(sums) + float(weights[-1]), -35, 35)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(out, pa.float64())], names=["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(map_arrow, run, "doc_id long, score double", then=forget_powers)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= DECIDE).cast("int").alias("predicted"))
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 _BASE = 0x9E3779B97F4A7C15
-_BLOCK = 2_000_000
+_BLOCK = 1_000_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _LOWER = np.arange(1, 257, dtype=np.uint64)
@@ -86,6 +86,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets)
 
 
+def forget_powers() -> None:
+    """Frees the tables that the last block needed."""
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
 def slices(offsets: np.ndarray, most: int):
     """Ranges of rows of at most `most` bytes each, at least one row."""
     at, n = 0, len(offsets) - 1

@@ -5,6 +5,12 @@
 3. N-gram Jaccard join: of near copies, the document of the smallest doc_id in each component stays.
 4. Mixing: each document stays as often as the mix to the sources' target weights takes it.
 5. Pieces: encode and decode; the result has the digests of each document's ids and of the text decoded from them.
+
+A null or empty text, or one without a letter, has no language and goes in stage 1, as do texts of a few letters that
+all languages' dictionaries compress alike. Null ids stay, in stage 2 one for each text. Texts of any length are taken
+whole. Of ties, the smallest doc_id stays, and of repeated rows one, picked by a hash of their other columns. A null
+source is mixed as a source of its own. An empty table gives an empty result in every stage. Other columns, whatever
+their names and kinds, are carried through stages 1 to 4; the last stage returns its own.
 """
 
 from __future__ import annotations
@@ -13,7 +19,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cloakwork.llm import exact_dedup, language_id, mixing, ngram_join, piece_bpe
-from cloakwork.llm.common import materialize
+from cloakwork.llm.common import discard, scratch, written
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn; what a stage has written for itself, and what it has read, goes when its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before = docs
+        with scratch(spark):
+            made = stage(spark, before, sf_dir)
+            docs = written(made, f"pipeline-{name}")
+        discard(before)
     return docs
