@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from cloakwork.functions.text import js_trim
 from cloakwork.patterns import JS_WS, TOKENS
 
 
@@ -22,7 +23,7 @@ def extract_numbers(value: Column) -> Column:
 
 
 def percent_like(value: Column) -> Column:
-    return value.contains("%") | F.trim(value).rlike(rf"\A(?:[\d.,]|{JS_WS})+\z")
+    return value.contains("%") | js_trim(value).rlike(rf"\A(?:[\d.,]|{JS_WS})+\z")
 
 
 def _near(a: Column, b: Column, tolerance: float) -> Column:
@@ -44,3 +45,22 @@ def sweep_tokens(values: Column) -> Column:
 def numeric_sweep(number: Column, tokens: Column) -> Column:
     share = (number > 0) & (number < 1) & F.exists(tokens["percent"], lambda t: (t <= 100) & (F.abs(number * 100 - t) <= 1e-6))
     return F.exists(tokens["all"], lambda t: _near(number, t, 1e-9)) | share
+
+
+def number_tokens(spark: SparkSession, values: list[str]) -> list[tuple[float, bool, bool]]:
+    """(number, whether its value is a percentage, whether it shows the sign) of all numbers of a few given values."""
+    table = spark.range(1).select(F.explode(F.array(*map(F.lit, values)).cast("array<string>")).alias("v"))
+    found = table.select(F.explode(extract_numbers(F.col("v"))).alias("n"), percent_like(F.col("v")).alias("share"), F.col("v").contains("%").alias("sign"))
+    return sorted({tuple(r) for r in found.collect()})
+
+
+def number_hit(number: Column, tokens: list[tuple[float, bool, bool]]) -> Column:
+    """number_matches_value or numeric_sweep for any of the values behind tokens, all of them constants."""
+    hit, part = F.lit(False), (number > 0) & (number < 1)
+    for n, share, sign in tokens:
+        hit = hit | _near(number, F.lit(n), 1e-9)
+        if share:
+            hit = hit | (_near(number * 100, F.lit(n), 1e-6) if sign else part & _near(number * 100, F.lit(n), 1e-6))
+        if sign and n <= 100:
+            hit = hit | (part & (F.abs(number * 100 - n) <= 1e-6))
+    return hit

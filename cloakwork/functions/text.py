@@ -10,6 +10,11 @@ from cloakwork.patterns import JS_WS, PERCENT_HEADERS, PRICE_LIKE, SWEEP, VENDOR
 RADIUS = 45
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value worked out once: a bound variable isn't copied into the places that name it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def collapse(s: Column) -> Column:
     """Runs of white space become one space; none at the ends."""
     return F.trim(F.regexp_replace(s, f"{JS_WS}+", " "))
@@ -40,14 +45,22 @@ def masker(value: Column) -> Column:
 
 
 def locate(text: Column, value: Column) -> Column:
-    """struct(count, exact, index): how often a value is in the text, its first form there and where (0-based; -1: nowhere)."""
-    pattern = sought(value)
-    first = F.when(F.length(value) > 0, F.regexp_substr(text, pattern))
-    return F.struct(
-        F.when(F.length(value) > 0, F.regexp_count(text, pattern)).otherwise(0).cast("long").alias("count"),
-        F.coalesce(F.regexp_replace(first, f"{JS_WS}+", " "), value).alias("exact"),
-        F.coalesce(F.instr(text, first) - 1, F.lit(-1)).alias("index"),
-    )
+    """struct(count, exact, index): how often a value is in the text, its first form there and where (0-based; -1: nowhere).
+
+    The expression is sought only where the value's first digits are in the text: digits have one form.
+    """
+    digits = F.regexp_substr(value, F.lit("[0-9]+"))
+    there = (F.length(value) > 0) & (digits.isNull() | text.contains(digits))
+    every = F.when(there, F.regexp_extract_all(text, sought(value), F.lit(0)))
+
+    def found(all_: Column) -> Column:
+        first = F.get(all_, F.lit(0))
+        return F.struct(
+            F.when(all_.isNull(), 0).otherwise(F.size(all_)).cast("long").alias("count"), F.coalesce(F.regexp_replace(first, f"{JS_WS}+", " "), value).alias("exact"),
+            F.coalesce(F.instr(text, first) - 1, F.lit(-1)).alias("index"),
+        )
+
+    return let(every, found)
 
 
 def snippet(text: Column, index: Column, length: Column) -> Column:

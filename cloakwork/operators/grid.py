@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cloakwork.config import MASK
-from cloakwork.functions.numbers import number_matches_value, numeric_sweep, sweep_tokens
-from cloakwork.functions.text import guess_category, guess_category_from_header, js_trim, matches_sweep, norm
+from cloakwork.functions.numbers import number_hit, number_tokens
+from cloakwork.functions.text import collapse, guess_category, guess_category_from_header, js_trim, matches_sweep, norm
 from cloakwork.operators.mask import mask_flexible
 
 
@@ -26,24 +26,36 @@ def _maskable(value: Column) -> Column:
     return (js_trim(value) != "") & (F.upper(js_trim(value)) != MASK)
 
 
+def _plans(plan_columns: DataFrame, plan_values: DataFrame, plan_sheets: DataFrame) -> DataFrame:
+    """One row a sheet: cols (si, ci, label), vals (si, vi, want) and sweeps (si), as arrays."""
+    cols = plan_columns.select("sheet", F.struct("si", "ci", norm(F.col("label")).alias("label")).alias("col"))
+    vals = plan_values.select("sheet", F.struct("si", "vi", js_trim(F.col("value")).alias("want")).alias("val"))
+    sweeps = plan_sheets.where("sweep").select("sheet", F.col("si").alias("sweep"))
+    every = cols.unionByName(vals, True).unionByName(sweeps, True)
+    plans = every.groupBy("sheet").agg(*[F.collect_list(c).alias(f"{c}s") for c in ("col", "val", "sweep")])
+    named = lambda s: F.exists("cols", lambda k: k["si"] == s) | F.exists("vals", lambda k: k["si"] == s)
+    return plans.withColumn("sweeps", F.filter("sweeps", named)).withColumn("vals", F.filter("vals", lambda v: v["want"] != ""))
+
+
 def claims(cells: DataFrame, plan_columns: DataFrame, plan_values: DataFrame, plan_sheets: DataFrame) -> DataFrame:
     """Each masked cell with its first claimant: sheet, r, c, value, si, kind (column, value, sweep) and idx.
 
-    Only the topmost header of a label in a column matters for what lies below it, so headers are aggregated before
-    they are joined, and no range join is needed; claimants are few and told apart by a minimum, not by a sort.
+    A sheet's plan is one row of arrays, with the topmost header of each label in each column, as only that matters for
+    what lies below. Cells meet it in one join by sheet, and the claimant is chosen inside the row.
     """
-    tops = header_cells(cells, plan_columns).groupBy("si", "ci", "sheet", "c").agg(F.min("r").alias("top"))
-    labels = plan_columns.select("si", "sheet", norm(F.col("label")).alias("label")).distinct()
-    body = cells.where(_maskable(F.col("value")))
-    under = body.join(tops, ["sheet", "c"]).where("r > top").select("sheet", "r", "c", "value", "si", F.lit(0).alias("kind"), F.col("ci").alias("idx"))
-    wanted = plan_values.where(js_trim(F.col("value")) != "").select("si", "vi", "sheet", js_trim(F.col("value")).alias("want"))
-    equal = body.where("r >= 1").withColumn("want", js_trim(F.col("value"))).join(wanted, ["sheet", "want"])
-    equal = equal.select("sheet", "r", "c", "value", "si", F.lit(1).alias("kind"), F.col("vi").alias("idx"))
-    sweeping = plan_sheets.where("sweep").join(plan_columns.select("si").union(plan_values.select("si")).distinct(), "si", "left_semi").select("si", "sheet")
-    shaped = body.where(matches_sweep(F.col("value"))).join(sweeping, "sheet").select("sheet", "r", "c", "value", "si", F.lit(2).alias("kind"), F.lit(0).alias("idx"))
-    no_label = lambda df: df.withColumn("label", norm(F.col("value"))).join(labels, ["si", "sheet", "label"], "left_anti").drop("label")
-    every = no_label(under).unionByName(equal).unionByName(no_label(shaped))
-    first = every.groupBy("sheet", "r", "c", "value").agg(F.min(F.struct("si", "kind", "idx")).alias("claim"))
+    plans = _plans(plan_columns, plan_values, plan_sheets)
+    heads = cells.join(plans.select("sheet", "cols"), "sheet").select("sheet", "r", "c", F.explode(F.filter("cols", lambda k: (k["label"] != "") & (k["label"] == norm(F.col("value"))))).alias("k"))
+    tops = heads.groupBy("sheet", "k.si", "k.ci", "c").agg(F.min("r").alias("top")).groupBy("sheet").agg(F.collect_list(F.struct("c", "top", "si", "ci")).alias("tops"))
+    body = cells.where(_maskable(F.col("value"))).join(plans.join(tops, "sheet", "left"), "sheet")
+    body = body.withColumns({"label": norm(F.col("value")), "want": js_trim(F.col("value")), "shaped": matches_sweep(F.col("value"))})
+    label = lambda si: F.exists("cols", lambda k: (k["si"] == si) & (k["label"] == F.col("label")))
+    claim = lambda si, kind, idx: F.struct(si.cast("long").alias("si"), F.lit(kind).alias("kind"), idx.cast("int").alias("idx"))
+    none = F.array().cast("array<struct<si:bigint,kind:int,idx:int>>")
+    below = F.filter("tops", lambda t: (t["c"] == F.col("c")) & (F.col("r") > t["top"]) & ~label(t["si"]))
+    equal = F.filter("vals", lambda v: (v["want"] == F.col("want")) & (F.col("r") >= 1))
+    swept = F.when(F.col("shaped"), F.filter("sweeps", lambda s: ~label(s)))
+    every = [F.transform(below, lambda t: claim(t["si"], 0, t["ci"])), F.transform(equal, lambda v: claim(v["si"], 1, v["vi"])), F.transform(swept, lambda s: claim(s, 2, F.lit(0)))]
+    first = body.withColumn("claim", F.array_min(F.concat(*[F.coalesce(x, none) for x in every]))).where("claim IS NOT NULL")
     kind = F.element_at(F.array(F.lit("column"), F.lit("value"), F.lit("sweep")), F.col("claim.kind") + 1)
     return first.select("sheet", "r", "c", "value", F.col("claim.si").alias("si"), kind.alias("kind"), F.col("claim.idx").alias("idx"))
 
@@ -63,8 +75,8 @@ def plan_review(counts: DataFrame) -> DataFrame:
     """A finding for each column and value of a plan, and for each sweep that found something."""
     number = F.when(F.col("kind") == "sweep", F.concat_ws("_", F.lit("plansweep"), "si")).otherwise(F.concat_ws("_", F.when(F.col("kind") == "column", "plancol").otherwise("planval"), "si", "idx"))
     name = F.when(F.col("kind") == "column", guess_category_from_header(F.lit(""), F.col("label"))).when(F.col("kind") == "value", guess_category(F.col("label"))).otherwise("Price")
-    where = F.concat(F.lit(' (sheet "'), F.col("sheet"), F.lit('")'))
-    shown = F.when(F.col("kind") == "column", F.concat(F.lit('All values in column "'), F.col("label"), F.lit('"'), where)).when(F.col("kind") == "value", F.col("label")).otherwise(F.concat(F.lit("All other amounts & percentages"), where))
+    where = F.coalesce(F.concat(F.lit(" of sheet "), F.col("sheet")), F.lit(""))
+    shown = F.when(F.col("kind") == "column", F.concat(F.lit("Column "), F.col("label"), where)).when(F.col("kind") == "value", F.col("label")).otherwise(F.concat(F.lit("Further amounts and percentages"), where))
     sweep = F.col("kind") == "sweep"
     return counts.where(~sweep | (F.col("count") > 0)).select(
         number.alias("field_id"), name.alias("field_name"), shown.alias("original_value"), F.when(sweep, "pattern").otherwise("ai").alias("source"),
@@ -83,7 +95,7 @@ def plan_without(plan_columns: DataFrame, plan_values: DataFrame, plan_sheets: D
 
 def resolve_sheets(plan_sheets: DataFrame, sheets: DataFrame) -> DataFrame:
     """plan_sheets(si, name) and sheets(idx, sheet) → si, sheet: by name in any case, or by position."""
-    plain = lambda c: F.lower(F.trim(c))
+    plain = lambda c: F.lower(js_trim(c))
     by_name = sheets.groupBy(plain(F.col("sheet")).alias("key")).agg(F.min(F.struct("idx", "sheet")).alias("named"))
     by_place = sheets.select(F.col("idx").alias("si"), F.col("sheet").alias("placed"))
     both = plan_sheets.join(by_name, plain(F.col("name")) == F.col("key"), "left").join(by_place, "si", "left")
@@ -95,24 +107,21 @@ def plan_sample(rows: DataFrame, head: int = 30) -> DataFrame:
     filled = rows.where(js_trim(F.col("line")) != "")
     w = Window.partitionBy("sheet").orderBy("r")
     n = filled.groupBy("sheet").agg(F.count("*").alias("n"))
-    numbered = filled.withColumn("rn", F.row_number().over(w) - 1).join(F.broadcast(n), "sheet")
+    numbered = filled.withColumn("rn", F.row_number().over(w) - 1).join(n, "sheet")
     step = F.greatest(F.lit(1), F.floor((F.col("n") - head) / head))
     return numbered.where((F.col("rn") < head) | ((F.col("rn") - head) % step == 0)).select("sheet", "r", "line")
 
 
-def mask_cells(cells: DataFrame, values: Column) -> DataFrame:
-    """cells(…, value, num_value) with masked: texts keep what surrounds a value, numbers that are one go whole.
-
-    values: an array column of literals; its number tokens are worked out once, as constants.
-    """
-    tokens = sweep_tokens(values)
-    hit = F.exists(values, lambda v: number_matches_value(F.col("num_value"), v)) | numeric_sweep(F.col("num_value"), tokens)
-    return cells.withColumn("masked", F.when(F.col("num_value").isNotNull(), F.when(hit, MASK).otherwise(F.col("value"))).otherwise(mask_flexible(F.col("value"), values)))
+def mask_cells(cells: DataFrame, values: list[str]) -> DataFrame:
+    """cells(…, value, num_value) with masked: texts keep what surrounds a value, numbers that are one go whole."""
+    hit = number_hit(F.col("num_value"), number_tokens(cells.sparkSession, values))
+    texts = mask_flexible(F.col("value"), F.array(*map(F.lit, values)).cast("array<string>"))
+    return cells.withColumn("masked", F.when(F.col("num_value").isNotNull(), F.when(hit, MASK).otherwise(F.col("value"))).otherwise(texts))
 
 
 def column_shift(original: DataFrame, other: DataFrame, shifts: int = 3) -> DataFrame:
     """For each sheet the shift of columns under which most header cells of two grids agree; the least of equals."""
-    heads = lambda df, name: df.where("r = 0").select("sheet", F.col("c").alias(f"c_{name}"), F.lower(F.trim("value")).alias(f"v_{name}"))
+    heads = lambda df, name: df.where("r = 0").select("sheet", F.col("c").alias(f"c_{name}"), F.lower(js_trim(F.col("value"))).alias(f"v_{name}"))
     a, b = heads(original, "a"), heads(other, "b")
     tried = b.withColumn("shift", F.explode(F.sequence(F.lit(0), F.lit(shifts - 1)))).withColumn("c_a", F.col("c_b") - F.col("shift"))
     agree = tried.join(a, ["sheet", "c_a"]).groupBy("sheet", "shift").agg(F.count_if((F.col("v_a") == F.col("v_b")) & (F.col("v_a") != "")).alias("score"))
@@ -122,9 +131,9 @@ def column_shift(original: DataFrame, other: DataFrame, shifts: int = 3) -> Data
 def grid_diff(original: DataFrame, masked: DataFrame) -> DataFrame:
     """Cells that a detector's copy of a grid has masked, at their place in the original: sheet, r, c, value, header."""
     shift = column_shift(original, masked)
-    there = masked.where(F.col("value").contains(MASK)).join(F.broadcast(shift.select("sheet", "shift")), "sheet").select("sheet", "r", (F.col("c") - F.col("shift")).alias("c"), F.col("value").alias("seen"))
+    there = masked.where(F.upper(js_trim(F.col("value"))) == MASK).join(shift.select("sheet", "shift"), "sheet").select("sheet", "r", (F.col("c") - F.col("shift")).alias("c"), F.col("value").alias("seen"))
     header = original.where("r = 0").select("sheet", "c", F.col("value").alias("header"))
-    found = original.where("r > 0").join(there, ["sheet", "r", "c"]).where(_maskable(F.col("value")) & ~F.col("value").eqNullSafe(F.col("seen")))
+    found = original.join(there, ["sheet", "r", "c"]).where(_maskable(F.col("value")) & ~F.col("value").eqNullSafe(F.col("seen")))
     return found.join(header, ["sheet", "c"], "left").select("sheet", "r", "c", "value", F.coalesce("header", F.lit("")).alias("header"))
 
 
@@ -135,12 +144,12 @@ def detections(diff: DataFrame) -> DataFrame:
 
 def alignment_scores(original: DataFrame, other: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs(sheet, r, ro) of rows → how many cells agree, differ and are masked; empty cells count for nothing."""
-    a = original.select("sheet", "r", "c", F.trim("value").alias("va"))
-    b = other.select("sheet", F.col("r").alias("ro"), "c", F.trim("value").alias("vb"))
+    a = original.select("sheet", "r", "c", collapse(F.col("value")).alias("va"))
+    b = other.select("sheet", F.col("r").alias("ro"), "c", collapse(F.col("value")).alias("vb"))
     both = pairs.join(a, ["sheet", "r"]).join(b, ["sheet", "ro", "c"])
-    masked, filled = F.col("vb").contains(MASK), (F.col("va") != "") & (F.col("vb") != "")
+    masked, filled = F.upper("vb") == MASK, (F.col("va") != "") & (F.col("vb") != "")
     return both.groupBy("sheet", "r", "ro").agg(
-        F.count_if(filled & ~masked & (F.col("va") == F.col("vb"))).alias("eq"), F.count_if(filled & ~masked & (F.col("va") != F.col("vb"))).alias("neq"), F.count_if(masked & (F.col("va") != "")).alias("masked"),
+        F.count_if(filled & ~masked & (F.col("va") == F.col("vb"))).alias("eq"), F.count_if(filled & ~masked & (F.col("va") != F.col("vb"))).alias("neq"), F.count_if(masked & ~F.upper("va").isin("", MASK)).alias("masked"),
     )
 
 
@@ -150,7 +159,7 @@ def sheet_lines(cells: DataFrame) -> DataFrame:
     quoted = F.when(F.col("value").rlike('[",\\n\\r]'), F.concat(F.lit('"'), F.replace("value", F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col("value"))
     rows = cells.groupBy("sheet", "r").agg(F.map_from_entries(F.collect_list(F.struct(F.col("c").cast("int"), quoted))).alias("at"))
     line = F.array_join(F.transform(F.sequence(F.lit(0), (F.col("width") - 1).cast("int")), lambda c: F.coalesce(F.element_at("at", c), F.lit(""))), ",")
-    return rows.join(F.broadcast(width), "sheet").select("sheet", "r", line.alias("line"))
+    return rows.join(width, "sheet").select("sheet", "r", line.alias("line"))
 
 
 def sheet_blocks(docs: DataFrame) -> DataFrame:
@@ -165,3 +174,31 @@ def sheet_blocks(docs: DataFrame) -> DataFrame:
     end = F.coalesce(F.get("starts", F.col("block") + 1)["i"], F.size("lines"))
     body = F.filter(F.transform(F.slice("lines", F.col("start.i") + 2, F.greatest(F.lit(0), end - F.col("start.i") - 1)), lambda x: x["s"]), lambda s: js_trim(s) != "")
     return out.withColumn("body", body).where("block > 0 OR size(body) > 0").select("doc_id", "block", F.col("start.name").alias("name"), F.coalesce(F.get("body", F.lit(0)), F.lit("")).alias("header"), F.greatest(F.lit(0), F.size("body") - 1).alias("rows"))
+
+
+def masked_total(claimed: DataFrame) -> DataFrame:
+    """How many cells a plan masks on each sheet."""
+    return claimed.groupBy("sheet").agg(F.count("*").alias("masked"))
+
+
+def review_fields(line: Column) -> Column:
+    """Cells of one line as a review shows them: a quote turns quoting on or off and is dropped, cells are trimmed."""
+    parts = F.regexp_extract_all(line, F.lit(r'\G((?:[^",]++|"[^"]*+(?:"|\z))*+)(,|\z)'), F.lit(0))
+    whole = F.slice(parts, F.lit(1), F.size(F.filter(parts, lambda p: p.endswith(",") & (F.regexp_count(p, F.lit('"')) % 2 == 0))) + 1)
+    return F.transform(whole, lambda p: js_trim(F.replace(F.regexp_replace(p, ",\\z", ""), F.lit('"'), F.lit(""))))
+
+
+def review_detections(docs: DataFrame, shifts: int = 3) -> DataFrame:
+    """docs(doc_id, text, copy): a sheet's text and a detector's masked copy → doc_id, value, header, first, once a value.
+
+    Lines meet by number, marker lines left out; the copy's columns may be shifted, as its first line tells.
+    """
+    lines = lambda t: F.filter(F.split(F.coalesce(t, F.lit("")), "\n"), lambda s: ~F.regexp_like(s, F.lit(r"\A\s*===")))
+    rows = docs.select("doc_id", lines(F.col("text")).alias("a"), lines(F.col("copy")).alias("b")).withColumns({"heads": review_fields(F.get("a", F.lit(0))), "seen": review_fields(F.get("b", F.lit(0)))})
+    agree = lambda k: F.size(F.filter(F.transform("heads", lambda h, c: (h != "") & (F.lower(h) == F.lower(F.coalesce(F.get("seen", c + k), F.lit(""))))), lambda ok: ok))
+    best = F.array_max(F.array(*[F.struct(agree(k).alias("score"), F.lit(-k).alias("minus")) for k in range(shifts)]))
+    pairs = rows.withColumn("shift", -best["minus"]).select("doc_id", "heads", "shift", F.posexplode(F.slice(F.arrays_zip("a", "b"), F.lit(1), F.least(F.size("a"), F.size("b")))).alias("r", "pair"))
+    cells = pairs.select("doc_id", "heads", "shift", "r", review_fields(F.col("pair.b")).alias("seen"), F.posexplode(review_fields(F.col("pair.a"))).alias("c", "value"))
+    hit = cells.where((F.upper(F.get("seen", F.col("c") + F.col("shift"))) == MASK) & ~F.upper("value").isin("", MASK))
+    first = F.min(F.struct("r", "c", F.coalesce(F.get("heads", F.col("c")), F.lit("")).alias("header")))
+    return hit.groupBy("doc_id", "value").agg(first.alias("first")).select("doc_id", "value", "first.header", F.struct("first.r", "first.c").alias("first"))

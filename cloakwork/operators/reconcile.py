@@ -2,7 +2,8 @@
 
 A document and its suggestions are joined once; all else is done on arrays inside the row: no window, no shuffle, and
 so the same plan runs on a stream. A hit gives way to a suggestion of the same key, to a verified suggestion that
-contains it and to an earlier hit that contains it.
+contains it and to an earlier hit that contains it: whether one does is read off the keys in a row, joined to one string,
+by where a key is found first.
 """
 
 from __future__ import annotations
@@ -10,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakwork.functions.text import category_rank, collapse, locate, norm, sensitivity, slug, snippet
-from cloakwork.operators.scan import distinct_hits, first_of_each, let
+from cloakwork.functions.text import category_rank, collapse, let, locate, norm, sensitivity, slug, snippet
+from cloakwork.operators.scan import distinct_hits, first_of_each
 
 
 def group_suggestions(suggestions: DataFrame) -> DataFrame:
@@ -20,13 +21,14 @@ def group_suggestions(suggestions: DataFrame) -> DataFrame:
     return suggestions.groupBy("doc_id").agg(F.sort_array(F.collect_list(one)).alias("suggested"))
 
 
-def _finding(text: Column, hits: Column, item: Column, loc: Column, order: Column, ai: bool) -> Column:
+def _finding(text: Column, keys: Column, item: Column, loc: Column, order: Column, ai: bool) -> Column:
+    """A finding of a suggestion or a hit; keys: all hits' keys, a line each."""
     verified = loc["count"] > 0
     final = F.when(verified, loc["exact"]).otherwise(item["value"])
     category = item["field_name"] if ai else item["category"]
-    agrees = F.exists(hits, lambda h: norm(final).contains(h["key"])) if ai else F.lit(True)
+    agrees = let(norm(final), lambda whole: F.exists(keys, whole.contains)) if ai else F.lit(True)
     level = F.coalesce(item["level"], sensitivity(category)) if ai else sensitivity(category)
-    reason = F.coalesce(F.nullif(item["reason"], F.lit("")), F.concat(F.lit("Detected as "), category)) if ai else F.concat(F.lit("Matched "), F.lower(category), F.lit(" pattern — missed by AI scan"))
+    reason = F.coalesce(F.nullif(item["reason"], F.lit("")), F.concat(F.lit("Suggested as "), category)) if ai else F.concat(F.lit("Found by a "), F.lower(category), F.lit(" pattern only"))
     source = F.when(verified & agrees, "ai+pattern").otherwise("ai") if ai else F.lit("pattern")
     confidence = F.when(~verified, 40).when(agrees, 100).otherwise(90) if ai else F.lit(75)
     return F.struct(
@@ -41,17 +43,23 @@ _NO_SUGGESTIONS = "array<struct<ai_seq:int,field_name:string,value:string,reason
 
 def _merged(text: Column, hits: Column, given: Column) -> Column:
     """hits and located suggestions of one text → its findings; both come as bound variables."""
+    line = lambda k: F.concat(F.lit("\n"), k, F.lit("\n"))  # noqa: E731  # keys have no line ends
 
     def with_keys(keys: Column) -> Column:
-        def alone(h: Column, i: Column) -> Column:
-            return ~F.array_contains(keys["all"], h["key"]) & ~F.exists(keys["covering"], lambda k: k.contains(h["key"])) & ~F.exists(F.slice(hits, F.lit(1), i), lambda e: e["key"].contains(h["key"]))
+        def alone(h: Column) -> Column:
+            inside = F.instr(keys["joined"], h["key"]) < F.instr(keys["joined"], line(h["key"])) + 1
+            return ~F.array_contains(keys["all"], h["key"]) & ~keys["covering"].contains(h["key"]) & ~inside
 
-        ai = F.transform(given, lambda g, i: _finding(text, hits, g["s"], g["loc"], i, True))
+        ai = F.transform(given, lambda g, i: _finding(text, keys["hits"], g["s"], g["loc"], i, True))
         extra = F.filter(F.transform(F.filter(hits, alone), lambda h: F.struct(h.alias("s"), locate(text, h["value"]).alias("loc"))), lambda g: g["loc"]["count"] > 0)
-        return F.sort_array(F.concat(ai, F.transform(extra, lambda g, i: _finding(text, hits, g["s"], g["loc"], i + 1_000_000, False))))
+        return F.array_sort(F.concat(ai, F.transform(extra, lambda g, i: _finding(text, keys["hits"], g["s"], g["loc"], i + 1_000_000, False))))
 
     covering = F.transform(F.filter(given, lambda g: g["loc"]["count"] > 0), lambda g: norm(g["loc"]["exact"]))
-    return let(F.struct(F.transform(given, lambda g: norm(g["s"]["value"])).alias("all"), covering.alias("covering")), with_keys)
+    hit_keys = F.transform(hits, lambda h: h["key"])
+    return let(F.struct(
+        F.transform(given, lambda g: norm(g["s"]["value"])).alias("all"), F.array_join(covering, "\n").alias("covering"), hit_keys.alias("hits"),
+        F.concat(F.lit("\n"), F.array_join(hit_keys, "\n"), F.lit("\n")).alias("joined"),
+    ), with_keys)
 
 
 def findings_array(docs: DataFrame) -> DataFrame:
@@ -64,11 +72,18 @@ def findings_array(docs: DataFrame) -> DataFrame:
 
 
 def explode_findings(found: DataFrame) -> DataFrame:
-    """One row a finding: doc_id, position (from 1), field_id and the finding's columns."""
+    """One row a finding: doc_id, position (from 1), field_id and the finding's columns.
+
+    The number in a field's id is its place among those of its name: places sorted by name, less where the name begins.
+    """
+
+    def numbers(order: Column) -> Column:
+        begins = F.filter(F.transform(order, lambda x, j: F.struct(x["name"].alias("name"), j.alias("j"))), lambda x: (x["j"] == 0) | ~F.get(order, x["j"] - 1)["name"].eqNullSafe(x["name"]))
+        return let(F.map_from_entries(begins), lambda at: F.array_sort(F.transform(order, lambda x, j: F.struct(x["i"].alias("i"), (j - at[x["name"]] + 1).alias("n")))))
 
     def named(all_: Column) -> Column:
-        nth = lambda f, i: F.size(F.filter(F.slice(all_, F.lit(1), i + 1), lambda g: g["field_name"] == f["field_name"]))
-        return F.transform(all_, lambda f, i: F.struct((i + 1).cast("long").alias("position"), F.concat_ws("_", slug(f["field_name"]), nth(f, i)).alias("field_id"), f.alias("f")))
+        order = F.array_sort(F.transform(all_, lambda f, i: F.struct(F.coalesce(f["field_name"], F.lit("")).alias("name"), i.alias("i"))))
+        return let(let(order, numbers), lambda ns: F.transform(all_, lambda f, i: F.struct((i + 1).cast("long").alias("position"), F.concat_ws("_", slug(f["field_name"]), F.get(ns, i)["n"]).alias("field_id"), f.alias("f"))))
 
     columns = ("field_name", "original_value", "source", "confidence", "occurrences", "verified", "context", "sensitivity", "reason")
     return found.select("doc_id", F.inline(let(F.col("findings"), named))).select("doc_id", "position", "field_id", *[F.col(f"f.{c}").alias(c) for c in columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakwork.functions.text import js_trim, norm
+from cloakwork.functions.text import js_trim, let, norm
 from cloakwork.patterns import PATTERNS
 
 
@@ -19,14 +19,19 @@ def hits_of(text: Column) -> Column:
     return F.flatten(F.array(*per_pattern))
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with value worked out once: a bound variable isn't copied into the places that name it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def first_of_each(items: Column, keys) -> Column:
+    """The items whose key comes for the first time; keys(items): strings, one for each item.
 
+    Keys are sorted with their places, so that equal ones are neighbours: no item is compared with all others.
+    """
 
-def first_of_each(items: Column, keys) -> Column:
-    """The items whose key comes for the first time; keys(items): strings, one for each item."""
-    return let(items, lambda all_: let(keys(all_), lambda ks: F.transform(F.array_distinct(ks), lambda k: F.element_at(all_, F.array_position(ks, k).cast("int")))))
+    def firsts(all_: Column) -> Column:
+        order = F.array_sort(F.transform(keys(all_), lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
+        runs = lambda s: F.filter(s, lambda x, j: (j == 0) | ~F.get(s, j - 1)["k"].eqNullSafe(x["k"]))
+        places = F.array_sort(F.transform(let(order, runs), lambda x: x["i"]))
+        return F.transform(places, lambda i: F.get(all_, i))
+
+    return let(items, firsts)
 
 
 def distinct_hits(text: Column) -> Column:

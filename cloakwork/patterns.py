@@ -23,6 +23,7 @@ def _both(category: str, body: str, before: bool = False, after: bool = False, f
     return Pattern(category, java, flags + r"\b" * before + body.replace("WS", r"\s") + r"\b" * after)
 
 
+# The seven patterns.
 PATTERNS = (
     _both("Price", rf"~?{_CUR}WS?\d[\d,]*(?:\.\d+)?(?:WS?{_SCALE})?{_UNIT}"),
     _both("Price", rf"~?{_CUR}WS?\d[\d.]*{_SCALE}(?:[–\-](?:~?{_CUR}WS?)?\d[\d.]*{_SCALE})?{_UNIT}"),
@@ -33,6 +34,7 @@ PATTERNS = (
     _both("Vendor Name", r"VendorWS+[A-Z]{2,3}-?\d{1,4}", True, True, "(?i)"),
 )
 
+# Fixed values, also of all tuples and patterns below.
 #: Cells that look like amounts or percentages (anchored, on cells with white space collapsed).
 SWEEP = (
     r"[~$€£]?\s*-?\d{1,3}(?:,\d{3})+(?:\.\d+)?",
@@ -46,3 +48,8 @@ TOKENS = rf"(?<![A-Za-z0-9])(?<![A-Za-z]-)(\d[\d,]*(?:\.\d+)?){JS_WS}?(trillion|
 PRICE_LIKE = r"[$€£¥]|USD|SGD|IDR|MYR|EUR|GBP|CHF|JPY|AUD|(?<!\w)[MK](?!\w)|MW|GW|KW|[\d,]{5,}"
 PERCENT_HEADERS = ("%", "weight", "percentage", "share", "ratio", "score", "rating")
 VENDOR_HEADERS = ("vendor", "supplier", "name", "code", "company", "party")
+#: Words in the header of a column that is masked whole.
+SENSITIVE_HEADERS = (
+    "vendor", "supplier", "company", "amount", "cost", "price", "total", "budget", "value", "usd", "sgd", "idr", "myr", "eur", "discount", "mark-up", "%", "percentage", "weight", "share",
+    "ratio", "score", "rating", "capacity", "rate", "country",
+)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakwork.functions import text as T
-from cloakwork.functions.numbers import extract_numbers
+from cloakwork.functions.numbers import extract_numbers, number_hit, number_tokens
 from cloakwork.operators import documents as D
 from cloakwork.operators import grid as G
 from cloakwork.operators import mask as M
@@ -216,10 +216,10 @@ def q_mask_flexible(spark, sf_dir):
 
 
 @query("""SELECT doc_id, original_value FROM audit JOIN (SELECT doc_id, list_reduce(list_prepend(text, coalesce(vs, [])), lambda a, v: replace(a, v, 'XXXX')) AS masked FROM vdoc LEFT JOIN vals USING (doc_id)) USING (doc_id)
-WHERE action <> 'skipped' AND contains(masked, original_value)""")
+WHERE contains(masked, original_value)""")
 def q_residual_leaks(spark, sf_dir):
-    log = _log(spark, sf_dir).where("action <> 'skipped'")
-    return M.leaks(M.mask_documents(V.vdoc(spark, sf_dir), log, False), log)
+    log = _log(spark, sf_dir)
+    return M.leaks(M.mask_documents(V.vdoc(spark, sf_dir), log.where("action <> 'skipped'"), False), log)
 
 
 @query("SELECT doc_id, field_id, repeat('X', greatest(1, length(original_value))) AS mask FROM findings")
@@ -230,25 +230,25 @@ def q_xmask(spark, sf_dir):
 @query("SELECT p.si, p.ci, p.sheet, g.r, g.c FROM plan_columns p JOIN vgrid g ON g.sheet = p.sheet AND lower(trim(g.value)) = lower(trim(p.label))")
 def q_plan_headers(spark, sf_dir):
     grid = V.vgrid(spark, sf_dir)
-    return G.header_cells(grid, V.vplan(grid)[0])
+    return G.header_cells(grid, V.vplan(spark, sf_dir)[0])
 
 
 @query("SELECT * FROM claims")
 def q_plan_claims(spark, sf_dir):
     grid = V.vgrid(spark, sf_dir)
-    return G.claims(grid, *V.vplan(grid))
+    return G.claims(grid, *V.vplan(spark, sf_dir))
 
 
 @query("SELECT si, kind, idx, sheet, label, count FROM counts")
 def q_plan_counts(spark, sf_dir):
     grid = V.vgrid(spark, sf_dir)
-    plan = V.vplan(grid)
+    plan = V.vplan(spark, sf_dir)
     return G.claim_counts(G.claims(grid, *plan), *plan)
 
 
 _REVIEW = """SELECT CASE kind WHEN 'sweep' THEN 'plansweep_' || si WHEN 'column' THEN 'plancol_' || si || '_' || idx ELSE 'planval_' || si || '_' || idx END AS field_id,
 CASE WHEN kind = 'sweep' THEN 'Price' WHEN kind = 'column' AND contains(lower(label), 'vendor') THEN 'Vendor Name' WHEN contains(label, '%') THEN 'Percentage' ELSE 'Vendor Name' END AS field_name,
-CASE kind WHEN 'column' THEN 'All values in column "' || label || '" (sheet "' || sheet || '")' WHEN 'value' THEN label ELSE 'All other amounts & percentages (sheet "' || sheet || '")' END AS original_value,
+CASE kind WHEN 'column' THEN 'Column ' || label || ' of sheet ' || sheet WHEN 'value' THEN label ELSE 'Further amounts and percentages of sheet ' || sheet END AS original_value,
 CASE WHEN kind = 'sweep' THEN 'pattern' ELSE 'ai' END AS source, CASE WHEN kind = 'sweep' THEN 75 ELSE 90 END AS confidence, count AS occurrences, count > 0 AS verified FROM counts WHERE kind <> 'sweep' OR count > 0"""
 
 
@@ -257,16 +257,15 @@ def q_plan_review(spark, sf_dir):
     return G.plan_review(q_plan_counts(spark, sf_dir))
 
 
-def _rejected(grid: DataFrame) -> DataFrame:
+def _rejected(spark, sf_dir) -> DataFrame:
     ids = F.array(F.concat_ws("_", F.lit("plancol"), "si", F.lit(0)), F.concat_ws("_", F.lit("planval"), "si", F.lit(1)), F.concat_ws("_", F.lit("plansweep"), F.col("si") + 1))
-    return V.vplan(grid)[2].select(F.explode(ids).alias("field_id"))
+    return V.vplan(spark, sf_dir)[2].select(F.explode(ids).alias("field_id"))
 
 
 @query("""SELECT si, 'column' AS kind, ci AS idx, sheet, true AS sweep FROM plan_columns WHERE ci <> 0 UNION ALL SELECT si, 'value', vi, sheet, true FROM plan_values WHERE vi <> 1
 UNION ALL SELECT si, 'sheet', 0, sheet, sweep AND si - 1 NOT IN (SELECT si FROM sheets) FROM plan_sheets""")
 def q_plan_filtered(spark, sf_dir):
-    grid = V.vgrid(spark, sf_dir)
-    columns, values, sheets = G.plan_without(*V.vplan(grid), _rejected(grid))
+    columns, values, sheets = G.plan_without(*V.vplan(spark, sf_dir), _rejected(spark, sf_dir))
     row = lambda df, kind, idx, sweep: df.select("si", F.lit(kind).alias("kind"), idx.alias("idx"), "sheet", sweep.alias("sweep"))
     return row(columns, "column", F.col("ci"), F.lit(True)).union(row(values, "value", F.col("vi"), F.lit(True))).union(row(sheets, "sheet", F.lit(0), F.col("sweep")))
 
@@ -294,40 +293,50 @@ _SENSITIVE = ("USD 17", "4%", "150M", "SG-01", "1,254.40")
 @query("""SELECT l_orderkey, l_linenumber, count(*) AS cells, count(*) FILTER (l_quantity IN (17, 4, 150, 1254.40) OR abs(l_extendedprice - 1254.40) <= 1254.4e-9) AS qty_hits,
 count(*) FILTER (l_discount > 0 AND l_discount < 1 AND abs(l_discount * 100 - 4) <= 4e-6) AS disc_hits FROM lineitem GROUP BY ALL""")
 def q_numeric_cells(spark, sf_dir):
-    values = F.array(*[F.lit(v) for v in _SENSITIVE])
-    cells = lambda c, name: G.mask_cells(V.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col(c).cast("string").alias("value"), F.col(c).alias("num_value")), values).select("l_orderkey", "l_linenumber", F.lit(name).alias("name"), (F.col("masked") == "XXXX").alias("hit"))
-    both = cells("l_quantity", "q").unionByName(cells("l_discount", "d"))
-    return both.groupBy("l_orderkey", "l_linenumber").agg(F.count_if(F.col("name") == "q").alias("cells"), F.count_if((F.col("name") == "q") & F.col("hit")).alias("qty_hits"), F.count_if((F.col("name") == "d") & F.col("hit")).alias("disc_hits"))
+    tokens = number_tokens(spark, list(_SENSITIVE))
+    hits = lambda c: F.count_if(number_hit(F.col(c), tokens))
+    return V.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("cells"), hits("l_quantity").alias("qty_hits"), hits("l_discount").alias("disc_hits"))
 
 
 def _copy(spark, sf_dir):
-    """A grid from its first header on, and a detector's masked copy of it, one column to the right."""
+    """A grid from its first header on, and a detector's masked copy of it: moved right by si % 3 columns, vendors and
+    prices masked, one item in a hundred changed; on every fifth sheet the header's names are all the same."""
+    si, row = F.substring("sheet", 2, 20).cast("long"), F.col("r") > 0
     original = V.vgrid(spark, sf_dir).where("r >= 1").withColumn("r", F.col("r") - 1)
-    seen = F.when((F.col("c").isin(1, 2)) & (F.col("r") > 0), "XXXX").otherwise(F.col("value"))
-    return original, original.select("sheet", "r", (F.col("c") + 1).alias("c"), seen.alias("value"))
+    original = original.withColumn("value", F.when((F.col("r") == 0) & (si % 5 == 0), "Same").otherwise(F.col("value")))
+    seen = F.when(F.col("c").isin(1, 2) & row, "XXXX").when((F.col("c") == 0) & row & (F.col("r") % 100 == 7), "Other").otherwise(F.col("value"))
+    return original, original.select("sheet", "r", (F.col("c") + si % 3).alias("c"), seen.alias("value"))
+
 
+_COPY = """, orig AS (SELECT sheet, r - 1 AS r, c, CASE WHEN r = 1 AND substr(sheet, 2)::BIGINT % 5 = 0 THEN 'Same' ELSE value END AS value FROM vgrid WHERE r >= 1),
+copied AS (SELECT sheet, r, c + substr(sheet, 2)::BIGINT % 3 AS c, CASE WHEN c IN (1, 2) AND r > 0 THEN 'XXXX' WHEN c = 0 AND r > 0 AND r % 100 = 7 THEN 'Other' ELSE value END AS value FROM orig),
+tried AS (SELECT b.sheet, s AS shift, count(*) FILTER (lower(a.value) = lower(b.value)) AS score FROM copied b, (SELECT unnest([0, 1, 2]) AS s) JOIN orig a ON a.sheet = b.sheet AND a.r = 0 AND b.r = 0 AND a.c = b.c - s GROUP BY ALL),
+shifts AS (SELECT sheet, shift, score FROM (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY score DESC, shift) AS k FROM tried) WHERE k = 1),
+diff AS (SELECT o.sheet, o.r, o.c, o.value, h.value AS header FROM orig o JOIN shifts s USING (sheet) JOIN copied k ON k.sheet = o.sheet AND k.r = o.r AND k.c = o.c + s.shift JOIN orig h ON h.sheet = o.sheet AND h.c = o.c AND h.r = 0 WHERE upper(k.value) = 'XXXX' AND trim(o.value) <> '' AND upper(o.value) <> 'XXXX')
+"""
 
-@query("SELECT sheet, 1 AS shift, 6 AS score FROM sheets")
+
+@query(_COPY + "SELECT sheet, shift, score FROM shifts")
 def q_shift(spark, sf_dir):
-    return G.column_shift(*_copy(spark, sf_dir)).withColumn("score", F.col("score").cast("int"))
+    return G.column_shift(*_copy(spark, sf_dir))
 
 
-@query("SELECT sheet, r - 1 AS r, c, value, (['Item', 'Vendor', 'Price', 'Discount', 'Qty', 'Net'])[c + 1] AS header FROM vgrid WHERE r > 1 AND c IN (1, 2)")
+@query(_COPY + "SELECT * FROM diff")
 def q_grid_diff(spark, sf_dir):
     return G.grid_diff(*_copy(spark, sf_dir))
 
 
-@query("""SELECT value, min_by(header, (sheet, r, c)) AS header, count(*) AS cells, CASE WHEN min_by(header, (sheet, r, c)) = 'Vendor' THEN 'Vendor Name' WHEN regexp_matches(value, '[$]') THEN 'Price' ELSE 'Vendor Name' END AS field_name
-FROM (SELECT sheet, r, c, value, (['Item', 'Vendor', 'Price'])[c + 1] AS header FROM vgrid WHERE r > 1 AND c IN (1, 2)) WHERE length(trim(value)) >= 2 GROUP BY value""")
+@query(_COPY + """SELECT value, min_by(header, (sheet, r, c)) AS header, count(*) AS cells, CASE WHEN min_by(header, (sheet, r, c)) = 'Vendor' THEN 'Vendor Name' WHEN contains(value, '%') THEN 'Percentage' WHEN regexp_matches(value, '[$]|[\\d,]{5,}') THEN 'Price' ELSE 'Vendor Name' END AS field_name FROM diff WHERE length(trim(value)) >= 2 GROUP BY value""".replace("\\\\", "\\"))
 def q_detections(spark, sf_dir):
     return G.detections(G.grid_diff(*_copy(spark, sf_dir)))
 
 
-@query("""SELECT a.sheet, a.r - 1 AS r, a.r - 1 AS ro, count(*) FILTER (b.c NOT IN (1, 2) OR a.r = 1) AS eq, 0 AS neq, count(*) FILTER (b.c IN (1, 2) AND a.r > 1) AS masked FROM vgrid a JOIN vgrid b USING (sheet, r, c) WHERE a.r >= 1 GROUP BY ALL""")
+@query(_COPY + """SELECT o.sheet, o.r, o.r AS ro, count(*) FILTER (k.value <> 'XXXX' AND o.value = k.value) AS eq, count(*) FILTER (k.value <> 'XXXX' AND o.value <> k.value) AS neq, count(*) FILTER (k.value = 'XXXX') AS masked
+FROM orig o JOIN copied k ON k.sheet = o.sheet AND k.r = o.r AND k.c = o.c GROUP BY ALL""")
 def q_align_score(spark, sf_dir):
     original, other = _copy(spark, sf_dir)
     pairs = original.where("c = 0").select("sheet", "r", F.col("r").alias("ro"))
-    return G.alignment_scores(original, other.withColumn("c", F.col("c") - 1), pairs)
+    return G.alignment_scores(original, other, pairs)
 
 
 @query("""SELECT doc_id, page, floor(y / 3 + 0.5)::BIGINT * 3 AS line_y, string_agg(trim(str), ' ' ORDER BY x, item_no) AS line FROM vitems WHERE trim(str) <> '' GROUP BY ALL""")
@@ -445,8 +454,7 @@ def q_guess_category(spark, sf_dir):
 @query("SELECT event_id, user_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
 def q_alive(spark, sf_dir):
     events = V.table(spark, sf_dir, "events")
-    newest = events.agg(F.max("ts").alias("now"))
-    return D.alive(events.join(F.broadcast(newest)), F.col("now"), "ts").select("event_id", "user_id")
+    return D.alive(events, events.agg(F.max("ts")).scalar(), "ts").select("event_id", "user_id")
 
 
 @query("SELECT l_suppkey AS ord, max(l_tax) AS score FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL ORDER BY score DESC, ord LIMIT 1")
@@ -462,11 +470,15 @@ def q_sheet_blocks(spark, sf_dir):
     return G.sheet_blocks(lines.select(F.col("sheet").alias("doc_id"), text.alias("text"))).select(F.col("doc_id").alias("sheet"), "block", "name", "header", F.col("rows").cast("long").alias("rows"))
 
 
-@query("""SELECT 'O' || si AS sheet, 1 AS section, 'O' || si AS name, count(*) + count(*) FILTER (rn % 50 = 0) + 1 AS rows FROM numbered GROUP BY si""")
+@query("""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY si) AS section, sheet AS name, count(*) AS rows, md5(string_agg(line, chr(10) ORDER BY r)) AS csv_md5
+FROM (SELECT si // 10 AS doc_id, si, sheet, r, line FROM vrows JOIN sheets USING (sheet)) GROUP BY doc_id, si, sheet""")
 def q_sections(spark, sf_dir):
-    lines = G.sheet_lines(V.vgrid(spark, sf_dir)).groupBy("sheet").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "line"))), lambda s: s["line"]).alias("lines"))
-    text = F.concat(F.lit("===SHEET:"), F.col("sheet"), F.lit("===\n\n"), F.array_join("lines", "\n"))
-    return D.sections(lines.select(F.col("sheet").alias("doc_id"), text.alias("text"))).select(F.col("doc_id").alias("sheet"), "section", "name", F.col("rows").cast("long").alias("rows"))
+    n = F.substring("sheet", 2, 20).cast("long")
+    part = F.concat(F.lit("===SHEET:"), F.col("sheet"), F.lit("===\n\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n"))
+    books = V.vlines(spark, sf_dir).groupBy(F.floor(n / V.SHEETS_A_BOOK).alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct(n.alias("si"), part.alias("part")))).alias("parts"))
+    text = F.concat(F.lit("```csv\n"), F.array_join(F.transform("parts", lambda x: x["part"]), "\n"), F.lit("\n```"))
+    found = D.sections(books.select("doc_id", text.alias("text")))
+    return found.select("doc_id", F.col("section").cast("long").alias("section"), "name", F.col("rows").cast("long").alias("rows"), F.md5("csv").alias("csv_md5"))
 
 
 @query("""SELECT doc_id, key, first_seen FROM (SELECT doc_id, value AS key, min((pass, c, o)) AS first_seen0, (min((pass, c, o))).pass AS first_seen FROM (
@@ -477,11 +489,20 @@ def q_merge_suggestions(spark, sf_dir):
     return merged.select("doc_id", F.col("value").alias("key"), F.col("pass").alias("first_seen"))
 
 
-@query()
+@query("""SELECT doc_id, l_linenumber, line_md5, list_sort(list_distinct(list_filter(ns, lambda n: n > 0))) AS numbers FROM (SELECT doc_id, l_linenumber, md5(line) AS line_md5,
+list_concat([replace(price, ',', '')::DOUBLE, replace(pct, '%', '')::DOUBLE, qty::DOUBLE, replace(net, ',', '')::DOUBLE], CASE WHEN l_linenumber % 3 = 0 THEN [7.0::DOUBLE, 7000.0::DOUBLE] ELSE [] END) AS ns FROM olines)""")
 def q_extract_numbers(spark, sf_dir):
-    return V.table(spark, sf_dir, "conversations").select("conv_id", "turn", extract_numbers(F.coalesce("text", F.lit(""))).alias("numbers"))
+    lines = V.order_lines(spark, sf_dir)
+    return lines.select("doc_id", "l_linenumber", F.md5("line").alias("line_md5"), F.array_sort(extract_numbers(F.col("line"))).alias("numbers"))
 
 
-@query()
+@query("""SELECT doc_id, chunk AS chunk_no, count(*) AS n_lines, sum(n)::BIGINT - 1 AS n_chars FROM (WITH RECURSIVE l AS (
+  SELECT doc_id, unnest(ls) AS s, generate_subscripts(ls, 1) - 1 AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)
+), walk AS (
+  SELECT doc_id, i, length(s) + 1 AS n, length(s) + 1 AS size, 0 AS chunk FROM l WHERE i = 0
+  UNION ALL SELECT l.doc_id, l.i, length(l.s) + 1, CASE WHEN w.size + length(l.s) + 1 > 4000 THEN length(l.s) + 1 ELSE w.size + length(l.s) + 1 END, CASE WHEN w.size + length(l.s) + 1 > 4000 THEN w.chunk + 1 ELSE w.chunk END
+  FROM walk w JOIN l ON l.doc_id = w.doc_id AND l.i = w.i + 1
+) SELECT * FROM walk) GROUP BY ALL""")
 def q_chunks(spark, sf_dir):
-    return D.chunks(V.table(spark, sf_dir, "documents"), 4000).select("doc_id", "chunk_no", "n_lines", "n_chars")
+    found = D.chunks(V.table(spark, sf_dir, "documents"), 4000)
+    return found.select("doc_id", "chunk_no", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_chars").cast("long").alias("n_chars"))

@@ -68,9 +68,10 @@ def vgrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(F.concat(F.lit("O"), F.col("si").cast("string")).alias("sheet"), F.inline(F.concat(title, heads, data)))
 
 
-def vplan(grid: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """A plan with an entry for every sheet: columns, values, sheets."""
-    s = grid.where("r = 0").select(F.substring("sheet", 2, 20).cast("long").alias("si"), "sheet")
+def vplan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A plan with an entry for every sheet of vgrid: columns, values, sheets."""
+    s = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / SHEET_ORDERS).cast("long").alias("si")).distinct()
+    s = s.select("si", F.concat(F.lit("O"), F.col("si").cast("string")).alias("sheet"))
     label = lambda ci, text: F.struct(F.lit(ci).alias("ci"), F.lit(text).alias("label"))
     columns = s.select("si", "sheet", F.inline(F.when(F.col("si") % 2 == 0, F.array(label(0, "Vendor"), label(1, " price "))).otherwise(F.array(label(0, "Discount"), label(1, "Nowhere")))))
     value = lambda vi, text: F.struct(F.lit(vi).alias("vi"), F.lit(text).alias("value"))
@@ -111,6 +112,34 @@ def vruns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return runs, spans
 
 
+SHEETS_A_BOOK = 10
+
+
+def vcells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vgrid as the cells of workbooks: doc_id, si, sheet, r, c, value, num_value and the number's format."""
+    bare = F.regexp_replace("value", "[$ ,%]", "")
+    number = F.when(F.col("value").rlike(r"\A(?:\$ )?[0-9][0-9.,]*%?\z"), F.when(F.col("value").endswith("%"), bare.cast("double") / 100).otherwise(bare.cast("double")))
+    code = F.when(F.col("value").startswith("$"), '"$ "#,##0.00').when(F.col("value").endswith("%"), "0%").when(F.col("c") == 5, "#,##0.00").otherwise("General")
+    n = F.substring("sheet", 2, 20).cast("long")
+    return vgrid(spark, sf_dir).select(F.floor(n / SHEETS_A_BOOK).alias("doc_id"), (n % SHEETS_A_BOOK).cast("int").alias("si"), "sheet", "r", "c", "value", number.alias("num_value"), code.alias("code"))
+
+
+def vlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sheet, lines: the CSV lines of each sheet of vgrid, in order."""
+    quoted = F.when(F.col("value").contains(","), F.concat(F.lit('"'), F.col("value"), F.lit('"'))).otherwise(F.col("value"))
+    rows = vgrid(spark, sf_dir).groupBy("sheet", "r").agg(F.sort_array(F.collect_list(F.struct("c", quoted.alias("v")))).alias("cells"))
+    line = F.array_join(F.concat(F.transform("cells", lambda x: x["v"]), F.array_repeat(F.lit(""), 6 - F.size("cells"))), ",")
+    return rows.groupBy("sheet").agg(F.sort_array(F.collect_list(F.struct("r", line.alias("line"), (F.size("cells") > 1).alias("full")))).alias("lines"))
+
+
+def vmasked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text, masked: the lines of vdoc, and a copy in which vendor, price and percentage stand masked."""
+    t = order_lines(spark, sf_dir)
+    copy = F.concat(F.lit("Vendor XXXX quoted USD XXXX less XXXX for "), F.col("qty"), F.lit(" MW, net "), F.col("net"), F.lit(" total."), F.when(F.col("l_linenumber") % 3 == 0, " Fee $ 7K-12K/MW.").otherwise(""))
+    rows = t.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "line", copy.alias("copy")))).alias("rows"))
+    return rows.select("doc_id", *[F.array_join(F.transform("rows", lambda x: x[c]), "\n").alias(n) for c, n in (("line", "text"), ("copy", "masked"))])  # noqa: B023
+
+
 #: The same views for SQL engines.
 SQL = r"""
 ol AS (
@@ -153,5 +182,9 @@ ol AS (
   SELECT doc_id, 'document' AS part, dn AS para_no, run_no, substr(line, (run_no * 12 + 1)::INT, 12) AS text FROM (SELECT *, unnest(generate_series(0, (length(line) - 1) // 12)) AS run_no FROM numbered)
 ), vspans AS (
   SELECT doc_id, 'document' AS part, dn AS para_no, instr(line, v) - 1 AS s, instr(line, v) - 1 + length(v) AS e FROM (SELECT *, unnest([vendor, 'USD ' || price, price]) AS v FROM numbered)
+), vcells AS (
+  SELECT si // 10 AS doc_id, (si % 10)::INT AS si, sheet, r, c, value FROM vgrid JOIN sheets USING (sheet)
+), vrows AS (
+  SELECT sheet, r, string_agg(CASE WHEN contains(value, ',') THEN '"' || value || '"' ELSE value END, ',' ORDER BY c) || repeat(',', (6 - count(*))::INT) AS line FROM vgrid GROUP BY ALL
 )
 """
