@@ -18,8 +18,8 @@ from pyspark.sql.window import Window
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: A side of a join is broadcast only when a count shows it has at most this many ids (16 MB of longs).
-BROADCAST_IDS = 2_000_000
+#: A side of a join is broadcast only when a count shows it has at most this many keys: 16 MB in each executor.
+BROADCAST_IDS = 200_000
 
 _dirs: dict[str, str] = {}
 _written: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()

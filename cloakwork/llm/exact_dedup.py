@@ -214,7 +214,8 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     named = decided.select("doc_id", F.unhex("text_sha256").alias(at), "kept")
     dropped, kept = (named.where(F.col("kept") == k).select("doc_id", at).distinct() for k in (False, True))
     body = docs.withColumn(at, F.unhex(digest_of(F.col("text"))))
-    again = materialize(with_ids(dropped, kept, ["doc_id", at], "left_semi"), "dedup-repeats")
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col(at) == F.col("kept_digest"))
+    again = materialize(dropped.join(kept.select(F.col("doc_id").alias("kept_id"), F.col(at).alias("kept_digest")), same, "left_semi"), "dedup-repeats")
     out = with_ids(body, dropped, ["doc_id", at], "left_anti").select(*columns_of(docs))
     if again.isEmpty():
         return out
