@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cloakwork.functions.text import js_trim, let, norm
+from cloakwork.functions.text import js_trim, let, masker, norm
 
 Y_TOLERANCE = 3
 # Widths of Helvetica's characters, in thousandths of an em; all others are 556.
@@ -160,3 +160,28 @@ def run_edits(runs: DataFrame, spans: DataFrame) -> DataFrame:
     keys = ["doc_id", "part", "para_no"]
     hit = with_starts(runs).join(merge_spans(spans, keys), keys).where((F.col("start") < F.col("e")) & (F.col("start") + F.length("text") > F.col("s")))
     return hit.select(*keys, "run_no", F.greatest(F.lit(0), F.col("s") - F.col("start")).alias("s"), F.least(F.length("text"), F.col("e") - F.col("start")).alias("e"), F.when(F.col("s") >= F.col("start"), "XXXX").otherwise("").alias("put"))
+
+
+def pattern_spans(text: Column, pattern: Column) -> Column:
+    """array(struct(s, e)) of a pattern's matches in a text, one after the other: by the pieces that stand between them."""
+
+    def places(x: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("spans"))
+
+        def step(a: Column, p: Column) -> Column:
+            s = a["at"] + F.length(p["gap"])
+            e = s + F.length(p["hit"])
+            return F.struct(e.alias("at"), F.concat(a["spans"], F.array(F.struct(s.alias("s"), e.alias("e")))).alias("spans"))
+
+        return F.aggregate(F.slice(F.arrays_zip(x["gap"], x["hit"]), F.lit(1), F.size(x["hit"])), start, step, lambda a: a["spans"])
+
+    return let(F.struct(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit")), places)
+
+
+def value_spans(runs: DataFrame, values: DataFrame) -> DataFrame:
+    """runs(doc_id, part, para_no, run_no, text), values(doc_id, values) → spans of the values in each paragraph's whole text."""
+    keys = ["doc_id", "part", "para_no"]
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("run_no", "text"))), lambda x: x["text"]), "")
+    texts = runs.groupBy(*keys).agg(whole.alias("text")).join(values, "doc_id")
+    long = F.filter("values", lambda v: F.length(js_trim(v)) >= 2)
+    return texts.select(*keys, F.inline(F.flatten(F.transform(long, lambda v: pattern_spans(F.col("text"), masker(v))))))
