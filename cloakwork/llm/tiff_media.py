@@ -3,7 +3,8 @@
 The reader walks the chain of image directories in either byte order, decodes strips or tiles that are plain, PackBits,
 LZW or deflate, chunky or planar, of unsigned samples of 1, 2, 4, 8 or 16 bits, undoes horizontal prediction, and gives
 the samples of each page, row by row: a byte each, or two (low first) of 16 bits. The writer makes files of 8-bit
-samples, and is what stores texts losslessly for the round trip.
+samples, and is what stores texts losslessly for the round trip: plain content decides which scheme, predictor and blocks
+a text gets, so all of them are written and read.
 
 A null or empty value has no pages; a page that can't be read is one row with an error beside the file's other pages; so
 is a directory that can't be followed; repeated rows are rows of their
@@ -33,10 +34,15 @@ PLAIN, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 _TYPES = {1: "B", 3: "H", 4: "I"}
 _BYTES = {"B": 1, "H": 2, "I": 4}
 _TURNED = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
-_UNREADABLE = (ValueError, KeyError, IndexError, TypeError, struct.error, zlib.error)
+_UNREADABLE = (ValueError, KeyError, IndexError, TypeError, ArithmeticError, MemoryError, struct.error, zlib.error)
 
 #: A text's payload is padded to rows of 64 RGB pixels; a page holds at most so many of them.
 ROW, PAGE_ROWS, STRIP_ROWS = 192, 4096, 1024
+#: How texts are stored, picked by their content: scheme, predictor, and tiles of so many rows and columns or strips.
+WAYS = (
+    (PACKBITS, 1, None), (PACKBITS, 2, (16, 64)), (LZW, 1, None), (LZW, 2, (16, 64)),
+    (DEFLATE, 1, (16, 64)), (DEFLATE, 2, None), (DEFLATE, 1, None), (DEFLATE, 2, (16, 64)),
+)
 
 
 def unpack_bits(data: bytes) -> bytes:
@@ -55,20 +61,26 @@ def unpack_bits(data: bytes) -> bytes:
 
 
 def pack_bits(data: bytes) -> bytes:
-    out, i = bytearray(), 0
-    while i < len(data):
-        run = 1
-        while run < 128 and i + run < len(data) and data[i + run] == data[i]:
-            run += 1
-        if run > 2:
-            out += bytes((257 - run, data[i]))
-            i += run
-            continue
-        j = i
-        while j < len(data) and j - i < 128 and not (j + 2 < len(data) and data[j] == data[j + 1] == data[j + 2]):
-            j += 1
-        out += bytes((j - i - 1,)) + data[i:j]
-        i = j
+    """Runs of three bytes or more as runs, all between them as it is."""
+    values, out = np.frombuffer(data, np.uint8), bytearray()
+    starts = np.concatenate(([0], np.flatnonzero(values[1:] != values[:-1]) + 1)) if len(data) else np.zeros(0, np.int64)
+    lengths = np.diff(np.append(starts, len(data)))
+    long, at = lengths > 2, 0
+
+    def literally(i: int, j: int) -> None:
+        for k in range(i, j, 128):
+            part = data[k : min(k + 128, j)]
+            out.append(len(part) - 1)
+            out.extend(part)
+
+    for start, n in zip(starts[long].tolist(), lengths[long].tolist()):
+        literally(at, start)
+        at = start + n
+        while n > 1:
+            out += bytes((257 - min(n, 128), data[start]))
+            n -= min(n, 128)
+        literally(at - n, at)
+    literally(at, len(data))
     return bytes(out)
 
 
@@ -77,64 +89,58 @@ _CLEAR, _END = 256, 257
 
 def unpack_lzw(data: bytes) -> bytes:
     """Codes of 9 to 12 bits, high bit first; the width grows one code early."""
-    table: list[bytes] = []
-    out, previous, width, held, bits = [], b"", 9, 0, 0
-    for byte in data:
-        held, bits = (held << 8) | byte, bits + 8
-        if bits < width:
-            continue
-        bits -= width
-        code, held = held >> bits, held & ((1 << bits) - 1)
+    fresh = [bytes((k,)) for k in range(256)] + [b"", b""]
+    table, out, previous, at, end = list(fresh), [], b"", 0, 8 * len(data)
+    data += bytes(3)
+    while True:
+        n = len(table)
+        width = 9 if n < 511 else 10 if n < 1023 else 11 if n < 2047 else 12
+        if at + width > end:
+            break
+        i = at >> 3
+        code = ((data[i] << 16 | data[i + 1] << 8 | data[i + 2]) >> (24 - width - (at & 7))) & ((1 << width) - 1)
+        at += width
         if code == _CLEAR:
-            table, previous, width = [bytes((k,)) for k in range(256)] + [b"", b""], b"", 9
-            continue
-        if code == _END:
+            table, previous = list(fresh), b""
+        elif code == _END:
             break
-        entry = table[code] if code < len(table) else previous + previous[:1]
-        out.append(entry)
-        if previous:
-            table.append(previous + entry[:1])
-        previous = entry
-        width = 12 if len(table) >= 2047 else 11 if len(table) >= 1023 else 10 if len(table) >= 511 else 9
+        else:
+            if code > n or (code == n and not previous):
+                raise ValueError("an LZW code that isn't in the table")
+            entry = table[code] if code < n else previous + previous[:1]
+            out.append(entry)
+            if previous:
+                table.append(previous + entry[:1])
+            previous = entry
     return b"".join(out)
 
 
 def pack_lzw(data: bytes) -> bytes:
-    out, held, bits = bytearray(), 0, 0
-
-    def put(code: int, width: int) -> None:
-        nonlocal held, bits
-        held, bits = (held << width) | code, bits + width
-        while bits >= 8:
-            bits -= 8
-            out.append(held >> bits)
-            held &= (1 << bits) - 1
-
-    table = {bytes((k,)): k for k in range(256)}
-    size, width, word = 258, 9, b""
-    put(_CLEAR, 9)
-    for k in range(len(data)):
-        c = data[k : k + 1]
-        if word + c in table:
-            word += c
-            continue
-        put(table[word], width)
-        table[word + c] = size
-        size += 1
-        width = 12 if size >= 2048 else 11 if size >= 1024 else 10 if size >= 512 else 9
-        if size == 4094:
-            put(_CLEAR, width)
-            table = {bytes((j,)): j for j in range(256)}
-            size, width = 258, 9
-        word = c
-    if word:
-        put(table[word], width)
-        size += 1
-        width = 12 if size >= 2048 else 11 if size >= 1024 else 10 if size >= 512 else 9
-    put(_END, width)
-    if bits:
-        out.append((held << (8 - bits)) & 255)
-    return bytes(out)
+    """As unpack_lzw reads it; a full table is cleared. Codes are found one by one and put into bits together."""
+    codes, table, size, word = [_CLEAR], {}, 258, -1
+    for c in data:
+        if word < 0:
+            word = c
+        elif (longer := table.get(word << 8 | c)) is not None:
+            word = longer
+        else:
+            codes.append(word)
+            table[word << 8 | c] = size
+            size += 1
+            if size == 4094:
+                codes.append(_CLEAR)
+                table, size = {}, 258
+            word = c
+    if word >= 0:
+        codes.append(word)
+    codes.append(_END)
+    flat = np.array(codes, np.uint16)
+    cleared = np.flatnonzero(flat == _CLEAR)
+    since = np.arange(len(flat)) - cleared[np.searchsorted(cleared, np.arange(len(flat)), "left") - 1] - 1  # codes since the clear before each
+    since[0] = 0
+    width = 9 + (since >= 254) + (since >= 766) + (since >= 1790)
+    bits = np.unpackbits(flat.astype(">u2").view(np.uint8)).reshape(-1, 16)
+    return np.packbits(bits[np.arange(16) >= 16 - width[:, None]]).tobytes()
 
 
 _PACK = {PLAIN: bytes, PACKBITS: pack_bits, LZW: pack_lzw, DEFLATE: lambda d: zlib.compress(d, 1), OLD_DEFLATE: lambda d: zlib.compress(d, 1)}
@@ -156,8 +162,8 @@ def _directories(data: bytes) -> Iterator[tuple[int, str, int]]:
     """Number, byte order and place of each image directory."""
     order = {b"II": "<", b"MM": ">"}[bytes(data[:2])]
     magic, at = struct.unpack_from(order + "HI", data, 2)
-    if magic != 42:
-        raise ValueError("not a TIFF file")
+    if magic != 42 or not at:
+        raise ValueError("not a TIFF file, or one without a directory")
     seen: set[int] = set()
     while at and at not in seen:
         seen.add(at)
@@ -182,17 +188,23 @@ def _tags(data: bytes, order: str, at: int) -> dict[int, list[int]]:
 
 
 def _block(body: bytes, order: str, bits: int, predictor: int, rows: int, width: int, samples: int) -> np.ndarray:
-    if bits < 8:  # rows begin at a byte
-        line = -(-width * samples * bits // 8)
+    """The samples of a strip or tile; rows begin at a byte."""
+    line = -(-width * samples * bits // 8)
+    if len(body) < rows * line:
+        raise ValueError(f"a strip or tile has {len(body)} bytes of {rows * line}")
+    if bits < 8:
         parts = np.unpackbits(np.frombuffer(body, np.uint8)[: rows * line].reshape(rows, line), axis=1).reshape(rows, -1, bits)
         return (parts @ (1 << np.arange(bits)[::-1]).astype(np.uint8))[:, : width * samples].reshape(rows, width, samples)
     kind = np.dtype(np.uint8) if bits == 8 else np.dtype(order + "u2")
-    size = rows * width * samples
-    found = np.frombuffer(body[: size * kind.itemsize], kind).reshape(rows, width, samples)
+    found = np.frombuffer(body[: rows * line], kind).reshape(rows, width, samples)
     found = found if bits == 8 else found.astype("<u2")
     return np.cumsum(found, axis=1, dtype=found.dtype) if predictor == 2 else found
 
 
+#: No scheme makes one byte more than so many samples' bytes: a larger page isn't allocated.
+MOST_GROWTH = 2_000
+
+
 def _page(data: bytes, number: int, order: str, at: int) -> Page:
     tags = _tags(data, order, at)
     one = lambda tag, default=None: tags[tag][0] if tag in tags else default
@@ -202,14 +214,16 @@ def _page(data: bytes, number: int, order: str, at: int) -> Page:
         raise ValueError("samples aren't integers of 1, 2, 4, 8 or 16 bits")
     if scheme not in _UNPACK or predictor not in (1, 2) or predictor == 2 and bits < 8:
         raise ValueError(f"no compression {scheme} with predictor {predictor}")
-    planes, each = (samples, 1) if one(PLANAR, 1) == 2 else (1, samples)
-    pixels = np.zeros((height, width, samples), np.uint8 if bits <= 8 else "<u2")
     tiled = TILE_OFFSETS in tags
     places, sizes = (tags[TILE_OFFSETS], tags[TILE_SIZES]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_SIZES])
     bw, bh = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
+    if min(width, height, samples, bw, bh) < 1 or max(width * height, bw * bh) * samples * bits > 8 * MOST_GROWTH * len(data):
+        raise ValueError(f"a page of {width} x {height} x {samples} in blocks of {bw} x {bh}")
+    planes, each = (samples, 1) if one(PLANAR, 1) == 2 else (1, samples)
     across, down = -(-width // bw), -(-height // bh)
     if min(len(places), len(sizes)) < planes * across * down:
         raise ValueError("blocks are missing")
+    pixels = np.zeros((height, width, samples), np.uint8 if bits <= 8 else "<u2")
     for k in range(planes * across * down):
         plane, nth = divmod(k, across * down)
         y, x = nth // across * bh, nth % across * bw
@@ -281,26 +295,28 @@ def write_tiff(images: list[np.ndarray], compression: int = DEFLATE, predictor:
     return bytes(out)
 
 
-def tiff_pages(files: DataFrame, key: str, content: str) -> DataFrame:
-    """One row for each page of each file: key, page, width, height, samples, compression, predictor, pixels, error."""
+def tiff_pages(files: DataFrame, key: str, content: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each page of each file, a file's pages one after the other: key, the columns of keep, page, width,
+    height, samples, compression, predictor, pixels and error."""
+    names = ["page", "width", "height", "samples", "compression", "predictor", "pixels", "error"]
+    own = [f"k{i}" for i in range(len(keep) + 1)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["key", "page", "width", "height", "samples", "compression", "predictor", "pixels", "error"]
         for pdf in batches:
-            for k, data in zip(pdf["key"], pdf["content"]):
+            for *mine, data in zip(*(pdf[c] for c in own), pdf["content"]):
                 rows = []
                 for p in readable_pages(bytes(data)) if data is not None and len(data) else ():
                     if isinstance(p, str):
-                        rows.append((k, None, None, None, None, None, None, None, p))
+                        rows.append((*mine, None, None, None, None, None, None, None, p))
                     else:
-                        rows.append((k, p.number, p.width, p.height, p.samples, p.compression, p.predictor, p.pixels.tobytes(), None))
+                        rows.append((*mine, p.number, p.width, p.height, p.samples, p.compression, p.predictor, p.pixels.tobytes(), None))
                 if rows:
-                    out = pd.DataFrame(rows, columns=names)
-                    yield out.astype(dict.fromkeys(names[1:7], "Int64"))
+                    yield pd.DataFrame(rows, columns=[*own, *names]).astype(dict.fromkeys(names[:6], "Int64"))
 
-    kind = files.schema[key].dataType.simpleString()
-    schema = f"key {kind}, page int, width int, height int, samples int, compression int, predictor int, pixels binary, error string"
-    return files.select(F.col(key).alias("key"), F.col(content).alias("content")).transform(map_pandas, run, schema).withColumnRenamed("key", key)
+    kinds = ", ".join(f"{k} {files.select(c).schema[0].dataType.simpleString()}" for k, c in zip(own, (key, *keep)))
+    given = files.select(*[F.col(c).alias(k) for k, c in zip(own, (key, *keep))], F.col(content).alias("content"))
+    out = given.transform(map_pandas, run, f"{kinds}, page int, width int, height int, samples int, compression int, predictor int, pixels binary, error string")
+    return out.select(*[F.col(k).alias(c) for k, c in zip(own, (key, *keep))], *names)
 
 
 def payload_of(text: str | None) -> tuple[int, bytes]:
@@ -309,18 +325,20 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
     return len(body), body.ljust(max(1, -(-len(body) // ROW)) * ROW, b" ")
 
 
+def stored(payload: bytes) -> bytes:
+    """A payload as a TIFF of 64-pixel RGB rows in pages of PAGE_ROWS rows; its checksum picks scheme, predictor and blocks."""
+    scheme, predictor, tile = WAYS[zlib.crc32(payload) % len(WAYS)]
+    image = np.frombuffer(payload, np.uint8).reshape(-1, ROW // 3, 3)
+    return write_tiff([image[y : y + PAGE_ROWS] for y in range(0, len(image), PAGE_ROWS)], scheme, predictor, tile=tile)
+
+
 def store_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and media: each text as a TIFF of 64-pixel RGB rows, deflated, in pages of PAGE_ROWS rows."""
+    """doc_id, n_bytes and media: each text as a TIFF file."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            sizes, media = [], []
-            for text in pdf["text"].tolist():
-                n, payload = payload_of(text)
-                image = np.frombuffer(payload, np.uint8).reshape(-1, ROW // 3, 3)
-                sizes.append(n)
-                media.append(write_tiff([image[y : y + PAGE_ROWS] for y in range(0, len(image), PAGE_ROWS)]))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": sizes, "media": media})
+            sizes, payloads = zip(*map(payload_of, pdf["text"].tolist())) if len(pdf) else ((), ())
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": sizes, "media": list(map(stored, payloads))})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(map_pandas, run, "doc_id long, n_bytes long, media binary")
 
@@ -336,23 +354,41 @@ def feature_of(images: list[np.ndarray]) -> str:
     return f"{len(images)}p{first.shape[1]}x{sum(map(len, images))};" + ",".join(f"{m:.3f}" for m in means) + f";{int(bits, 2):016x}"
 
 
-def media_features(media: DataFrame) -> DataFrame:
-    """Digests and features of stored texts, from the pages that are read back."""
+def _described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pages, those of a file one after the other → one row a file. One file's pages are held at a time."""
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    held: list = []
+    images: list[np.ndarray] = []
+
+    def row() -> tuple:
+        _, doc_id, n_bytes, media_bytes, media_sha256 = held
+        payload = b"".join(i.tobytes() for i in images)
+        return (None if pd.isna(doc_id) else int(doc_id), n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), media_bytes, media_sha256, feature_of(images))
+
+    frame = lambda rows: pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+    for pdf in batches:
+        rows = []
+        for row_id, doc_id, n_bytes, media_bytes, media_sha256, width, height, samples, pixels, error in zip(*(pdf[c].tolist() for c in ("row", "doc_id", "n_bytes", "media_bytes", "media_sha256", "width", "height", "samples", "pixels", "error"))):
+            if error is not None:
+                raise ValueError(f"stored text {doc_id} can't be read: {error}")
+            if held and held[0] != row_id:
+                rows.append(row())
+                images.clear()
+            held[:] = row_id, doc_id, n_bytes, media_bytes, media_sha256
+            images.append(np.frombuffer(pixels, np.uint8).reshape(int(height), int(width), int(samples)))
+        if rows:
+            yield frame(rows)
+    if held:
+        yield frame([row()])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for data in pdf["media"]:
-                images = [p.pixels for p in pages(data)]
-                payload = b"".join(i.tobytes() for i in images)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature_of(images)))
-            out = pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-            out.insert(0, "doc_id", pdf["doc_id"])
-            out.insert(1, "n_bytes", pdf["n_bytes"])
-            yield out
 
+def media_features(media: DataFrame) -> DataFrame:
+    """Digests and features of stored texts, from the pages that are read back. Pages aren't shuffled: those of a file
+    leave tiff_pages() together and are put together in the same task."""
+    files = media.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("string").alias("doc_id"), "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
+    read = tiff_pages(files, "row", "media", ("doc_id", "n_bytes", "media_bytes", "media_sha256"))
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.select("doc_id", "n_bytes", "media").transform(map_pandas, run, schema)
+    return read.transform(map_pandas, _described, schema)
 
 
 def op10_tiff_media(spark, sf_dir: str) -> DataFrame:
