@@ -2,7 +2,8 @@
 
 Features of a text are its distinct words, pairs of neighbours and pairs with one word between, hashed to 2**BITS
 coordinates. Learning goes over a bounded sample of labelled rows, PASSES times, with a rate of its own for every
-coordinate; L1 leaves few weights, which are broadcast. A score counts every word of the whole text.
+coordinate; L1 leaves few weights, which are broadcast. The rows' coordinates are worked out where the rows are, and only
+they go to the one task that learns, at most MOST_COORDINATES of them. A score counts every word of the whole text.
 
 Null and empty texts have only the bias; rows whose label is null aren't learned from; a doc_id with several labels
 takes the largest; without labels of both kinds every score is the share of label 1 (0.5 without any); repeated rows are
@@ -18,14 +19,17 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from cloakwork.llm.common import materialize
 from cloakwork.llm.language_id import held_out
 from cloakwork.llm.memory import map_arrow
 from cloakwork.llm.words import forget_powers, mix, slices, text_bytes, word_hashes
 
 BITS = 20
-#: At most so many labelled rows are learned from, their whole texts, so many times over.
-SAMPLE_ROWS, PASSES = 20_000, 4
+#: At most so many labelled rows are learned from, their whole texts, so many times over; and of those, in the order of a
+#: hash of their doc_id, as many as have so many coordinates together (160 MB).
+SAMPLE_ROWS, PASSES, MOST_COORDINATES = 20_000, 4, 40_000_000
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 6.0, 0.1
 DECIDE = 0.3
 SLICE_BYTES = 1_000_000
@@ -66,38 +70,51 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def fit(texts: list[str], labels: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Coordinates with a weight, and the weights."""
-    data, offsets = text_bytes(pa.array(texts, pa.string()))
-    rows = [np.append(x, 1 << BITS) for a, b in slices(offsets, SLICE_BYTES) for x in features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])]
-    model, order = Ftrl(), np.random.default_rng(7)
+def fit(rows: list[np.ndarray], labels: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Coordinates with a weight, and the weights. rows: the distinct coordinates of each text."""
+    model, order, bias = Ftrl(), np.random.default_rng(7), np.array([1 << BITS], np.int32)
     for _ in range(PASSES):
         for i in order.permutation(len(rows)).tolist():
-            model.learn(rows[i], labels[i])
+            model.learn(np.concatenate((rows[i], bias)), labels[i])
     w = model.weights(np.arange((1 << BITS) + 1))
     at = np.flatnonzero(w)
     return at, w[at]
 
 
+def _with_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """h, toxic, coordinates (packed) and how many, for every row."""
+    for batch in batches:
+        data, offsets = text_bytes(batch.column("text"))
+        for a, b in slices(offsets, SLICE_BYTES):
+            found = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            own = [batch.column(c).slice(a, b - a) for c in ("h", "toxic")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array([x.tobytes() for x in found], pa.binary()), pa.array(list(map(len, found)), pa.int64())], names=["h", "toxic", "at", "n"])
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Weights from at most SAMPLE_ROWS labelled rows that aren't held out: those of the least hashes of their doc_id.
 
-    The bound on hashes is set by a count, so that only the sample is joined, moved and learned from, in one task.
+    The bound on hashes is set by a count, so that only the sample is joined; that on coordinates by running sums over
+    the sample's hashes.
     """
     marked = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out(F.col("doc_id")))
     total = marked.count()
     share = min(1.0, 0.97 * SAMPLE_ROWS / max(1, total))
-    least = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))
+    h = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30))
+    least = h < int(share * (1 << 30))
     picked = marked.where(least).limit(SAMPLE_ROWS)
-    sample = docs.where(least).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    sample = docs.where(least).select("doc_id", "text", h.alias("h")).join(F.broadcast(picked), "doc_id").select("h", "toxic", "text")
+    rows = materialize(sample.transform(map_arrow, _with_features, "h long, toxic int, at binary, n long", then=forget_powers), "toxic-features")
+    sums = rows.groupBy("h").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(Window.orderBy("h")))
+    end = sums.where(F.col("upto") <= MOST_COORDINATES).agg(F.max("h")).first()[0]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "text"])
-        at, w = fit(pdf["text"].fillna("").tolist(), pdf["toxic"].tolist())
+        pdf = pdf.sort_values(["h", "at"])
+        at, w = fit([np.frombuffer(x, np.int32) for x in pdf["at"]], pdf["toxic"].tolist())
         return pd.DataFrame({"at": at, "w": w})
 
-    rows = sample.withColumn("model", F.lit(0)).groupBy("model").applyInPandas(run, "at long, w double").toPandas()
-    return rows["at"].to_numpy(), rows["w"].to_numpy()
+    found = rows.where(F.col("h") <= (-1 if end is None else end)).withColumn("model", F.lit(0)).groupBy("model").applyInPandas(run, "at long, w double").toPandas()
+    return found["at"].to_numpy(), found["w"].to_numpy()
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
