@@ -1,8 +1,9 @@
 """Quality by importance resampling.
 
 Two generative models over hashed word n-grams (words and pairs of neighbours, BUCKETS of them) are counted: of target
-text, which a label marks as good, and of all raw text. A text's weight is the ratio of its probabilities under the two,
-taken as the mean of the log ratios over its n-grams times EVIDENCE, so that length alone neither makes nor breaks it.
+text, which a label marks as good, and of all raw text. log_ratio is the log of the ratio of a text's probabilities under
+the two, the sum over its n-grams. Drawing by it would follow length: n-grams of one text aren't independent, and the sum
+of a long text outgrows any noise. So the log weight that is drawn by is the mean over the n-grams times EVIDENCE.
 Gumbel noise drawn from a hash of doc_id is added to the log weight, and the KEEP share of rows with the largest sums is
 a sample without replacement in proportion to the weights.
 
@@ -76,7 +77,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> np.ndarray:
 
 
 def log_weights(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
-    """doc_id, n_grams and log_weight for every row. The model is a constant BUCKETS numbers."""
+    """doc_id, n_grams, log_ratio and log_weight for every row. The model is a constant BUCKETS numbers."""
     sent = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,10 +85,10 @@ def log_weights(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
             for a, b, ngrams, row in _ngrams(batch.column("text")):
                 n = np.bincount(row, minlength=b - a)
                 sums = np.bincount(row, sent.value[ngrams], minlength=b - a)
-                columns = [batch.column("doc_id").slice(a, b - a), pa.array(n, pa.int64()), pa.array(EVIDENCE * sums / np.maximum(n, 1), pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_grams", "log_weight"])
+                columns = [batch.column("doc_id").slice(a, b - a), pa.array(n, pa.int64()), pa.array(sums.astype(np.float64)), pa.array(EVIDENCE * sums / np.maximum(n, 1), pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_grams", "log_ratio", "log_weight"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(map_arrow, run, "doc_id long, n_grams long, log_weight double", then=forget_powers)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(map_arrow, run, "doc_id long, n_grams long, log_ratio double, log_weight double", then=forget_powers)
 
 
 def gumbel(doc_id: Column, seed: int = SEED) -> Column:
@@ -96,7 +97,7 @@ def gumbel(doc_id: Column, seed: int = SEED) -> Column:
 
 
 def resample(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
-    """doc_id, held_out, n_grams, log_weight, gumbel_key and kept for every row; kept: in the top keep * rows by key.
+    """doc_id, held_out, n_grams, log_ratio, log_weight, gumbel_key and kept for every row; kept: in the top keep * rows by key.
 
     The last key that is kept is found by interval counts, so rows are never sorted in one task.
     """
@@ -105,7 +106,7 @@ def resample(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFram
     rows = materialize(scored.withColumns({"place": F.floor(-F.col("gumbel_key") * _SCALE).cast("long"), "tie": tie, "one": F.lit(1).cast("long"), "whole": F.lit(0).cast("long")}), "weights")
     n = rows.count()
     cut = weighted_cuts(rows, "whole", ["place", "tie"], "one", {0: keep * n} if n else {})
-    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_grams", "log_weight", "gumbel_key", up_to(["place", "tie"], cut.get(0)).alias("kept"))
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_grams", "log_ratio", "log_weight", "gumbel_key", up_to(["place", "tie"], cut.get(0)).alias("kept"))
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
