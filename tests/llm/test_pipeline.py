@@ -1,5 +1,6 @@
 """The pipeline's stages against plain computations on each one's own input, and the SQL of the queries that have it."""
 
+import os
 from collections import Counter
 
 import duckdb
@@ -7,7 +8,8 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from tests.llm.test_training_ops import components, pieces, plain_dedup
+from cloakwork.llm import common
+from tests.llm.test_training_ops import SCHEMA, components, odd_rows, pieces, plain_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,3 +42,23 @@ def test_sql(spark, name):
     want = con.sql(__spark_entry__.oracle_sql()[name])
     found = __spark_entry__.queries()[name](spark, SF).select(*want.columns)
     assert Counter(map(tuple, found.collect())) == Counter(want.fetchall())
+
+
+def test_stages_on_odd_and_empty_tables(spark):
+    odd = spark.createDataFrame(odd_rows(), SCHEMA)
+    for table in (odd, odd.where("false")):
+        docs = table
+        for name, stage in corpus_pipeline.STAGES:
+            before, docs = docs, stage(spark, docs, SF).cache()
+            if name != "pieces":
+                assert docs.columns == odd.columns and {r["doc_id"] for r in docs.collect()} <= {r["doc_id"] for r in before.collect()}
+        assert docs.count() == before.count()
+
+
+def test_run_leaves_its_result_only(spark, tmp_path):
+    odd = spark.createDataFrame(odd_rows(), SCHEMA)
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    root = common.shared_dir(spark)
+    had = set(os.listdir(root))
+    found = corpus_pipeline.run(spark, str(tmp_path))
+    assert found.count() > 0 and [n.split("-")[:2] for n in set(os.listdir(root)) - had] == [["pipeline", "pieces"]]

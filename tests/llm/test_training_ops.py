@@ -233,6 +233,44 @@ def test_language_is_learned_from_all_of_a_text(spark):
     assert len(picked.replace("\n", "")) == language_id.SAMPLE_CHARS and picked.startswith(long[:250]) and picked.endswith(long[-250:])
 
 
+def test_language_needs_a_letter(spark):
+    rows = spark.createDataFrame([(1, "½ ²³ ①", "en"), (2, "Ⅷ", "en"), (3, "12, 7!", "en"), (4, None, "en"), (5, "plain words here", "en"), (6, "d'autres mots", "fr")], "doc_id long, text string, lang string")
+    found = {r["doc_id"]: (r["lang_pred"], r["score"], r["rejected"]) for r in language_id.identify(rows).collect()}
+    assert all(found[i] == ("und", 0.0, True) for i in (1, 2, 3, 4)) and {found[5][0], found[6][0]} <= {"en", "fr"}
+    assert {r["doc_id"] for r in language_id.accepted(rows).collect()} <= {5, 6}
+
+
+def test_language_equals_plain_compression(spark, docs):
+    """Each text with each dictionary, by zstandard itself."""
+    import zstandard
+
+    known = language_id.learn(docs)
+    made = {}
+    for level in (3, 19):
+        for g, d in known.items():
+            z = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            made[g, level] = zstandard.ZstdCompressor(level=level, dict_data=z, write_content_size=False, write_checksum=False, write_dict_id=False)
+    for r in language_id.identify(docs).collect():
+        text = docs.where(F.col("doc_id") == r["doc_id"]).first()["text"] if r["doc_id"] < 25 else None
+        if r["doc_id"] >= 25:
+            continue
+        body = re.sub(r"[\W\d_]+", " ", (text or "").lower()).strip().encode()
+        if not body:
+            assert r["lang_pred"] == "und"
+            continue
+        for level in (3, 19):
+            sizes = sorted((sum(len(made[g, level].compress(body[k : k + 65_536])) for k in range(0, len(body), 65_536)), i, g) for i, g in enumerate(known))
+            margin = (sizes[1][0] - sizes[0][0]) / sizes[0][0]
+            if margin > language_id.NARROW:
+                break
+        assert (r["lang_pred"], r["rejected"]) == (sizes[0][2], margin < language_id.NARROW) and abs(r["margin"] - margin) < 1e-12
+
+
+def test_junk_languages_are_bounded(spark):
+    rows = spark.createDataFrame([(i, f"text {i} of many words", f"junk{i % 300}") for i in range(900)], "doc_id long, text string, lang string")
+    assert len(language_id.learn(rows)) == language_id.MOST_LANGUAGES
+
+
 def test_language_of_a_very_long_text(spark):
     """A clean text's margin doesn't fall with its length."""
     big = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
@@ -255,6 +293,53 @@ def test_toxicity(spark, docs, odd, empty):
     assert toxicity.score(empty, toxicity.learn(empty, none)).count() == 0
 
 
+def test_toxicity_equals_plain_ftrl(spark, docs):
+    """The same sample through a plain dict version, one coordinate at a time."""
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    from cloakwork.llm.words import text_bytes
+
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    at, w = toxicity.learn(docs, labels)
+    toxic = {r["doc_id"]: r["toxic"] for r in labels.where("toxic IS NOT NULL").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2}
+    order = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30)).alias("h")).collect()}
+    rows = []
+    for r in docs.collect():
+        if r["doc_id"] in toxic:
+            x = toxicity.features(*text_bytes(pa.array([r["text"] or ""])))[0]
+            rows.append((order[r["doc_id"]], x.tobytes(), [*x.tolist(), 1 << toxicity.BITS], toxic[r["doc_id"]]))
+    rows.sort(key=lambda x: x[:2])
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        l1 = 0 if i == 1 << toxicity.BITS else toxicity.L1
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    draw = np.random.default_rng(7)
+    for _ in range(toxicity.PASSES):
+        for k in draw.permutation(len(rows)).tolist():
+            _, _, x, y = rows[k]
+            ws = {i: weight(i) for i in x}
+            g = 1 / (1 + math.exp(-max(-35, min(35, sum(ws.values()))))) - y
+            for i in x:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA * ws[i]
+                n[i] += g * g
+    want = {i: weight(i) for i in z if weight(i)}
+    assert set(at.tolist()) == set(want) and all(abs(want[i] - v) < 1e-6 for i, v in zip(at.tolist(), w.tolist()))
+
+
+def test_toxicity_sample_is_bounded(spark, docs, monkeypatch):
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    whole = toxicity.learn(docs, labels)
+    monkeypatch.setattr(toxicity, "MOST_COORDINATES", 20_000)
+    less = toxicity.learn(docs, labels)
+    monkeypatch.setattr(toxicity, "MOST_COORDINATES", 0)
+    assert len(whole[0]) > len(less[0]) > 0 == len(toxicity.learn(docs, labels)[0])
+
+
 def plain_dedup(given):
     by = defaultdict(list)
     for r in given:
@@ -285,6 +370,21 @@ def test_dedup_index_takes_and_gives_back(spark, docs):
     assert {bytes(r["digest"]): r["n"] for r in back.collect()} == {bytes(r["digest"]): r["n"] for r in index.collect()}
 
 
+def test_dedup_index_names_no_dead_row(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["same", "same", "other", "same", "one"])], "doc_id long, text string")
+    digests = exact_dedup.digests_of(docs).cache()
+    index = exact_dedup.build_index(digests)
+    gone, left = digests.where("doc_id IN (0, 2, 3)"), digests.where("doc_id NOT IN (0, 2, 3)")
+    plain = {bytes(r["digest"]): r["doc_id"] for r in left.collect()}
+    stale = exact_dedup.update_index(index, deletes=gone).collect()
+    assert {bytes(r["digest"]): (r["n"], r["stale"]) for r in stale} == {d: (1, i == 1) for d, i in plain.items()}
+    assert all(r["best"] == (exact_dedup.NO_ID if r["stale"] else plain[bytes(r["digest"])]) for r in stale)
+    fresh = exact_dedup.update_index(index, deletes=gone, live=left).collect()
+    assert {bytes(r["digest"]): (r["best"], r["n"], r["stale"]) for r in fresh} == {d: (i, 1, False) for d, i in plain.items()}
+    again = exact_dedup.update_index(exact_dedup.update_index(index, deletes=gone), inserts=digests.where("doc_id = 3")).collect()
+    assert {r["stale"] for r in again if r["n"] == 2} == {True}
+
+
 def test_cuckoo_filter_grows():
     bucket = exact_dedup.Bucket(8)
     keys = [hashlib.sha256(str(i).encode()).digest() for i in range(5000)]
@@ -331,8 +431,9 @@ def test_altered_recipes_are_found(spark, docs):
     store = token_store.write_store(docs, public_tokenizers.path("byte_bpe_50k.json"), end=2)
     recipes = store.table(spark, "recipes")
     schema, sound = recipes.schema, [r.asDict() for r in recipes.collect()]
-    many = next(i for i, r in enumerate(sound) if len(set(map(bytes, r["digests"]))) > 1)
-    turned = {f: sound[many][f][::-1] for f in ("digests", "sizes")}
+    names = lambda r: [bytes(r["digests"][k : k + 16]) for k in range(0, len(r["digests"]), 16)]
+    many = next(i for i, r in enumerate(sound) if len(set(names(r))) > 1)
+    turned = {"digests": bytearray(b"".join(names(sound[many])[::-1])), "sizes": sound[many]["sizes"][::-1]}
     for change in (turned, {"doc_id": -5}, {"doc_id": None}, {"n_tokens": sound[many]["n_tokens"] + 1}, {"digests": sound[many - 1]["digests"], "sizes": sound[many - 1]["sizes"]}, None):
         rows = [r | change if i == many else r for i, r in enumerate(sound)] if change else sound[:many] + sound[many + 1 :]
         spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{store.path}/recipes")
@@ -341,6 +442,37 @@ def test_altered_recipes_are_found(spark, docs):
                 read(spark, store).collect()
     spark.createDataFrame(sound, schema).write.mode("overwrite").parquet(f"{store.path}/recipes")
     assert token_store.read_digests(spark, store).count() == len(sound)
+    assert store.table(spark, "manifest").where("part = -1").count() == 1
+    nodes = store.table(spark, "manifest").collect()
+    for lost in (n for n in nodes if n["block"] == -1):
+        rest = [n for n in nodes if n != lost]
+        spark.createDataFrame(rest, "part int, block long, root string").write.mode("overwrite").parquet(f"{store.path}/manifest")
+        assert token_store.verify(spark, store).count() == 1
+
+
+def plain_cuts(ids):
+    """Chunk ends of one document, one id after the other: a hash of the last 32 ids decides."""
+    gear, ends, last = token_store._GEAR.tolist(), [], 0
+    for c in range(1, len(ids) + 1):
+        h = 0
+        for k, i in enumerate(reversed(ids[max(0, c - 32) : c])):
+            h += (gear[i & 0xFFFF] + (i >> 16)) << k
+        if (c - last >= token_store.LEAST and h % 2**64 & 255 << 40 == 0 and c >= token_store.LEAST) or c - last == token_store.MOST or c == len(ids):
+            last = c
+            ends.append(c)
+    return ends
+
+
+def test_chunks_are_cut_by_content():
+    import numpy as np
+
+    draw = np.random.default_rng(4)
+    docs = [draw.integers(0, 50_000, n) for n in (0, 1, 63, 64, 65, 700, 5_000)] + [np.zeros(5_000, np.int64)]
+    flat, ends = np.concatenate(docs), np.cumsum([0, *map(len, docs)])
+    marks = token_store.cut_marks(flat)
+    for d, a, b in zip(docs, ends[:-1], ends[1:]):
+        mine = (marks[(marks > a) & (marks <= b)] - a).tolist()
+        assert token_store.cut_points(mine, len(d)) == plain_cuts(d.tolist())
 
 
 def test_tiff_payloads(spark, docs, odd, empty):
@@ -431,21 +563,160 @@ def test_quality(spark, docs, odd, empty):
     assert quality.resample(empty, none).count() == 0
 
 
-def test_quality_model_equals_plain_counts(spark, docs):
+def test_quality_equals_plain_counts(spark, docs):
+    """Counts of hashed n-grams one by one, with the words' hashes taken over."""
     import numpy as np
+    import pyarrow as pa
 
     from cloakwork.llm import quality
+    from cloakwork.llm.words import mix, text_bytes, word_hashes
 
     labels = docs.select("doc_id", F.lit(1).alias("quality"))
-    ratios = quality.learn(docs, labels)
-    got = {r["doc_id"]: r["log_weight"] for r in quality.log_weights(docs, ratios).collect()}
+    got = {r["doc_id"]: (r["n_grams"], r["log_ratio"], r["log_weight"]) for r in quality.log_weights(docs, quality.learn(docs, labels)).collect()}
+    of = lambda x: int(mix(np.array([x % 2**64], np.uint64))[0]) % quality.BUCKETS
     raw, target, grams = Counter(), Counter(), {}
     for r in docs.collect():
-        words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or ""))
-        grams[r["doc_id"]] = words + list(zip(words, words[1:]))
+        words = word_hashes(*text_bytes(pa.array([r["text"] or ""])))[0].tolist()
+        grams[r["doc_id"]] = [of(w) for w in words] + [of(a * int(quality._PAIR) + b) for a, b in zip(words, words[1:])]
         raw.update(grams[r["doc_id"]])
         if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
             target.update(grams[r["doc_id"]])
-    n, m = sum(raw.values()), sum(target.values())
-    exact = {i: 200 * np.mean([np.log((target[x] + 1) / (m + quality.BUCKETS)) - np.log((raw[x] + 1) / (n + quality.BUCKETS)) for x in g]) if g else 0 for i, g in grams.items()}
-    assert np.corrcoef([exact[i] for i in exact], [got[i] for i in exact])[0, 1] > 0.6  # apart from hash collisions
+    n, m = raw.total() + quality.BUCKETS, target.total() + quality.BUCKETS
+    ratio = {b: np.log((target[b] + 1) / m) - np.log((raw[b] + 1) / n) for b in raw}
+    for i, g in grams.items():
+        total = sum(ratio[b] for b in g)
+        assert got[i][0] == len(g) and abs(got[i][1] - total) < 1e-6 and abs(got[i][2] - 200 * total / max(1, len(g))) < 1e-6
+
+
+#: Names and kinds that a user's columns may have: internal ones, signs, and a map, which can't be compared.
+CLASHING = "doc_id long, text string, lang string, source string, `__digest` string, `__found` string, `__doc_id` long, `a.b` string, `_digest0` string, `_extra0` int, `_id0_0` long, `doc` string, `tags` map<string,int>, `x``y` int"
+
+
+@pytest.mark.parametrize("stage", [language_id.accepted, exact_dedup.kept_documents, ngram_join.one_of_each, mixing.mixed_documents])
+def test_documents_keep_clashing_columns(spark, stage):
+    texts = ["the same words in a row here", "the same words in a row here", "other words for another text, quite long", None, "", "the  same words in a row here"]
+    rows = [(i, t, "en", None if i == 2 else "s", "d", "f", i, "dot", "own", 5, 6, "doc", {"k": i}, 7) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, rows[1], (None, *rows[1][1:])], CLASHING)
+    out = stage(docs)
+    assert out.columns == docs.columns and out.dtypes == docs.dtypes
+    given, kept = Counter(map(str, docs.collect())), Counter(map(str, out.collect()))
+    assert kept and set(kept) <= set(given)
+    if stage is exact_dedup.kept_documents:
+        assert kept.total() == 3 == len(kept)
+    if stage is ngram_join.one_of_each:
+        assert kept.total() == 5  # rows without words, and those without an id, stay
+    assert stage(docs.where("false")).count() == 0
+
+
+def test_mix_takes_the_least_keys(spark, docs):
+    """By sorting: complete epochs, and the prefix nearest to the rest in the order of keys."""
+    for table, rows_a_window in ((docs, 4_096), (docs, 5)):
+        old, mixing.WINDOW_ROWS = mixing.WINDOW_ROWS, rows_a_window
+        try:
+            taken = Counter()
+            for r in mixing.mix(table).collect():
+                taken[r["doc_id"]] += r["taken"]
+        finally:
+            mixing.WINDOW_ROWS = old
+        by, sizes = defaultdict(list), Counter()
+        for r in mixing.measured(table).collect():
+            by[r["source"]].append((r["key"], r["doc_id"], r["size"]))
+            sizes[r["source"]] += r["size"]
+        order = sorted(sizes, key=lambda s: (s is None, s or ""))
+        want = Counter()
+        for s, target in reshared(sizes, {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}).items():
+            epochs = int(target / sizes[s] + 1e-12)
+            rest, upto, cuts = target - epochs * sizes[s], 0, [(0.0, 0)]
+            rows = sorted(x for x in by[s] if x[2])
+            for k, x in enumerate(rows, 1):
+                upto += x[2]
+                cuts.append((upto, k))
+            best = min(cuts, key=lambda c: (abs(c[0] - rest), c[1] == 0, c[1]))[1]
+            for k, x in enumerate(rows):
+                want[x[1]] += x[2] * (epochs + (k < best))
+        assert +taken == +want
+
+
+def test_shards_equal_a_plain_tree(spark, docs):
+    """Recursive cuts of sorted rows along the widest dimension."""
+    rows = [r.asDict() for r in sharding.metadata(docs).collect()]
+    dims = [f"d{i}" for i in range(4)]
+    whole = {d: max(1, max(r[d] for r in rows) - min(r[d] for r in rows)) for d in dims}
+
+    def split(own, shards, first):
+        if shards == 1:
+            return {r["row"]: first for r in own}
+        if not own:
+            return {}
+        widest = max(dims, key=lambda d: (max(r[d] for r in own) - min(r[d] for r in own)) / whole[d])
+        own = sorted(own, key=lambda r: (r[widest], r["tie"], r["row"]))
+        target, upto, best = sum(r["size"] for r in own) * (shards // 2) / shards, 0, (0, 0)
+        off = [(target, 0)]
+        for k, r in enumerate(own, 1):
+            upto += r["size"]
+            off.append((abs(upto - target), k))
+        best = min(off, key=lambda x: (x[0], x[1] == 0, x[1]))[1]
+        return split(own[:best], shards // 2, first) | split(own[best:], shards - shards // 2, first + shards // 2)
+
+    want = Counter((r["doc_id"], s) for r in rows for s in [split_of[r["row"]]]) if (split_of := split(rows, 24, 0)) else None
+    assert Counter((r["doc_id"], r["shard"]) for r in sharding.kd_shards(docs).collect()) == want
+
+
+def test_shards_see_whole_strings(spark):
+    """Sources that begin alike are told apart, and ranks have no gaps."""
+    docs = spark.createDataFrame([(i, "x" * 50, f"https://example.org/{i % 40:02d}") for i in range(400)], "doc_id long, text string, source string")
+    ranks = {r["value"]: r["rank"] for r in sharding.ranks(docs, "source").collect()}
+    assert ranks == {v: k for k, v in enumerate(sorted(ranks))} and len(ranks) == 40
+    found = sharding.kd_shards(docs, 4, ("source",)).join(docs, "doc_id")
+    assert found.groupBy("source").agg(F.count_distinct("shard").alias("n")).where("n > 1").count() == 0
+
+
+def test_damaged_tiffs_give_error_rows(spark):
+    import numpy as np
+
+    image = np.arange(8 * 10 * 3).reshape(8, 10, 3).astype(np.uint8)
+
+    def file(edit=None, tile=None, scheme=1):
+        data = bytearray(tiff_media.write_tiff([image], scheme, tile=tile))
+        at = tiff_media.struct.unpack_from("<I", data, 4)[0]
+        for k in range(tiff_media.struct.unpack_from("<H", data, at)[0]):
+            tag = tiff_media.struct.unpack_from("<H", data, at + 2 + 12 * k)[0]
+            if edit and tag in edit:
+                tiff_media.struct.pack_into("<I", data, at + 10 + 12 * k, edit[tag])
+        return data
+
+    bad = [
+        file({tiff_media.TILE_WIDTH: 0}, (16, 16)), file({tiff_media.TILE_HEIGHT: 0}, (16, 16)), file({tiff_media.HEIGHT: 2**31}), file({tiff_media.WIDTH: 2**31 - 1, tiff_media.HEIGHT: 2**31 - 1}), file({tiff_media.ROWS_PER_STRIP: 0}),
+        file({tiff_media.STRIP_SIZES: 30}), file({tiff_media.STRIP_SIZES: 0}), file({tiff_media.WIDTH: 0}), bytearray(b"II*\0\0\0\0\0"), file({tiff_media.STRIP_SIZES: 9}, scheme=8), file({tiff_media.STRIP_OFFSETS: 2**31}),
+    ]
+    table = spark.createDataFrame([(i, f"n{i}", b) for i, b in enumerate([*bad, file()])], "file int, name string, body binary")
+    rows = tiff_media.tiff_pages(table, "file", "body", ("name",)).orderBy("file").collect()
+    assert [r["file"] for r in rows] == list(range(len(bad) + 1)) and all(r["error"] and r["pixels"] is None for r in rows[:-1])
+    assert rows[-1]["error"] is None and rows[-1]["pixels"] == image.tobytes() and rows[-1]["name"] == f"n{len(bad)}"
+
+
+def test_texts_are_stored_in_all_ways(spark, docs):
+    media = tiff_media.store_texts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    found = tiff_media.tiff_pages(media, "doc_id", "media").groupBy("compression", "predictor").count().collect()
+    assert {(r["compression"], r["predictor"]) for r in found} == {(c, p) for c in (tiff_media.PACKBITS, tiff_media.LZW, tiff_media.DEFLATE) for p in (1, 2)}
+
+
+def test_packers_equal_their_readers():
+    draw = random.Random(6)
+    for n in (0, 1, 2, 3, 127, 128, 129, 130, 257, 4_000, 60_000):
+        for letters in (1, 2, 200):
+            data = bytes(draw.choices(range(letters), k=n))
+            assert tiff_media.unpack_bits(tiff_media.pack_bits(data)) == data == tiff_media.unpack_lzw(tiff_media.pack_lzw(data))
+
+
+def test_scratch_goes(spark):
+    from cloakwork.llm import common
+
+    with common.scratch(spark):
+        table = common.materialize(spark.range(3), "try")
+        path = table.inputFiles()[0]
+    assert not __import__("os").path.exists(path.removeprefix("file://"))
+    kept = common.written(spark.range(3), "try")
+    assert kept.count() == 3
+    common.discard(kept)
+    common.discard(kept)
