@@ -21,11 +21,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloakwork.llm.common import materialize
-from cloakwork.llm.memory import map_pandas
+from cloakwork.llm.memory import map_arrow, map_pandas
 
 # Fixed values of the TIFF 6.0 format: tags, compression schemes, field types.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_SIZES = 256, 257, 258, 259, 262, 273, 277, 278, 279
@@ -38,6 +39,8 @@ _UNREADABLE = (ValueError, KeyError, IndexError, TypeError, ArithmeticError, Mem
 
 #: A text's payload is padded to rows of 64 RGB pixels; a page holds at most so many of them.
 ROW, PAGE_ROWS, STRIP_ROWS = 192, 4096, 1024
+#: Pages go on from their task when so many bytes of them are held.
+PAGE_BYTES = 2 << 20
 #: How texts are stored, picked by their content: scheme, predictor, and tiles of so many rows and columns or strips.
 WAYS = (
     (PACKBITS, 1, None), (PACKBITS, 2, (16, 64)), (LZW, 1, None), (LZW, 2, (16, 64)),
@@ -299,23 +302,39 @@ def tiff_pages(files: DataFrame, key: str, content: str, keep: tuple[str, ...] =
     """One row for each page of each file, a file's pages one after the other: key, the columns of keep, page, width,
     height, samples, compression, predictor, pixels and error."""
     names = ["page", "width", "height", "samples", "compression", "predictor", "pixels", "error"]
+    kinds = [pa.int32()] * 6 + [pa.binary(), pa.string()]
     own = [f"k{i}" for i in range(len(keep) + 1)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for *mine, data in zip(*(pdf[c] for c in own), pdf["content"]):
-                rows = []
-                for p in readable_pages(bytes(data)) if data is not None and len(data) else ():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            contents = batch.column("content")
+            rows: list[tuple] = []
+            files: list[int] = []
+            held = 0
+
+            def made() -> pa.RecordBatch:
+                at = pa.array(files, pa.int64())  # noqa: B023
+                own_columns = [batch.column(k).take(at) for k in own]  # noqa: B023
+                return pa.RecordBatch.from_arrays([*own_columns, *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=[*own, *names])  # noqa: B023
+
+            for i in range(batch.num_rows):
+                data = contents[i].as_py()
+                for p in readable_pages(data) if data else ():
+                    files.append(i)
                     if isinstance(p, str):
-                        rows.append((*mine, None, None, None, None, None, None, None, p))
-                    else:
-                        rows.append((*mine, p.number, p.width, p.height, p.samples, p.compression, p.predictor, p.pixels.tobytes(), None))
-                if rows:
-                    yield pd.DataFrame(rows, columns=[*own, *names]).astype(dict.fromkeys(names[:6], "Int64"))
+                        rows.append((None, None, None, None, None, None, None, p))
+                        continue
+                    rows.append((p.number, p.width, p.height, p.samples, p.compression, p.predictor, p.pixels.tobytes(), None))
+                    held += p.pixels.nbytes
+                    if held > PAGE_BYTES:
+                        yield made()
+                        rows, files, held = [], [], 0
+            if rows:
+                yield made()
 
-    kinds = ", ".join(f"{k} {files.select(c).schema[0].dataType.simpleString()}" for k, c in zip(own, (key, *keep)))
     given = files.select(*[F.col(c).alias(k) for k, c in zip(own, (key, *keep))], F.col(content).alias("content"))
-    out = given.transform(map_pandas, run, f"{kinds}, page int, width int, height int, samples int, compression int, predictor int, pixels binary, error string")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema if f.name != "content")
+    out = given.transform(map_arrow, run, f"{schema}, page int, width int, height int, samples int, compression int, predictor int, pixels binary, error string")
     return out.select(*[F.col(k).alias(c) for k, c in zip(own, (key, *keep))], *names)
 
 
@@ -354,41 +373,43 @@ def feature_of(images: list[np.ndarray]) -> str:
     return f"{len(images)}p{first.shape[1]}x{sum(map(len, images))};" + ",".join(f"{m:.3f}" for m in means) + f";{int(bits, 2):016x}"
 
 
-def _described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_FEATURES = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
+
+
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pages, those of a file one after the other → one row a file. One file's pages are held at a time."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    held: list = []
+    file: tuple = ()
     images: list[np.ndarray] = []
 
     def row() -> tuple:
-        _, doc_id, n_bytes, media_bytes, media_sha256 = held
+        _, doc_id, n_bytes, media_bytes, media_sha256 = file
         payload = b"".join(i.tobytes() for i in images)
-        return (None if pd.isna(doc_id) else int(doc_id), n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), media_bytes, media_sha256, feature_of(images))
+        return doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), media_bytes, media_sha256, feature_of(images)
 
-    frame = lambda rows: pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
-    for pdf in batches:
+    made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _FEATURES.values())], names=list(_FEATURES))
+    for batch in batches:
         rows = []
-        for row_id, doc_id, n_bytes, media_bytes, media_sha256, width, height, samples, pixels, error in zip(*(pdf[c].tolist() for c in ("row", "doc_id", "n_bytes", "media_bytes", "media_sha256", "width", "height", "samples", "pixels", "error"))):
+        for *now, width, height, samples, pixels, error in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "n_bytes", "media_bytes", "media_sha256", "width", "height", "samples", "pixels", "error"))):
             if error is not None:
-                raise ValueError(f"stored text {doc_id} can't be read: {error}")
-            if held and held[0] != row_id:
+                raise ValueError(f"stored text {now[1]} can't be read: {error}")
+            if file and file[0] != now[0]:
                 rows.append(row())
-                images.clear()
-            held[:] = row_id, doc_id, n_bytes, media_bytes, media_sha256
-            images.append(np.frombuffer(pixels, np.uint8).reshape(int(height), int(width), int(samples)))
+                images = []
+            file = tuple(now)
+            images.append(np.frombuffer(pixels, np.uint8).reshape(height, width, samples))
         if rows:
-            yield frame(rows)
-    if held:
-        yield frame([row()])
+            yield made(rows)
+    if file:
+        yield made([row()])
 
 
 def media_features(media: DataFrame) -> DataFrame:
     """Digests and features of stored texts, from the pages that are read back. Pages aren't shuffled: those of a file
     leave tiff_pages() together and are put together in the same task."""
-    files = media.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("string").alias("doc_id"), "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
+    files = media.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
     read = tiff_pages(files, "row", "media", ("doc_id", "n_bytes", "media_bytes", "media_sha256"))
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return read.transform(map_pandas, _described, schema)
+    return read.transform(map_arrow, _described, schema)
 
 
 def op10_tiff_media(spark, sf_dir: str) -> DataFrame:
