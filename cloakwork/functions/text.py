@@ -47,31 +47,38 @@ def masker(value: Column) -> Column:
 def locate(text: Column, value: Column) -> Column:
     """struct(count, exact, index): how often a value is in the text, its first form there and where (0-based; -1: nowhere).
 
-    The expression is sought only where the value's first digits are in the text: digits have one form.
+    An expression is sought only where the value's first digits are in the text, as digits have one form; and a value
+    of digits and signs alone is sought as it stands.
     """
     digits = F.regexp_substr(value, F.lit("[0-9]+"))
     there = (F.length(value) > 0) & (digits.isNull() | text.contains(digits))
-    every = F.when(there, F.regexp_extract_all(text, sought(value), F.lit(0)))
+
+    def struct(count: Column, exact: Column, first: Column) -> Column:
+        return F.struct(count.cast("long").alias("count"), exact.alias("exact"), F.coalesce(F.instr(text, first) - 1, F.lit(-1)).alias("index"))
 
     def found(all_: Column) -> Column:
         first = F.get(all_, F.lit(0))
-        return F.struct(
-            F.when(all_.isNull(), 0).otherwise(F.size(all_)).cast("long").alias("count"), F.coalesce(F.regexp_replace(first, f"{JS_WS}+", " "), value).alias("exact"),
-            F.coalesce(F.instr(text, first) - 1, F.lit(-1)).alias("index"),
-        )
+        return struct(F.when(all_.isNull(), 0).otherwise(F.size(all_)), F.coalesce(F.regexp_replace(first, f"{JS_WS}+", " "), value), first)
 
-    return let(every, found)
+    plain = (F.octet_length(text) - F.octet_length(F.replace(text, value, F.lit("")))) / F.octet_length(value)
+    literal = struct(plain, value, value)
+    return F.when(there & value.rlike(r"\A[0-9.,%~$€£¥₹+/-]+\z"), literal).otherwise(let(F.when(there, F.regexp_extract_all(text, sought(value), F.lit(0))), found))
 
 
 def snippet(text: Column, index: Column, length: Column) -> Column:
-    """The value at index with its surroundings, marked; empty where index is below 0."""
-    start, end = F.greatest(F.lit(0), index - RADIUS), F.least(F.length(text), index + length + RADIUS)
-    tight = lambda a, b: F.regexp_replace(F.substring(text, a + 1, F.greatest(F.lit(0), b - a)), f"{JS_WS}+", " ")
-    whole = F.concat(
-        F.when(start > 0, "…").otherwise(""), tight(start, index), F.lit("«"), tight(index, index + length), F.lit("»"),
-        tight(index + length, end), F.when(end < F.length(text), "…").otherwise(""),
-    )
-    return F.when(index < 0, "").otherwise(F.trim(whole))
+    """The value at index with its surroundings, marked; empty where index is below 0. Of the text only a window is read."""
+    start = F.greatest(F.lit(0), index - RADIUS)
+    most = index + length + RADIUS - start
+    tight = lambda s: F.regexp_replace(s, f"{JS_WS}+", " ")
+
+    def marked(w: Column) -> Column:
+        at = index - start
+        return F.trim(F.concat(
+            F.when(start > 0, "…").otherwise(""), tight(F.substring(w, F.lit(1), at)), F.lit("«"), tight(F.substring(w, at + 1, length)), F.lit("»"),
+            tight(F.substring(w, at + length + 1, most - at - length)), F.when(F.length(w) > most, "…").otherwise(""),
+        ))
+
+    return F.when(index < 0, "").otherwise(let(F.substring(text, start + 1, most + 1), marked))
 
 
 def slug(name: Column) -> Column:

@@ -51,7 +51,7 @@ def _lines(items: Column) -> Column:
     def line(all_: Column, begins: Column):
         def one(b: Column, k: Column) -> Column:
             mine = F.slice(all_, b + 1, F.coalesce(F.get(begins, k + 1), F.size(all_)) - b)
-            parts = F.array_sort(F.transform(mine, lambda t: F.struct(t["x"].alias("x"), t["item_no"].alias("item_no"), t["s"].alias("s"))))
+            parts = F.sort_array(F.transform(mine, lambda t: F.struct(t["x"].alias("x"), t["item_no"].alias("item_no"), t["s"].alias("s"))))
             return let(parts, lambda ps: F.struct(F.get(all_, b)["page"].alias("page"), F.array_join(F.transform(ps, lambda p: p["s"]), " ").alias("line"), placed(ps).alias("parts")))
 
         return one

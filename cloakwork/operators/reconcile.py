@@ -24,18 +24,24 @@ def group_suggestions(suggestions: DataFrame) -> DataFrame:
 def _finding(text: Column, keys: Column, item: Column, loc: Column, order: Column, ai: bool) -> Column:
     """A finding of a suggestion or a hit; keys: all hits' keys, a line each."""
     verified = loc["count"] > 0
-    final = F.when(verified, loc["exact"]).otherwise(item["value"])
     category = item["field_name"] if ai else item["category"]
-    agrees = let(norm(final), lambda whole: F.exists(keys, whole.contains)) if ai else F.lit(True)
     level = F.coalesce(item["level"], sensitivity(category)) if ai else sensitivity(category)
     reason = F.coalesce(F.nullif(item["reason"], F.lit("")), F.concat(F.lit("Suggested as "), category)) if ai else F.concat(F.lit("Found by a "), F.lower(category), F.lit(" pattern only"))
-    source = F.when(verified & agrees, "ai+pattern").otherwise("ai") if ai else F.lit("pattern")
-    confidence = F.when(~verified, 40).when(agrees, 100).otherwise(90) if ai else F.lit(75)
-    return F.struct(
-        category_rank(category).alias("rank"), (-confidence).alias("minus"), order.alias("ord"), category.alias("field_name"), final.alias("original_value"), source.alias("source"),
-        confidence.cast("int").alias("confidence"), loc["count"].alias("occurrences"), verified.alias("verified"), snippet(text, loc["index"], F.length(final)).alias("context"),
-        level.alias("sensitivity"), reason.alias("reason"),
-    )
+
+    def finding(final: Column, agrees: Column) -> Column:
+        source = F.when(verified & agrees, "ai+pattern").otherwise("ai") if ai else F.lit("pattern")
+        confidence = F.when(~verified, 40).when(agrees, 100).otherwise(90) if ai else F.lit(75)
+        return F.struct(
+            category_rank(category).alias("rank"), (-confidence).alias("minus"), order.alias("ord"), category.alias("field_name"), final.alias("original_value"), source.alias("source"),
+            confidence.cast("int").alias("confidence"), loc["count"].alias("occurrences"), verified.alias("verified"), snippet(text, loc["index"], F.length(final)).alias("context"),
+            level.alias("sensitivity"), reason.alias("reason"),
+        )
+
+    def suggested(final: Column) -> Column:
+        agreement = let(norm(final), lambda whole: F.exists(keys, whole.contains))
+        return let(agreement, lambda agrees: finding(final, agrees))
+
+    return let(F.when(verified, loc["exact"]).otherwise(item["value"]), suggested) if ai else finding(loc["exact"], F.lit(True))
 
 
 _NO_SUGGESTIONS = "array<struct<ai_seq:int,field_name:string,value:string,reason:string,level:string>>"
@@ -52,7 +58,7 @@ def _merged(text: Column, hits: Column, given: Column) -> Column:
 
         ai = F.transform(given, lambda g, i: _finding(text, keys["hits"], g["s"], g["loc"], i, True))
         extra = F.filter(F.transform(F.filter(hits, alone), lambda h: F.struct(h.alias("s"), locate(text, h["value"]).alias("loc"))), lambda g: g["loc"]["count"] > 0)
-        return F.array_sort(F.concat(ai, F.transform(extra, lambda g, i: _finding(text, keys["hits"], g["s"], g["loc"], i + 1_000_000, False))))
+        return F.sort_array(F.concat(ai, F.transform(extra, lambda g, i: _finding(text, keys["hits"], g["s"], g["loc"], i + 1_000_000, False))))
 
     covering = F.transform(F.filter(given, lambda g: g["loc"]["count"] > 0), lambda g: norm(g["loc"]["exact"]))
     hit_keys = F.transform(hits, lambda h: h["key"])
@@ -79,10 +85,10 @@ def explode_findings(found: DataFrame) -> DataFrame:
 
     def numbers(order: Column) -> Column:
         begins = F.filter(F.transform(order, lambda x, j: F.struct(x["name"].alias("name"), j.alias("j"))), lambda x: (x["j"] == 0) | ~F.get(order, x["j"] - 1)["name"].eqNullSafe(x["name"]))
-        return let(F.map_from_entries(begins), lambda at: F.array_sort(F.transform(order, lambda x, j: F.struct(x["i"].alias("i"), (j - at[x["name"]] + 1).alias("n")))))
+        return let(F.map_from_entries(begins), lambda at: F.sort_array(F.transform(order, lambda x, j: F.struct(x["i"].alias("i"), (j - at[x["name"]] + 1).alias("n")))))
 
     def named(all_: Column) -> Column:
-        order = F.array_sort(F.transform(all_, lambda f, i: F.struct(F.coalesce(f["field_name"], F.lit("")).alias("name"), i.alias("i"))))
+        order = F.sort_array(F.transform(all_, lambda f, i: F.struct(F.coalesce(f["field_name"], F.lit("")).alias("name"), i.alias("i"))))
         return let(let(order, numbers), lambda ns: F.transform(all_, lambda f, i: F.struct((i + 1).cast("long").alias("position"), F.concat_ws("_", slug(f["field_name"]), F.get(ns, i)["n"]).alias("field_id"), f.alias("f"))))
 
     columns = ("field_name", "original_value", "source", "confidence", "occurrences", "verified", "context", "sensitivity", "reason")

@@ -94,7 +94,7 @@ def exports(docs: DataFrame, log: DataFrame, meta: list[str] | None = None) -> D
     entry = F.struct(*[F.col(c) for c in ("position", "field_id", "field_name", "original_value", "final_value", "action", "sensitivity", "source", "confidence", "occurrences")])
     totals = [f.alias(n) for f, n in zip((F.count("*"), *(F.count_if(F.col("action") == a) for a in ("masked", "skipped", "pending"))), ("total", "masked", "skipped", "pending"))]
     logs = log.groupBy("doc_id").agg(F.sort_array(F.collect_list(entry)).alias("log"), *totals)
-    by = category_stats(log).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first_position", F.col("field_name").alias("category"), "total", "masked", "skipped"))).alias("by"))
+    by = category_stats(log).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first_position", F.col("field_name").alias("category"), "total", "masked", "skipped"))).alias("by"))
     both = docs.join(logs, "doc_id", "left").join(by, "doc_id", "left").withColumn("log", F.coalesce("log", F.array().cast(logs.schema["log"].dataType)))
     values = F.transform(F.filter("log", lambda x: x["action"] != "skipped"), lambda x: x["original_value"])
     n = {c: F.coalesce(c, F.lit(0)) for c in ("total", "masked", "skipped", "pending")}

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakwork.functions.text import js_trim, let, norm
+from cloakwork.functions.text import let, norm
 from cloakwork.patterns import PATTERNS
 
 
 def _hit(category: str):
-    return lambda m: F.struct(F.lit(category).alias("category"), js_trim(m).alias("value"), norm(m).alias("key"))
+    return lambda m: F.struct(F.lit(category).alias("category"), m.alias("value"), norm(m).alias("key"))  # no pattern begins or ends with white space
 
 
 def hits_of(text: Column) -> Column:
@@ -26,9 +26,9 @@ def first_of_each(items: Column, keys) -> Column:
     """
 
     def firsts(all_: Column) -> Column:
-        order = F.array_sort(F.transform(keys(all_), lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
+        order = F.sort_array(F.transform(keys(all_), lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
         runs = lambda s: F.filter(s, lambda x, j: (j == 0) | ~F.get(s, j - 1)["k"].eqNullSafe(x["k"]))
-        places = F.array_sort(F.transform(let(order, runs), lambda x: x["i"]))
+        places = F.sort_array(F.transform(let(order, runs), lambda x: x["i"]))
         return F.transform(places, lambda i: F.get(all_, i))
 
     return let(items, firsts)

@@ -5,33 +5,39 @@ from __future__ import annotations
 from typing import NamedTuple
 
 # White space as browsers see it, currencies, scales and units.
-JS_WS = "[\\t\\n\\x0B\\f\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
+WHITE = "\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff"
+#: The same class for Python's expressions and for Java's, where a range is tested before its single characters.
+PY_WS, JS_WS = f"[\\t-\\r \\u00a0{WHITE}]", f"[\\t-\\r \\u00a0[\\u1680-\\ufeff&&[{WHITE}]]]"
 _CUR = r"(?:SGD|USD|EUR|GBP|MYR|IDR|THB|PHP|VND|INR|JPY|CNY|AUD|NZD|HKD|KRW|S\$|US\$|A\$|\$|€|£|¥|₹)"
 _SCALE = r"(?:trillion|billion|million|thousand|[TtBbMmKk])"
 _UNIT = r"(?:/(?:MW|KW|GW|MWh|KWh|kW|m2|sqm|unit|hr))?"
 
 
+_OPENS = "[~A-Z$€£¥₹]"
+
+
 class Pattern(NamedTuple):
     category: str
     java: str
     re2: str
 
 
-def _both(category: str, body: str, before: bool = False, after: bool = False, flags: str = "") -> Pattern:
-    """body has WS for white space; before, after: whether a word boundary stands there."""
-    java = flags + r"(?<!\w)" * before + body.replace("WS", JS_WS) + r"(?!\w)" * after
+def _both(category: str, body: str, before: bool = False, after: bool = False, flags: str = "", first: str = "") -> Pattern:
+    """body has WS for white space; before, after: whether a word boundary stands there; first: a class of what can begin
+    a match, which Java's engine tests before it looks behind or tries alternatives."""
+    java = flags + f"(?={first})" * bool(first) + r"(?<!\w)" * before + body.replace("WS", JS_WS) + r"(?!\w)" * after
     return Pattern(category, java, flags + r"\b" * before + body.replace("WS", r"\s") + r"\b" * after)
 
 
 # The seven patterns.
 PATTERNS = (
-    _both("Price", rf"~?{_CUR}WS?\d[\d,]*(?:\.\d+)?(?:WS?{_SCALE})?{_UNIT}"),
-    _both("Price", rf"~?{_CUR}WS?\d[\d.]*{_SCALE}(?:[–\-](?:~?{_CUR}WS?)?\d[\d.]*{_SCALE})?{_UNIT}"),
-    _both("Price", r"\d{1,3}(?:,\d{3})+(?:\.\d+)?", True, True),
-    _both("Price", r"\d+(?:\.\d+)?WS?(?:MW|GW|KW|MWh|KWh|kW)", True, True),
-    _both("Percentage", r"\d{1,3}(?:\.\d+)?WS?%", True),
-    _both("Vendor Name", r"[A-Z]{2,3}-\d{1,4}", True, True),
-    _both("Vendor Name", r"VendorWS+[A-Z]{2,3}-?\d{1,4}", True, True, "(?i)"),
+    _both("Price", rf"~?{_CUR}WS?\d[\d,]*(?:\.\d+)?(?:WS?{_SCALE})?{_UNIT}", first=_OPENS),
+    _both("Price", rf"~?{_CUR}WS?\d[\d.]*{_SCALE}(?:[–\-](?:~?{_CUR}WS?)?\d[\d.]*{_SCALE})?{_UNIT}", first=_OPENS),
+    _both("Price", r"\d{1,3}(?:,\d{3})+(?:\.\d+)?", True, True, first=r"\d"),
+    _both("Price", r"\d+(?:\.\d+)?WS?(?:MW|GW|KW|MWh|KWh|kW)", True, True, first=r"\d"),
+    _both("Percentage", r"\d{1,3}(?:\.\d+)?WS?%", True, first=r"\d"),
+    _both("Vendor Name", r"[A-Z]{2,3}-\d{1,4}", True, True, first="[A-Z]"),
+    _both("Vendor Name", r"VendorWS+[A-Z]{2,3}-?\d{1,4}", True, True, "(?i)", "[Vv]"),
 )
 
 # Fixed values, also of all tuples and patterns below.

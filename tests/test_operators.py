@@ -17,7 +17,7 @@ from cloakwork.functions import text as T
 from cloakwork.operators import align, answers, documents, grid, mask, pages
 from cloakwork.operators.reconcile import reconcile
 from cloakwork.operators.scan import scan
-from cloakwork.patterns import PATTERNS
+from cloakwork.patterns import JS_WS, PATTERNS, PY_WS
 from cloakwork.plans import queries as own
 from cloakwork.sources import csv_spans, sheets, word
 
@@ -52,7 +52,7 @@ def model(text, given):
     plain = lambda s: re.sub(r"\s+", " ", s).strip().lower()
     hits, seen = [], set()
     for p in PATTERNS:
-        for m in re.finditer(p.java, text, re.A):
+        for m in re.finditer(p.java.replace(JS_WS, PY_WS), text, re.A):
             if (k := (p.category, plain(m[0]))) not in seen:
                 seen.add(k)
                 hits.append((p.category, m[0].strip()))
