@@ -16,8 +16,8 @@ def let(value: Column, body) -> Column:
 
 
 def collapse(s: Column) -> Column:
-    """Runs of white space become one space; none at the ends."""
-    return F.trim(F.regexp_replace(s, f"{JS_WS}+", " "))
+    """Runs of white space become one space; none at the ends. Visible ASCII alone is left as it is, unread by a replacement."""
+    return F.when(s.rlike("[^!-~]"), F.trim(F.regexp_replace(s, f"{JS_WS}+", " "))).otherwise(s)
 
 
 def norm(s: Column) -> Column:
@@ -25,7 +25,9 @@ def norm(s: Column) -> Column:
 
 
 def js_trim(s: Column) -> Column:
-    return F.regexp_replace(s, rf"\A{JS_WS}+|{JS_WS}+\z", "")
+    """Without white space at the ends, as browsers see it; nothing is sought where both ends are visible ASCII."""
+    plain = F.ascii(F.left(s, F.lit(1))).between(33, 126) & F.ascii(F.right(s, F.lit(1))).between(33, 126)
+    return F.when(plain, s).otherwise(F.regexp_replace(s, rf"\A{JS_WS}+|{JS_WS}+\z", ""))
 
 
 def escape(s: Column) -> Column:
@@ -140,7 +142,8 @@ def category_rank(category: Column) -> Column:
 
 
 def matches_sweep(cell: Column) -> Column:
-    return collapse(cell).rlike("\\A(?:" + "|".join(SWEEP) + ")\\z")
+    """Whether a cell looks like an amount or a percentage; one without a digit or a dollar can't, and isn't read twice."""
+    return cell.rlike("[0-9$]") & collapse(cell).rlike("\\A(?:" + "|".join(SWEEP) + ")\\z")
 
 
 def column_letters(c: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from cloakwork.config import MASK
 from cloakwork.functions.numbers import number_hit, number_tokens
-from cloakwork.functions.text import collapse, guess_category, guess_category_from_header, js_trim, matches_sweep, norm
+from cloakwork.functions.text import collapse, guess_category, guess_category_from_header, js_trim, let, matches_sweep, norm
 from cloakwork.operators.mask import mask_flexible
 
 
@@ -47,17 +47,22 @@ def claims(cells: DataFrame, plan_columns: DataFrame, plan_values: DataFrame, pl
     heads = cells.join(plans.select("sheet", "cols"), "sheet").select("sheet", "r", "c", F.explode(F.filter("cols", lambda k: (k["label"] != "") & (k["label"] == norm(F.col("value"))))).alias("k"))
     tops = heads.groupBy("sheet", "k.si", "k.ci", "c").agg(F.min("r").alias("top")).groupBy("sheet").agg(F.collect_list(F.struct("c", "top", "si", "ci")).alias("tops"))
     body = cells.where(_maskable(F.col("value"))).join(plans.join(tops, "sheet", "left"), "sheet")
-    body = body.withColumns({"label": norm(F.col("value")), "want": js_trim(F.col("value")), "shaped": matches_sweep(F.col("value"))})
-    label = lambda si: F.exists("cols", lambda k: (k["si"] == si) & (k["label"] == F.col("label")))
     claim = lambda si, kind, idx: F.struct(si.cast("long").alias("si"), F.lit(kind).alias("kind"), idx.cast("int").alias("idx"))
     none = F.array().cast("array<struct<si:bigint,kind:int,idx:int>>")
-    below = F.filter("tops", lambda t: (t["c"] == F.col("c")) & (F.col("r") > t["top"]) & ~label(t["si"]))
-    equal = F.filter("vals", lambda v: (v["want"] == F.col("want")) & (F.col("r") >= 1))
-    swept = F.when(F.col("shaped"), F.filter("sweeps", lambda s: ~label(s)))
-    every = [F.transform(below, lambda t: claim(t["si"], 0, t["ci"])), F.transform(equal, lambda v: claim(v["si"], 1, v["vi"])), F.transform(swept, lambda s: claim(s, 2, F.lit(0)))]
-    first = body.withColumn("claim", F.array_min(F.concat(*[F.coalesce(x, none) for x in every]))).where("claim IS NOT NULL")
-    kind = F.element_at(F.array(F.lit("column"), F.lit("value"), F.lit("sweep")), F.col("claim.kind") + 1)
-    return first.select("sheet", "r", "c", "value", F.col("claim.si").alias("si"), kind.alias("kind"), F.col("claim.idx").alias("idx"))
+
+    def first(x: Column) -> Column:
+        label = lambda si: F.exists("cols", lambda k: (k["si"] == si) & (k["label"] == x["label"]))
+        below = F.filter("tops", lambda t: (t["c"] == F.col("c")) & (F.col("r") > t["top"]) & ~label(t["si"]))
+        equal = F.filter("vals", lambda v: (v["want"] == x["want"]) & (F.col("r") >= 1))
+        swept = F.filter("sweeps", lambda s: ~label(s) & x["shaped"])
+        every = [F.transform(below, lambda t: claim(t["si"], 0, t["ci"])), F.transform(equal, lambda v: claim(v["si"], 1, v["vi"])), F.transform(swept, lambda s: claim(s, 2, F.lit(0)))]
+        return F.filter(F.array(F.array_min(F.concat(*[F.coalesce(e, none) for e in every]))), lambda c: c.isNotNull())
+
+    shaped = F.when(F.size("sweeps") > 0, matches_sweep(F.col("value"))).otherwise(F.lit(False))
+    known = F.struct(norm(F.col("value")).alias("label"), js_trim(F.col("value")).alias("want"), shaped.alias("shaped"))
+    found = body.select("sheet", "r", "c", "value", F.inline(let(known, first)))  # a generator, as a filter would work the claim out twice
+    kind = F.element_at(F.array(F.lit("column"), F.lit("value"), F.lit("sweep")), F.col("kind") + 1)
+    return found.select("sheet", "r", "c", "value", "si", kind.alias("kind"), "idx")
 
 
 def claim_counts(claimed: DataFrame, plan_columns: DataFrame, plan_values: DataFrame, plan_sheets: DataFrame) -> DataFrame:
