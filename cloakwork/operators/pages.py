@@ -185,3 +185,11 @@ def value_spans(runs: DataFrame, values: DataFrame) -> DataFrame:
     texts = runs.groupBy(*keys).agg(whole.alias("text")).join(values, "doc_id")
     long = F.filter("values", lambda v: F.length(js_trim(v)) >= 2)
     return texts.select(*keys, F.inline(F.flatten(F.transform(long, lambda v: pattern_spans(F.col("text"), masker(v))))))
+
+
+def with_metrics(items: DataFrame) -> DataFrame:
+    """items(…, str, a, b, width) with font_size, by the first column of a transformation matrix (10 where that is nothing),
+    and width, or 0.55 of the size for each character where none is given."""
+    size = F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b"))
+    known = F.when(size > 0, size).otherwise(10.0)
+    return items.withColumn("font_size", known).withColumn("width", F.when(F.col("width") > 0, F.col("width")).otherwise(F.col("font_size") * F.length("str") * 0.55))

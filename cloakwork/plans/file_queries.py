@@ -15,7 +15,7 @@ from cloakwork.operators import pages as P
 from cloakwork.operators import review as R
 from cloakwork.plans import views as V
 from cloakwork.plans.queries import _SENSITIVE, _log, findings, query
-from cloakwork.sources import csv_spans, sheets, word
+from cloakwork.sources import csv_spans, parse, sheets, word
 
 
 def _books(spark, sf_dir) -> DataFrame:
@@ -265,3 +265,25 @@ def q_ingest(spark, sf_dir):
     a = accepted.agg(F.count("*").alias("accepted"), F.count_distinct("doc_id").alias("ids"))
     b = rejected.agg(F.count_if(F.col("reason") == "unsupported file type").alias("unsupported"), F.count_if(F.col("reason") == "file too large").alias("too_large"))
     return a.crossJoin(b)
+
+
+@query("""SELECT l_orderkey, l_linenumber, count(*) AS n, sum(floor(size * 1000 + 0.5)::BIGINT)::BIGINT AS sizes, sum(floor(CASE WHEN l_linenumber % 2 = 0 THEN l_quantity ELSE size * length(l_returnflag) * 0.55::DOUBLE END * 1000 + 0.5)::BIGINT)::BIGINT AS widths
+FROM (SELECT *, CASE WHEN l_discount = 0 AND l_tax = 0 THEN 10 ELSE sqrt(l_discount * l_discount + l_tax * l_tax) END AS size FROM lineitem) GROUP BY ALL""")
+def q_item_metrics(spark, sf_dir):
+    width = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_quantity")).otherwise(0.0)
+    items = V.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("str"), F.col("l_discount").alias("a"), F.col("l_tax").alias("b"), width.alias("width"))
+    milli = lambda c: F.sum(F.floor(F.col(c) * 1000 + 0.5))
+    return P.with_metrics(items).groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), milli("font_size").alias("sizes"), milli("width").alias("widths"))
+
+
+@query("""SELECT 'w' || doc_id AS doc_id, 'docx' AS file_type, md5(replace(text, chr(10), chr(10) || chr(10))) AS text_md5 FROM vdoc
+UNION ALL SELECT 'c' || si, 'csv', md5(string_agg(line, chr(10) ORDER BY r)) FROM vrows JOIN sheets USING (sheet) GROUP BY si
+UNION ALL SELECT 'b' || doc_id, 'xlsx', md5(string_agg('=== Sheet: ' || sheet || ' ===' || chr(10) || body, chr(10) ORDER BY si)) FROM (SELECT si // 10 AS doc_id, si, sheet, string_agg(line, chr(10) ORDER BY r) AS body FROM vrows JOIN sheets USING (sheet) GROUP BY ALL) GROUP BY doc_id
+UNION ALL SELECT 'p' || page_id, 'pdf', NULL FROM pages""")
+def q_parse(spark, sf_dir):
+    """Texts of Word, CSV and spreadsheet files, each by its type; types without a reader have none."""
+    named = lambda df, letter, kind: df.select(F.concat(F.lit(letter), F.col("doc_id").cast("string")).alias("doc_id"), F.lit(kind).alias("file_type"), "content")
+    lines = _csv_docs(spark, sf_dir).select("doc_id", F.encode(F.concat(F.lit("﻿"), F.col("text"), F.lit("\n")), "UTF-8").alias("content"))
+    pages = V.table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.encode(F.col("html"), "UTF-8").alias("content"))
+    files = named(word.new_documents(V.vdoc(spark, sf_dir)), "w", "docx").unionByName(named(lines, "c", "csv")).unionByName(named(_books(spark, sf_dir), "b", "xlsx")).unionByName(named(pages, "p", "pdf"))
+    return parse.texts(files).select("doc_id", "file_type", F.md5("text").alias("text_md5"))
