@@ -310,7 +310,7 @@ def _copy(spark, sf_dir):
 
 _COPY = """, orig AS (SELECT sheet, r - 1 AS r, c, CASE WHEN r = 1 AND substr(sheet, 2)::BIGINT % 5 = 0 THEN 'Same' ELSE value END AS value FROM vgrid WHERE r >= 1),
 copied AS (SELECT sheet, r, c + substr(sheet, 2)::BIGINT % 3 AS c, CASE WHEN c IN (1, 2) AND r > 0 THEN 'XXXX' WHEN c = 0 AND r > 0 AND r % 100 = 7 THEN 'Other' ELSE value END AS value FROM orig),
-tried AS (SELECT b.sheet, s AS shift, count(*) FILTER (lower(a.value) = lower(b.value)) AS score FROM copied b, (SELECT unnest([0, 1, 2]) AS s) JOIN orig a ON a.sheet = b.sheet AND a.r = 0 AND b.r = 0 AND a.c = b.c - s GROUP BY ALL),
+tried AS (SELECT b.sheet, s AS shift, count(*) FILTER (lower(a.value) = lower(b.value)) AS score FROM (SELECT *, unnest([0, 1, 2]) AS s FROM copied WHERE r = 0) b JOIN orig a ON a.sheet = b.sheet AND a.r = 0 AND a.c = b.c - b.s GROUP BY ALL),
 shifts AS (SELECT sheet, shift, score FROM (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY score DESC, shift) AS k FROM tried) WHERE k = 1),
 diff AS (SELECT o.sheet, o.r, o.c, o.value, h.value AS header FROM orig o JOIN shifts s USING (sheet) JOIN copied k ON k.sheet = o.sheet AND k.r = o.r AND k.c = o.c + s.shift JOIN orig h ON h.sheet = o.sheet AND h.c = o.c AND h.r = 0 WHERE upper(k.value) = 'XXXX' AND trim(o.value) <> '' AND upper(o.value) <> 'XXXX')
 """
