@@ -2,9 +2,9 @@
 
 A pair of bytes that stands inside no token of the vocabulary can never be joined, nor can anything across it: a token
 that held both would have the pair inside. So a text can be cut between the two bytes of every such pair, the fragments
-encoded on their own, and their ids put one after the other. Most fragments are short and come again and again, so
-each is merged once while a worker remembers it; merging a fragment takes the pair of least rank until none is left,
-by scanning short fragments and with a heap over linked neighbours in long ones.
+encoded on their own, and their ids put one after the other. All new fragments of a batch are cut and told apart as one
+byte array and merged together: in every round each fragment joins its pairs of least rank. Fragments longer than SHORT
+bytes have a heap over linked neighbours each, so that a word of any length takes n log n steps.
 
 Before that a text is split as the vocabulary's own rules have it: at special tokens, then by the pattern of words,
 numbers, other signs and white space. Where a space lies between two signs that aren't white space, both rules agree on a
@@ -32,15 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloakwork.llm.memory import map_arrow
-from cloakwork.llm.token_store import MOST_WORDS, SLICE_CHARS, Encoder
+from cloakwork.llm.token_store import SLICE_CHARS, Encoder
 from cloakwork.llm.token_store import _MARK as MARK
 
 #: Fixed value: the white space of the pattern below, as its own library has it.
 SPACES = r"\t-\r \x85\xa0  -     　"
 #: Fixed value: how byte-level BPE splits a text before merging.
 PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
-#: Longer fragments are merged with a heap.
-SHORT = 48
+#: Longer fragments are merged with a heap each.
+SHORT = 256
+NONE = np.iinfo(np.int32).max
 
 
 def byte_signs() -> dict[str, int]:
@@ -50,6 +51,14 @@ def byte_signs() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def joined_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string or binary column without nulls, and the n + 1 offsets of its rows."""
+    column = column.cast(pa.large_binary())
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    body = np.frombuffer(column.buffers()[2], np.uint8) if at[-1] else np.zeros(0, np.uint8)
+    return body[at[0] : at[-1]], at - at[0]
+
+
 class Vocabulary:
     """Tokens, ranks of merges and forced boundaries, from a vocabulary file of byte-level BPE."""
 
@@ -62,7 +71,13 @@ class Vocabulary:
         self.ids = {b: model["vocab"][t] for t, b in tokens.items()}
         merges = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.ranks = {(self.ids[tokens[a]], self.ids[tokens[b]]): (rank, self.ids[tokens[a] + tokens[b]]) for rank, (a, b) in enumerate(merges)}
-        self.single = [self.ids[bytes((b,))] for b in range(256)]
+        self.single = np.array([self.ids[bytes((b,))] for b in range(256)], np.int32)
+        by_pair = sorted(((a << 32 | b), rank) for (a, b), (rank, _) in self.ranks.items())
+        self.pairs, self.pair_ranks = np.array([p for p, _ in by_pair], np.int64), np.array([r for _, r in by_pair], np.int32)
+        self.made = np.array([made for _, made in self.ranks.values()], np.int32)
+        born = {made: rank for rank, made in self.ranks.values()}
+        if any(rank <= born.get(part, -1) for pair, (rank, _) in self.ranks.items() for part in pair):
+            raise ValueError(f"{path}: a merge stands before the one that makes its part")
         self.inside = np.zeros((256, 256), bool)
         for token in tokens.values():
             for pair in pairwise(token):
@@ -76,29 +91,70 @@ class Vocabulary:
         self.sizes = np.array([len(b) for b in bodies], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
 
-    def fragments(self, piece: bytes) -> list[bytes]:
-        """A piece, cut inside every pair of bytes that no token holds."""
-        if len(piece) < 2:
-            return [piece]
-        body = np.frombuffer(piece, np.uint8)
-        cuts = np.flatnonzero(~self.inside[body[:-1], body[1:]]) + 1
-        return [piece[a:b] for a, b in pairwise([0, *cuts.tolist(), len(piece)])] if len(cuts) else [piece]
-
-    def merged(self, fragment: bytes) -> list[int]:
-        """Ids of a fragment: the neighbours of least rank, leftmost first, become one until none can."""
-        if (known := self.ids.get(fragment)) is not None and len(fragment) < 3:
-            return [known]
-        ids = [self.single[b] for b in fragment]
-        return self._scanned(ids) if len(ids) <= SHORT else self._by_heap(ids)
-
-    def _scanned(self, ids: list[int]) -> list[int]:
-        ranks = self.ranks
-        while len(ids) > 1:
-            best, at = min(((r[0], i) for i, pair in enumerate(pairwise(ids)) if (r := ranks.get(pair))), default=(None, 0))
-            if best is None:
+    def fragments(self, pieces: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Pieces, cut inside every pair of bytes that no token holds: all fragments, and how many each piece has."""
+        body, at = joined_bytes(pieces)
+        first = np.zeros(len(body) + 1, bool)
+        first[1:-1] = ~self.inside[body[:-1], body[1:]]
+        first[at] = True
+        starts = np.flatnonzero(first).astype(np.int32)
+        made = pa.Array.from_buffers(pa.binary(), max(0, len(starts) - 1), [None, pa.py_buffer(starts.tobytes()), pa.py_buffer(body.tobytes())])
+        return made, np.diff(np.searchsorted(starts, at))
+
+    def merged(self, fragments: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all fragments, and the n + 1 offsets of the fragments in them."""
+        body, at = joined_bytes(fragments)
+        sizes = np.diff(at)
+        short = sizes <= SHORT
+        ids, owner = self._by_rounds(self.single[body[np.repeat(short, sizes)]], np.repeat(np.flatnonzero(short), sizes[short]))
+        counts = np.bincount(owner, minlength=len(sizes))
+        if short.all():
+            return ids, np.concatenate(([0], np.cumsum(counts)))
+        long = {int(k): self._by_heap(self.single[body[at[k] : at[k + 1]]].tolist()) for k in np.flatnonzero(~short)}
+        for k, own in long.items():
+            counts[k] = len(own)
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        out = np.empty(ends[-1], np.int32)
+        out[np.repeat(short, counts)] = ids
+        for k, own in long.items():
+            out[ends[k] : ends[k + 1]] = own
+        return out, ends
+
+    def _ranked(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Where each pair stands among the merges, by rank; NONE if it is no merge."""
+        pair = a.astype(np.int64) << 32 | b
+        at = np.searchsorted(self.pairs, pair)
+        at[at == len(self.pairs)] = 0
+        return np.where(self.pairs[at] == pair, self.pair_ranks[at], NONE)
+
+    def _by_rounds(self, ids: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and the fragment of each, when every fragment has joined its pairs of least rank until it has none."""
+        done_ids, done_owner = [], []
+        while len(ids):
+            rank = np.full(len(ids), NONE, np.int32)
+            rank[:-1] = np.where(owner[:-1] == owner[1:], self._ranked(ids[:-1], ids[1:]), NONE)
+            first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+            size = np.diff(np.append(first, len(ids)))
+            least = np.minimum.reduceat(rank, first)
+            open_ = np.repeat(least != NONE, size)
+            done_ids.append(ids[~open_])
+            done_owner.append(owner[~open_])
+            hit = (rank == np.repeat(least, size))[open_]
+            ids, owner, rank = ids[open_], owner[open_], rank[open_]
+            if not len(ids):
                 break
-            ids[at : at + 2] = [ranks[ids[at], ids[at + 1]][1]]
-        return ids
+            # of pairs that overlap, as in a run of one sign, every second one is joined, from the left
+            place = np.arange(len(ids))
+            run = np.maximum.accumulate(np.where(hit & ~np.concatenate(([False], hit[:-1])), place, 0))
+            hit &= (place - run) % 2 == 0
+            ids = np.where(hit, self.made[np.where(hit, rank, 0)], ids)
+            keep = ~np.concatenate(([False], hit[:-1]))
+            ids, owner = ids[keep], owner[keep]
+        if not done_ids:
+            return ids, owner
+        ids, owner = np.concatenate(done_ids), np.concatenate(done_owner)
+        order = np.argsort(owner, kind="stable")
+        return ids[order], owner[order]
 
     def _by_heap(self, ids: list[int]) -> list[int]:
         ranks, n = self.ranks, len(ids)
@@ -130,30 +186,34 @@ class ForcedEncoder(Encoder):
         self.special = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
         self.forget()
 
-    def forget(self) -> None:
-        super().forget()
-        self.fragments: dict[bytes, list[int]] = {}
-
-    def _ids_of(self, text: str) -> list[int]:
-        out, seen, v = [], self.fragments, self.vocabulary
-        for i, stretch in enumerate(self.special.split(text) if self.special else [text]):
-            if i % 2:
-                out.append(v.special[stretch])
-                continue
-            for piece in PATTERN.findall(stretch):
-                for fragment in v.fragments(piece.encode()):
-                    if (ids := seen.get(fragment)) is None:
-                        ids = seen[fragment] = v.merged(fragment)
-                    out += ids
-        return out
-
     def _learn(self, keys: list[str]) -> None:
-        if len(self.fragments) > MOST_WORDS:
-            self.fragments.clear()
-        got = [self._ids_of(k[1:] if k.startswith(MARK) else " " + k) for k in keys]
+        v, pieces, counts, special = self.vocabulary, [], [], {}
+        for text in (k[1:] if k.startswith(MARK) else " " + k for k in keys):
+            before = len(pieces)
+            for i, stretch in enumerate(self.special.split(text) if self.special and self.special.search(text) else (text,)):
+                if i % 2:
+                    special[len(pieces)] = v.special[stretch]
+                    pieces.append("")
+                else:
+                    pieces += PATTERN.findall(stretch)
+            counts.append(len(pieces) - before)
+        fragments, per_piece = v.fragments(pa.array(pieces, pa.string()))
+        different = fragments.dictionary_encode()
+        ids, at = v.merged(different.dictionary)
+        if special:  # an empty piece has no fragment; its id is put in as one of its own
+            where = np.cumsum(per_piece)[list(special)]
+            codes = np.insert(different.indices.to_numpy().astype(np.int64), where, len(at) - 1 + np.arange(len(special)))
+            ids, at = np.append(ids, np.array(list(special.values()), np.int32)), np.append(at, at[-1] + 1 + np.arange(len(special)))
+            per_piece[list(special)] = 1
+        else:
+            codes = different.indices.to_numpy().astype(np.int64)
+        sizes = at[codes + 1] - at[codes]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        fresh = ids[np.repeat(at[codes] - ends[:-1], sizes) + np.arange(ends[-1])]
+        per_key = ends[np.concatenate(([0], np.cumsum(per_piece)))][np.concatenate(([0], np.cumsum(counts)))]
         self.known.update(zip(keys, range(len(self.known), len(self.known) + len(keys))))
-        self.starts = np.concatenate((self.starts, np.cumsum([len(ids) for ids in got]) + self.starts[-1]))
-        self.flat = np.concatenate((self.flat, np.fromiter((i for ids in got for i in ids), np.int32)))
+        self.starts = np.concatenate((self.starts, per_key[1:] + self.starts[-1]))
+        self.flat = np.concatenate((self.flat, fresh.astype(np.int32)))
 
     def decode(self, ids: np.ndarray, at: np.ndarray) -> tuple[bytes, np.ndarray]:
         """Bytes of the ids of many texts, and the n + 1 offsets of the texts in them."""

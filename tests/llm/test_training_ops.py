@@ -392,7 +392,7 @@ def test_cuckoo_filter_grows():
         bucket.add(k, i, i, 1)
     assert bucket.resizes and all(k in bucket.filter for k in keys)
     for k in keys[:2500]:
-        bucket.remove(k, 1)
+        bucket.remove(k, keys.index(k), keys.index(k), 1)
     assert set(bucket.keys) == set(keys[2500:]) and all(k in bucket.filter for k in keys[2500:])
     assert sum(k in bucket.filter for k in keys[:2500]) < 50
 
