@@ -17,11 +17,12 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakwork.llm.memory import map_pandas
+from cloakwork.llm.memory import map_arrow
 
 SPACE_MARK = "▁"
 #: A task forgets its words beyond this many, and works on so many characters at a time.
@@ -276,46 +277,47 @@ def text_slices(texts: list[str], most: int = SLICE_CHARS) -> Iterator[tuple[int
 def encode_column(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id and ids (array of int) for every row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model_path)
-        for pdf in batches:
-            texts = pdf["text"].fillna("").tolist()
+        for batch in batches:
+            texts = pc.fill_null(batch.column("text"), "").to_pylist()
             for a, b in text_slices(texts):
                 ids, at = enc.encode(texts[a:b])
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[a:b].to_numpy(), "ids": np.split(ids, at[1:-1])})
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), lists], names=["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").transform(map_pandas, run, "doc_id long, ids array<int>", then=forget_encoders)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(map_arrow, run, "doc_id long, ids array<int>", then=forget_encoders)
 
 
 def decode_column(encoded: DataFrame, model_path: str) -> DataFrame:
     """doc_id and text for rows of doc_id and ids; null ids decode to an empty text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model_path)
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": [enc.decode(list(x)) if x is not None else "" for x in pdf["ids"]]})
+        for batch in batches:
+            texts = [enc.decode(ids or []) for ids in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").transform(map_pandas, run, "doc_id long, text string", then=forget_encoders)
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").transform(map_arrow, run, "doc_id long, text string", then=forget_encoders)
 
 
 def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the text decoded from them, without moving the ids."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model_path)
         decimal = enc.model.decimal.__getitem__
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for pdf in batches:
-            texts = pdf["text"].fillna("").tolist()
+        for batch in batches:
+            texts = pc.fill_null(batch.column("text"), "").to_pylist()
             for a, b in text_slices(texts):
                 flat, at = enc.encode(texts[a:b])
                 ids = [x.tolist() for x in np.split(flat, at[1:-1])]
-                yield pd.DataFrame({
-                    "doc_id": pdf["doc_id"].iloc[a:b].to_numpy(), "n_tokens": [len(x) for x in ids],
-                    "ids_sha256": [sha(",".join(map(decimal, x))) for x in ids], "decoded_sha256": [sha(enc.decode(x)) for x in ids],
-                })
+                digests = ([sha(",".join(map(decimal, x))) for x in ids], [sha(enc.decode(x)) for x in ids])
+                columns = [batch.column("doc_id").slice(a, b - a), pa.array(np.diff(at), pa.int64()), *(pa.array(d, pa.string()) for d in digests)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(map_pandas, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", then=forget_encoders)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(map_arrow, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", then=forget_encoders)
 
 
 def op2_piece_round_trip(spark, sf_dir: str) -> DataFrame:
