@@ -20,13 +20,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloakwork.llm.common import materialize
-from cloakwork.llm.memory import map_arrow, map_pandas
+from cloakwork.llm.memory import map_arrow
 
 # Fixed values of the TIFF 6.0 format: tags, compression schemes, field types.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_SIZES = 256, 257, 258, 259, 262, 273, 277, 278, 279
@@ -204,8 +203,9 @@ def _block(body: bytes, order: str, bits: int, predictor: int, rows: int, width:
     return np.cumsum(found, axis=1, dtype=found.dtype) if predictor == 2 else found
 
 
-#: No scheme makes one byte more than so many samples' bytes: a larger page isn't allocated.
-MOST_GROWTH = 2_000
+#: No scheme makes one byte more than so many samples' bytes: a larger page isn't allocated. The most is a full table of
+#: LZW strings, of which a code of 12 bits stands for one of at most 3,840 bytes.
+MOST_GROWTH = 2_560
 
 
 def _page(data: bytes, number: int, order: str, at: int) -> Page:
@@ -354,12 +354,16 @@ def stored(payload: bytes) -> bytes:
 def store_texts(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media: each text as a TIFF file."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            sizes, payloads = zip(*map(payload_of, pdf["text"].tolist())) if len(pdf) else ((), ())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": sizes, "media": list(map(stored, payloads))})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(map_pandas, run, "doc_id long, n_bytes long, media binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, files = [], []
+            for text in batch.column("text").to_pylist():
+                size, payload = payload_of(text)
+                sizes.append(size)
+                files.append(stored(payload))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(files, pa.binary())], names=["doc_id", "n_bytes", "media"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(map_arrow, run, "doc_id long, n_bytes long, media binary")
 
 
 def feature_of(images: list[np.ndarray]) -> str:
