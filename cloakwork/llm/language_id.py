@@ -26,15 +26,16 @@ from pyspark.sql.functions import arrow_udf
 from cloakwork.llm.common import columns_of, free_name
 from cloakwork.llm.memory import bound_batches, tidy
 
-#: Learning takes for each language SAMPLE_CHARS characters of at most SAMPLE_TEXTS labelled texts; of a longer text, in
-#: SAMPLE_PIECES equal pieces at even distances, from its first character to its last.
-SAMPLE_TEXTS = 128
-SAMPLE_CHARS, SAMPLE_PIECES = 4_000, 16
+#: Learning takes whole texts of at most SAMPLE_TEXTS labelled rows of a language, in the order of a hash, as far as they
+#: fit into LEARN_BYTES; of labelled texts that are all longer, the shortest. All languages together have LEARN_TOTAL.
+SAMPLE_TEXTS, LEARN_BYTES, LEARN_TOTAL = 128, 1 << 18, 1 << 26
 LEVEL, TIE_LEVEL = 3, 19
 BLOCK = 65_536
 SLICE_ROWS = 256
-#: So many languages are learned at most, those with the most rows: a column of junk can't fill the driver or a task.
-MOST_LANGUAGES = 100
+#: Compressors of so many languages are held at a time; where there are more, a batch meets them group by group.
+GROUP = 64
+#: Labelled rows of so many languages are learned from, those with the most rows.
+MOST_LANGUAGES = 10_000
 #: Share of the best size by which the second-best must be larger.
 NARROW = 0.005
 UNDETERMINED = "und"
@@ -52,31 +53,35 @@ def plain(text: str) -> bytes:
     return body.encode() if any(map(str.isalpha, body)) else b""
 
 
-def sampled(text: Column) -> Column:
-    """What is learned of a text."""
-    size = SAMPLE_CHARS // SAMPLE_PIECES
-    step = (F.length(text) - size) / (SAMPLE_PIECES - 1)
-    pieces = [F.substring(text, F.round(k * step).cast("int") + 1, F.lit(size)) for k in range(SAMPLE_PIECES)]
-    return F.when(F.length(text) <= SAMPLE_CHARS, text).otherwise(F.concat_ws("\n", *pieces))
-
-
 def learn(docs: DataFrame) -> dict[str, bytes]:
     """The dictionary of each language, those with more rows first, from a bounded sample of rows that aren't held out.
 
-    Rows are dealt to SAMPLE_TEXTS slots of each language by a hash; a slot takes its row of least hash. Only
-    (language, slot) minima and counts are shuffled, one for each task and slot, and only those of MOST_LANGUAGES
-    languages reach the driver.
+    Rows are dealt to slots of each language by a hash; a slot takes its row of least hash among those that fit, or else
+    its shortest. Only (language, slot) minima and counts are shuffled, one for each task and slot.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
-    hashed = rows.select("lang", "text", F.xxhash64("doc_id").alias("h"))
-    slots = hashed.groupBy("lang", F.pmod(F.col("h"), F.lit(SAMPLE_TEXTS)).alias("slot")).agg(F.min("h").alias("h"), F.count("*").alias("n"))
-    langs = slots.groupBy("lang").agg(F.sum("n").alias("n"), F.collect_list("h").alias("hs")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    many = rows.select("lang").distinct().limit(MOST_LANGUAGES).count()
+    room = min(LEARN_BYTES, LEARN_TOTAL // max(1, many))
+    slots_each = max(1, min(SAMPLE_TEXTS, room // 2_000))
+    hashed = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"), F.octet_length("text").alias("size"))
+    order = F.struct(F.when(F.col("size") > room, F.col("size")).otherwise(0).alias("over"), "h", "size")
+    slots = hashed.groupBy("lang", F.pmod(F.col("h"), F.lit(slots_each)).alias("slot")).agg(F.min(order).alias("one"), F.count("*").alias("n"))
+    langs = slots.groupBy("lang").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list("one")).alias("ones")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    picked = []
+    for r in langs:
+        left = room
+        for one in r["ones"]:
+            if left == room or one["size"] <= left and not one["over"]:
+                picked.append((r["lang"], one["h"]))
+                left -= one["size"]
     if not langs:
         return {}
-    picked = docs.sparkSession.createDataFrame([(r["lang"], h) for r in langs for h in r["hs"]], "lang string, h long")
-    part = hashed.join(F.broadcast(picked), ["lang", "h"], "left_semi").select("lang", "h", sampled(F.col("text")).alias("text"))
-    texts = part.groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("lang", "h").collect()
-    return {g: b"\n".join(plain(r["text"]) for r in texts if r["lang"] == g) for g in (r["lang"] for r in langs)}
+    wanted = docs.sparkSession.createDataFrame(picked, "lang string, h long")
+    part = hashed.join(F.broadcast(wanted), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.min("text").alias("text"))
+    found: dict[str, list[bytes]] = {r["lang"]: [] for r in langs}
+    for r in part.orderBy("lang", "h").toLocalIterator():
+        found[r["lang"]].append(plain(r["text"]))
+    return {g: b"\n".join(texts) for g, texts in found.items()}
 
 
 def _coder(dictionary: bytes, level: int):
@@ -87,32 +92,45 @@ def _coder(dictionary: bytes, level: int):
 
 class Classifier:
     def __init__(self, dictionaries: dict[str, bytes], narrow: float = NARROW):
-        self.dictionaries, self.langs, self.narrow = dictionaries, list(dictionaries), narrow
-        self.coders = [_coder(d, LEVEL) for d in dictionaries.values()]
-        self.slow: list = []
-
-    @staticmethod
-    def _sizes(body: bytes, coders: list) -> list[tuple[int, int]]:
-        """Compressed size and number of each language, the smallest first."""
-        blocks = [body[at : at + BLOCK] for at in range(0, len(body), BLOCK)]
-        return sorted((sum(len(code(b)) for b in blocks), i) for i, code in enumerate(coders))
+        self.langs, self.narrow = list(dictionaries), narrow
+        self.groups = [list(dictionaries.values())[i : i + GROUP] for i in range(0, len(dictionaries), GROUP)]
+        self.ready: dict[int, list] = {}
+
+    def _coders(self, group: int, level: int) -> list:
+        """Of one group, those of each level are kept; of several, those in use alone."""
+        if len(self.groups) > 1:
+            return [_coder(d, level) for d in self.groups[group]]
+        if level not in self.ready:
+            self.ready[level] = [_coder(d, level) for d in self.groups[group]]
+        return self.ready[level]
+
+    def _sizes(self, bodies: list[bytes], level: int) -> list[list[tuple[int, int]]]:
+        """For each text, compressed size and number of each language, the smallest first."""
+        sizes: list[list[tuple[int, int]]] = [[] for _ in bodies]
+        for g in range(len(self.groups) if bodies else 0):
+            coders = self._coders(g, level)
+            for own, body in zip(sizes, bodies):
+                blocks = [body[at : at + BLOCK] for at in range(0, len(body), BLOCK)]
+                own += [(sum(len(code(b)) for b in blocks), g * GROUP + i) for i, code in enumerate(coders)]
+        return [sorted(own) for own in sizes]
 
     @staticmethod
     def _margin(sizes: list[tuple[int, int]]) -> float:
         return (sizes[1][0] - sizes[0][0]) / sizes[0][0] if len(sizes) > 1 else 1.0
 
-    def classify(self, text: str | None) -> tuple[str, float, float, bool]:
-        """Language, score in 0 to 1, relative margin and whether the text is rejected."""
-        body = plain(text or "")
-        if not body or not self.langs:
-            return UNDETERMINED, 0.0, 0.0, True
-        sizes = self._sizes(body, self.coders)
-        if self._margin(sizes) <= self.narrow:
-            self.slow = self.slow or [_coder(d, TIE_LEVEL) for d in self.dictionaries.values()]
-            sizes = self._sizes(body, self.slow)
-        best, margin = sizes[0][0], self._margin(sizes)
-        score = 1 / sum(math.exp(-min(50.0, (s - best) / 4)) for s, _ in sizes)
-        return self.langs[sizes[0][1]], score, margin, margin < self.narrow
+    def classify(self, texts: list[str | None]) -> list[tuple[str, float, float, bool]]:
+        """Of each text: language, score in 0 to 1, relative margin and whether it is rejected."""
+        bodies = [plain(t or "") if self.langs else b"" for t in texts]
+        some = [i for i, body in enumerate(bodies) if body]
+        sizes = dict(zip(some, self._sizes([bodies[i] for i in some], LEVEL)))
+        close = [i for i in some if self._margin(sizes[i]) <= self.narrow]
+        sizes |= dict(zip(close, self._sizes([bodies[i] for i in close], TIE_LEVEL)))
+        out = [(UNDETERMINED, 0.0, 0.0, True)] * len(texts)
+        for i, own in sizes.items():
+            best, margin = own[0][0], self._margin(own)
+            score = 1 / sum(math.exp(-min(50.0, (s - best) / 4)) for s, _ in own)
+            out[i] = (self.langs[own[0][1]], score, margin, margin < self.narrow)
+        return out
 
 
 def classifier_udf(spark: SparkSession, dictionaries: dict[str, bytes], narrow: float = NARROW):
@@ -122,7 +140,7 @@ def classifier_udf(spark: SparkSession, dictionaries: dict[str, bytes], narrow:
     def classify(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = Classifier(dictionaries, narrow)
         for texts in batches:
-            found = [c.classify(t) for at in range(0, len(texts), SLICE_ROWS) for t in texts.slice(at, SLICE_ROWS).to_pylist()]
+            found = [f for at in range(0, len(texts), SLICE_ROWS) for f in c.classify(texts.slice(at, SLICE_ROWS).to_pylist())]
             yield pa.StructArray.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*found), (pa.string(), pa.float64(), pa.float64(), pa.bool_()))], names=["lang_pred", "score", "margin", "rejected"])
 
     @arrow_udf("lang_pred string, score double, margin double, rejected boolean")
