@@ -2,8 +2,9 @@
 
 A document and its suggestions are joined once; all else is done on arrays inside the row: no window, no shuffle, and
 so the same plan runs on a stream. A hit gives way to a suggestion of the same key, to a verified suggestion that
-contains it and to an earlier hit that contains it: whether one does is read off the keys in a row, joined to one string,
-by where a key is found first.
+contains it and to an earlier hit that contains it. Places, counts, surroundings and containments of all hits and
+suggestions of a document come from one automaton (functions.places), so work grows with a text's length and its hits,
+not with their product.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakwork.functions.text import category_rank, collapse, let, locate, norm, sensitivity, slug, snippet
+from cloakwork.functions.places import located_all
+from cloakwork.functions.text import category_rank, collapse, let, norm, sensitivity, slug
 from cloakwork.operators.scan import distinct_hits, first_of_each
 
 
@@ -21,60 +23,34 @@ def group_suggestions(suggestions: DataFrame) -> DataFrame:
     return suggestions.groupBy("doc_id").agg(F.sort_array(F.collect_list(one)).alias("suggested"))
 
 
-def _finding(text: Column, keys: Column, item: Column, loc: Column, order: Column, ai: bool) -> Column:
-    """A finding of a suggestion or a hit; keys: all hits' keys, a line each."""
-    verified = loc["count"] > 0
+def _finding(item: Column, at: Column, order: Column, ai: bool) -> Column:
+    """The finding of a suggestion or a hit; at: what places.located says of it."""
+    verified = at["count"] > 0
     category = item["field_name"] if ai else item["category"]
     level = F.coalesce(item["level"], sensitivity(category)) if ai else sensitivity(category)
     reason = F.coalesce(F.nullif(item["reason"], F.lit("")), F.concat(F.lit("Suggested as "), category)) if ai else F.concat(F.lit("Found by a "), F.lower(category), F.lit(" pattern only"))
-
-    def finding(final: Column, agrees: Column) -> Column:
-        source = F.when(verified & agrees, "ai+pattern").otherwise("ai") if ai else F.lit("pattern")
-        confidence = F.when(~verified, 40).when(agrees, 100).otherwise(90) if ai else F.lit(75)
-        return F.struct(
-            category_rank(category).alias("rank"), (-confidence).alias("minus"), order.alias("ord"), category.alias("field_name"), final.alias("original_value"), source.alias("source"),
-            confidence.cast("int").alias("confidence"), loc["count"].alias("occurrences"), verified.alias("verified"), snippet(text, loc["index"], F.length(final)).alias("context"),
-            level.alias("sensitivity"), reason.alias("reason"),
-        )
-
-    def suggested(final: Column) -> Column:
-        agreement = let(norm(final), lambda whole: F.exists(keys, whole.contains))
-        return let(agreement, lambda agrees: finding(final, agrees))
-
-    return let(F.when(verified, loc["exact"]).otherwise(item["value"]), suggested) if ai else finding(loc["exact"], F.lit(True))
+    source = F.when(verified & at["agrees"], "ai+pattern").otherwise("ai") if ai else F.lit("pattern")
+    confidence = F.when(~verified, 40).when(at["agrees"], 100).otherwise(90) if ai else F.lit(75)
+    return F.struct(
+        category_rank(category).alias("rank"), (-confidence).alias("minus"), order.alias("ord"), category.alias("field_name"), at["exact"].alias("original_value"), source.alias("source"),
+        confidence.cast("int").alias("confidence"), at["count"].alias("occurrences"), verified.alias("verified"), at["context"].alias("context"), level.alias("sensitivity"), reason.alias("reason"),
+    )
 
 
 _NO_SUGGESTIONS = "array<struct<ai_seq:int,field_name:string,value:string,reason:string,level:string>>"
 
 
-def _merged(text: Column, hits: Column, given: Column) -> Column:
-    """hits and located suggestions of one text → its findings; both come as bound variables."""
-    line = lambda k: F.concat(F.lit("\n"), k, F.lit("\n"))  # noqa: E731  # keys have no line ends
-
-    def with_keys(keys: Column) -> Column:
-        def alone(h: Column) -> Column:
-            inside = F.instr(keys["joined"], h["key"]) < F.instr(keys["joined"], line(h["key"])) + 1
-            return ~F.array_contains(keys["all"], h["key"]) & ~keys["covering"].contains(h["key"]) & ~inside
-
-        ai = F.transform(given, lambda g, i: _finding(text, keys["hits"], g["s"], g["loc"], i, True))
-        extra = F.filter(F.transform(F.filter(hits, alone), lambda h: F.struct(h.alias("s"), locate(text, h["value"]).alias("loc"))), lambda g: g["loc"]["count"] > 0)
-        return F.sort_array(F.concat(ai, F.transform(extra, lambda g, i: _finding(text, keys["hits"], g["s"], g["loc"], i + 1_000_000, False))))
-
-    covering = F.transform(F.filter(given, lambda g: g["loc"]["count"] > 0), lambda g: norm(g["loc"]["exact"]))
-    hit_keys = F.transform(hits, lambda h: h["key"])
-    return let(F.struct(
-        F.transform(given, lambda g: norm(g["s"]["value"])).alias("all"), F.array_join(covering, "\n").alias("covering"), hit_keys.alias("hits"),
-        F.concat(F.lit("\n"), F.array_join(hit_keys, "\n"), F.lit("\n")).alias("joined"),
-    ), with_keys)
-
-
 def findings_array(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, suggested) → doc_id, text and findings, sorted by category, confidence and order."""
-    text = F.coalesce("text", F.lit(""))
     long = F.filter(F.coalesce("suggested", F.array().cast(_NO_SUGGESTIONS)), lambda s: F.length(s["value"]) >= 2)
-    first = first_of_each(long, lambda all_: F.transform(all_, lambda s: norm(s["value"])))
-    given = F.transform(first, lambda s: F.struct(s.alias("s"), locate(text, s["value"]).alias("loc")))
-    return docs.select("doc_id", "text", let(distinct_hits(F.col("text")), lambda hits: let(given, lambda g: _merged(text, hits, g))).alias("findings"))
+    keyed = F.transform(long, lambda s: s.withField("key", norm(s["value"])))
+    given = first_of_each(keyed, lambda all_: F.transform(all_, lambda s: s["key"]))
+    parts = docs.select("doc_id", "text", distinct_hits(F.col("text")).alias("hits"), given.alias("given"))
+    at = parts.withColumn("at", located_all(F.col("text"), F.col("hits"), F.col("given")))
+    ai = F.transform("given", lambda s, i: _finding(s, F.get("at.given", i), i, True))
+    extra = F.filter(F.transform("hits", lambda h, i: F.struct(h.alias("h"), F.get("at.hits", i).alias("at"), (i + 1_000_000_000).alias("ord"))), lambda x: x["at"]["alone"])
+    merged = F.sort_array(F.concat(ai, F.transform(extra, lambda x: _finding(x["h"], x["at"], x["ord"], False))))
+    return at.select("doc_id", "text", merged.alias("findings"))
 
 
 def explode_findings(found: DataFrame) -> DataFrame:
