@@ -26,14 +26,14 @@ def percent_like(value: Column) -> Column:
     return value.contains("%") | js_trim(value).rlike(rf"\A(?:[\d.,]|{JS_WS})+\z")
 
 
-def _near(a: Column, b: Column, tolerance: float) -> Column:
+def near(a: Column, b: Column, tolerance: float) -> Column:
     return F.abs(a - b) <= F.greatest(F.lit(tolerance), F.abs(b) * tolerance)
 
 
 def number_matches_value(number: Column, value: Column) -> Column:
     """Whether a cell's number is one of a value's: as it is, or as a share where the value is a percentage."""
     share = percent_like(value) & (value.contains("%") | ((number > 0) & (number < 1)))
-    return F.exists(extract_numbers(value), lambda t: _near(number, t, 1e-9) | (share & _near(number * 100, t, 1e-6)))
+    return F.exists(extract_numbers(value), lambda t: near(number, t, 1e-9) | (share & near(number * 100, t, 1e-6)))
 
 
 def sweep_tokens(values: Column) -> Column:
@@ -44,7 +44,7 @@ def sweep_tokens(values: Column) -> Column:
 
 def numeric_sweep(number: Column, tokens: Column) -> Column:
     share = (number > 0) & (number < 1) & F.exists(tokens["percent"], lambda t: (t <= 100) & (F.abs(number * 100 - t) <= 1e-6))
-    return F.exists(tokens["all"], lambda t: _near(number, t, 1e-9)) | share
+    return F.exists(tokens["all"], lambda t: near(number, t, 1e-9)) | share
 
 
 def number_tokens(spark: SparkSession, values: list[str]) -> list[tuple[float, bool, bool]]:
@@ -58,9 +58,9 @@ def number_hit(number: Column, tokens: list[tuple[float, bool, bool]]) -> Column
     """number_matches_value or numeric_sweep for any of the values behind tokens, all of them constants."""
     hit, part = F.lit(False), (number > 0) & (number < 1)
     for n, share, sign in tokens:
-        hit = hit | _near(number, F.lit(n), 1e-9)
+        hit = hit | near(number, F.lit(n), 1e-9)
         if share:
-            hit = hit | (_near(number * 100, F.lit(n), 1e-6) if sign else part & _near(number * 100, F.lit(n), 1e-6))
+            hit = hit | (near(number * 100, F.lit(n), 1e-6) if sign else part & near(number * 100, F.lit(n), 1e-6))
         if sign and n <= 100:
             hit = hit | (part & (F.abs(number * 100 - n) <= 1e-6))
     return hit

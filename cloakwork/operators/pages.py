@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cloakwork.functions.text import js_trim, let, masker, norm
+from cloakwork.functions.text import js_trim, let, masker
+from cloakwork.operators.page_index import Y_TOLERANCE
 
-Y_TOLERANCE = 3
 # Widths of Helvetica's characters, in thousandths of an em; all others are 556.
 WIDTHS = {
     " ": 278, "!": 278, '"': 355, "%": 889, "&": 667, "'": 191, "(": 333, ")": 333, "*": 389, "+": 584, ",": 278, "-": 333, ".": 278, "/": 278,
@@ -37,78 +37,6 @@ def cluster_lines(items: DataFrame) -> DataFrame:
     return items.withColumn("jump", jump).withColumn("line_no", F.sum("jump").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("jump")
 
 
-def _lines(items: Column) -> Column:
-    """Sorted items of one document as lines: page, line and parts(item_no, s, start); lines as in cluster_lines."""
-
-    def starts(all_: Column, i: Column) -> Column:
-        a, b = F.get(all_, i - 1), F.get(all_, i)
-        return (i == 0) | (a["page"] != b["page"]) | (F.abs(a["minus_y"] - b["minus_y"]) > Y_TOLERANCE)
-
-    def placed(parts: Column) -> Column:
-        at = lambda i: F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda a, q: a + F.length(q["s"]) + 1)
-        return F.transform(parts, lambda p, i: F.struct(p["item_no"].alias("item_no"), p["s"].alias("s"), at(i).alias("start")))
-
-    def line(all_: Column, begins: Column):
-        def one(b: Column, k: Column) -> Column:
-            mine = F.slice(all_, b + 1, F.coalesce(F.get(begins, k + 1), F.size(all_)) - b)
-            parts = F.sort_array(F.transform(mine, lambda t: F.struct(t["x"].alias("x"), t["item_no"].alias("item_no"), t["s"].alias("s"))))
-            return let(parts, lambda ps: F.struct(F.get(all_, b)["page"].alias("page"), F.array_join(F.transform(ps, lambda p: p["s"]), " ").alias("line"), placed(ps).alias("parts")))
-
-        return one
-
-    every = lambda all_: F.when(F.size(all_) > 0, F.sequence(F.lit(0), F.size(all_) - 1)).otherwise(F.array().cast("array<int>"))
-    return let(items, lambda all_: let(F.filter(every(all_), lambda i: starts(all_, i)), lambda begins: F.transform(begins, line(all_, begins))))
-
-
-def occurrences(text: Column, needle: Column) -> Column:
-    """0-based places of a needle, overlapping ones too."""
-    last = F.length(text) - F.length(needle)
-    every = F.when((F.length(needle) > 0) & (last >= 0), F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.filter(every, lambda i: F.substring(text, i + 1, F.length(needle)) == needle)
-
-
-def _found(items: Column, lines: Column, wanted: Column) -> Column:
-    """Matches of one document's values: page, item_no, vi, stage, s, e. All come as bound variables."""
-    span = lambda page, item_no, v, stage, s, e: F.struct(page.alias("page"), item_no.alias("item_no"), v["vi"].alias("vi"), F.lit(stage).alias("stage"), s.cast("int").alias("s"), e.cast("int").alias("e"))
-
-    def inside(v: Column, want: Column, stage: int) -> Column:
-        having = F.filter(items, lambda t: t["s"].contains(want))
-        return F.flatten(F.transform(having, lambda t: F.transform(occurrences(t["s"], want), lambda i: span(t["page"], t["item_no"], v, stage, i, i + F.length(want)))))
-
-    def across(v: Column) -> Column:
-        def clipped(ln: Column, i: Column) -> Column:
-            cut = F.transform(ln["parts"], lambda p: span(ln["page"], p["item_no"], v, 2, F.greatest(F.lit(0), i - p["start"]), F.least(F.length(p["s"]), i + F.length(v["want"]) - p["start"])))
-            return F.filter(cut, lambda x: x["s"] < x["e"])
-
-        having = F.filter(lines, lambda ln: (F.size(ln["parts"]) > 1) & ln["line"].contains(v["want"]))
-        return F.flatten(F.transform(having, lambda ln: F.flatten(F.transform(occurrences(ln["line"], v["want"]), lambda i: clipped(ln, i)))))
-
-    def by_token(v: Column) -> Column:
-        tokens = F.filter(F.split(v["want"], " "), lambda t: (F.length(t) > 2) & t.rlike(r"\d"))
-        there = F.filter(tokens, lambda t: F.exists(items, lambda x: x["s"].contains(t)))
-        return let(F.get(there, F.lit(0)), lambda t: F.when(t.isNotNull(), inside(v, t, 3)).otherwise(F.slice(inside(v, v["want"], 3), F.lit(1), F.lit(0))))
-
-    def one(v: Column) -> Column:
-        return let(F.concat(inside(v, v["want"], 1), across(v)), lambda both: F.when(F.size(both) > 0, both).otherwise(by_token(v)))
-
-    return F.flatten(F.transform(wanted, one))
-
-
-def stage_matches(items: DataFrame, values: DataFrame) -> DataFrame:
-    """Character spans of values in items: doc_id, item_no, page, vi, stage, s, e.
-
-    Stage 1: inside one item. Stage 2: across the items of a line. Stage 3, for values that neither found: the first of
-    the value's tokens with a digit that is somewhere in the document. Items and values of a document are one row each,
-    joined once, and all stages work on their arrays.
-    """
-    one = F.struct("page", (-F.col("y")).alias("minus_y"), "x", "item_no", norm(F.col("str")).alias("s"))
-    pages = items.groupBy("doc_id").agg(F.sort_array(F.collect_list(one)).alias("items"))
-    wanted = values.where(F.length(js_trim(F.col("value"))) > 1).groupBy("doc_id").agg(F.collect_list(F.struct("vi", norm(F.col("value")).alias("want"))).alias("wanted"))
-    both = pages.join(wanted, "doc_id").withColumn("lines", _lines(F.col("items")))
-    found = let(F.struct("items", "lines", "wanted"), lambda x: _found(x["items"], x["lines"], x["wanted"]))
-    return both.select("doc_id", F.inline(found)).select("doc_id", "page", "item_no", "vi", "stage", "s", "e")
-
-
 def merge_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
     """Spans [s, e) of each key that overlap or touch, as one."""
     w = Window.partitionBy(*keys).orderBy("s", "e")
@@ -122,16 +50,7 @@ def char_offsets(text: Column, width: Column) -> Column:
     """Left edges of all characters and the right end, scaled to the item's width."""
     table = F.create_map(*[F.lit(x) for pair in WIDTHS.items() for x in pair])
     each = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.coalesce(table[c], F.lit(DEFAULT_WIDTH)))
-    add = lambda ws: F.aggregate(ws, F.lit(0), lambda a, w: a + w)
-
-    def edges(ws: Column) -> Column:
-        """Sums of all prefixes, by those of whole blocks of about the root of the length and the rest in one block."""
-        block = F.ceil(F.sqrt(F.size(ws) + F.lit(1.0))).cast("int")
-        sums = F.transform(F.sequence(F.lit(0), F.floor(F.size(ws) / block).cast("int")), lambda b: add(F.slice(ws, F.lit(1), b * block)))
-        upto = lambda at: F.transform(F.sequence(F.lit(0), F.size(ws)), lambda i: F.get(at, F.floor(i / block).cast("int")) + add(F.slice(ws, i - i % block + 1, i % block)))
-        return let(let(sums, upto), lambda e: F.transform(e, lambda x: x * F.when(F.element_at(e, -1) > 0, width / F.element_at(e, -1)).otherwise(0.0)))
-
-    return let(each, edges)
+    return let(let(each, running), lambda e: F.transform(e, lambda x: x * F.when(F.element_at(e, -1) > 0, width / F.element_at(e, -1)).otherwise(0.0)))
 
 
 def redaction_boxes(items: DataFrame, spans: DataFrame) -> DataFrame:
@@ -162,18 +81,26 @@ def run_edits(runs: DataFrame, spans: DataFrame) -> DataFrame:
     return hit.select(*keys, "run_no", F.greatest(F.lit(0), F.col("s") - F.col("start")).alias("s"), F.least(F.length("text"), F.col("e") - F.col("start")).alias("e"), F.when(F.col("s") >= F.col("start"), "XXXX").otherwise("").alias("put"))
 
 
+def running(sizes: Column) -> Column:
+    """Sums of all earlier entries of an array of whole numbers, the last one being the sum of all: by those of whole
+    blocks of about the root of the length, and the rest in one block."""
+    add = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+
+    def edges(ws: Column) -> Column:
+        block = F.ceil(F.sqrt(F.size(ws) + F.lit(1.0))).cast("int")
+        sums = F.transform(F.sequence(F.lit(0), F.floor(F.size(ws) / block).cast("int")), lambda b: add(F.slice(ws, F.lit(1), b * block)))
+        upto = lambda at: F.transform(F.sequence(F.lit(0), F.size(ws)), lambda i: F.get(at, F.floor(i / block).cast("int")) + add(F.slice(ws, i - i % block + 1, i % block)))
+        return let(sums, upto)
+
+    return let(sizes, edges)
+
+
 def pattern_spans(text: Column, pattern: Column) -> Column:
     """array(struct(s, e)) of a pattern's matches in a text, one after the other: by the pieces that stand between them."""
 
     def places(x: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("spans"))
-
-        def step(a: Column, p: Column) -> Column:
-            s = a["at"] + F.length(p["gap"])
-            e = s + F.length(p["hit"])
-            return F.struct(e.alias("at"), F.concat(a["spans"], F.array(F.struct(s.alias("s"), e.alias("e")))).alias("spans"))
-
-        return F.aggregate(F.slice(F.arrays_zip(x["gap"], x["hit"]), F.lit(1), F.size(x["hit"])), start, step, lambda a: a["spans"])
+        sizes = F.transform(x["hit"], lambda h, i: F.length(F.get(x["gap"], i)) + F.length(h))
+        return let(running(sizes), lambda ends: F.transform(x["hit"], lambda h, i: F.struct((F.get(ends, i) + F.length(F.get(x["gap"], i))).alias("s"), F.get(ends, i + 1).alias("e"))))
 
     return let(F.struct(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit")), places)
 

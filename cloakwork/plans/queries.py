@@ -14,6 +14,7 @@ from cloakwork.operators import grid as G
 from cloakwork.operators import mask as M
 from cloakwork.operators import pages as P
 from cloakwork.operators import review as R
+from cloakwork.operators.page_index import stage_matches
 from cloakwork.operators.reconcile import reconcile
 from cloakwork.operators.scan import scan
 from cloakwork.patterns import PATTERNS
@@ -23,11 +24,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, recursive: bool = False):
+    """Registers a query; sql follows the common views, if recursive with more of them first."""
+
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = f"WITH {_VIEWS}\n{sql}"
+            ORACLE_SQL[f.__name__] = f"WITH RECURSIVE {_VIEWS},\n{sql}" if recursive else f"WITH {_VIEWS}\n{sql}"
         return f
 
     return add
@@ -370,11 +373,11 @@ def q_pdf_lines(spark, sf_dir):
 
 @query(_LINES + "SELECT doc_id, page, item_no, vi, stage, s::BIGINT AS s, e::BIGINT AS e FROM matches")
 def q_stage_matches(spark, sf_dir):
-    return P.stage_matches(V.vitems(spark, sf_dir), V.vvalues(spark, sf_dir)).withColumns({c: F.col(c).cast("long") for c in ("s", "e")})
+    return stage_matches(V.vitems(spark, sf_dir), V.vvalues(spark, sf_dir)).withColumns({c: F.col(c).cast("long") for c in ("s", "e")})
 
 
 def _merged(spark, sf_dir):
-    return P.merge_spans(P.stage_matches(V.vitems(spark, sf_dir), V.vvalues(spark, sf_dir)).select("doc_id", "page", "item_no", "s", "e"), ["doc_id", "page", "item_no"]).withColumns({c: F.col(c).cast("long") for c in ("s", "e")})
+    return P.merge_spans(stage_matches(V.vitems(spark, sf_dir), V.vvalues(spark, sf_dir)).select("doc_id", "page", "item_no", "s", "e"), ["doc_id", "page", "item_no"]).withColumns({c: F.col(c).cast("long") for c in ("s", "e")})
 
 
 @query(_LINES + "SELECT * FROM merged")
