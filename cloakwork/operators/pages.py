@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cloakwork.functions.text import js_trim, let, masker
+from cloakwork.functions.text import js_trim, let, masker, running
 from cloakwork.operators.page_index import Y_TOLERANCE
 
 # Widths of Helvetica's characters, in thousandths of an em; all others are 556.
@@ -81,20 +81,6 @@ def run_edits(runs: DataFrame, spans: DataFrame) -> DataFrame:
     return hit.select(*keys, "run_no", F.greatest(F.lit(0), F.col("s") - F.col("start")).alias("s"), F.least(F.length("text"), F.col("e") - F.col("start")).alias("e"), F.when(F.col("s") >= F.col("start"), "XXXX").otherwise("").alias("put"))
 
 
-def running(sizes: Column) -> Column:
-    """Sums of all earlier entries of an array of whole numbers, the last one being the sum of all: by those of whole
-    blocks of about the root of the length, and the rest in one block."""
-    add = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
-
-    def edges(ws: Column) -> Column:
-        block = F.ceil(F.sqrt(F.size(ws) + F.lit(1.0))).cast("int")
-        sums = F.transform(F.sequence(F.lit(0), F.floor(F.size(ws) / block).cast("int")), lambda b: add(F.slice(ws, F.lit(1), b * block)))
-        upto = lambda at: F.transform(F.sequence(F.lit(0), F.size(ws)), lambda i: F.get(at, F.floor(i / block).cast("int")) + add(F.slice(ws, i - i % block + 1, i % block)))
-        return let(sums, upto)
-
-    return let(sizes, edges)
-
-
 def pattern_spans(text: Column, pattern: Column) -> Column:
     """array(struct(s, e)) of a pattern's matches in a text, one after the other: by the pieces that stand between them."""
 

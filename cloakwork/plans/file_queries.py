@@ -16,6 +16,7 @@ from cloakwork.operators import review as R
 from cloakwork.plans import views as V
 from cloakwork.plans.queries import _SENSITIVE, _log, findings, query
 from cloakwork.sources import csv_spans, parse, sheets, word
+from cloakwork.sources.kept import kept
 
 
 def _books(spark, sf_dir) -> DataFrame:
@@ -41,8 +42,8 @@ def q_book_text(spark, sf_dir):
 @query("SELECT v.doc_id, v.si, sheet, r, c, CASE WHEN k.kind IS NULL THEN v.value ELSE 'XXXX' END AS value FROM vcells v LEFT JOIN claims k USING (sheet, r, c)")
 def q_book_by_plan(spark, sf_dir):
     """Workbooks masked by a plan, written and read back."""
-    books = _books(spark, sf_dir).cache()
-    cells = sheets.read_cells(books)
+    books = kept(_books(spark, sf_dir))
+    cells = kept(sheets.read_cells(books))
     claimed = G.claims(cells.select("sheet", "r", "c", "value"), *V.vplan(spark, sf_dir)).select("sheet", "r", "c")
     targets = cells.join(claimed, ["sheet", "r", "c"], "left_semi").withColumn("put", F.lit("XXXX"))
     return _cells(sheets.mask_books(books, targets))
@@ -51,7 +52,7 @@ def q_book_by_plan(spark, sf_dir):
 @query("""SELECT doc_id, si, sheet, r, c, CASE WHEN n IS NULL THEN CASE WHEN value = 'SG-01' THEN 'XXXX' ELSE value END WHEN n IN (17, 4, 150, 150000000) OR abs(n - 1254.40) <= 1254.40e-9 OR abs(n * 100 - 4) <= 4e-6 THEN 'XXXX' ELSE value END AS value FROM (
 SELECT *, CASE WHEN regexp_full_match(value, '(?:[$] )?[0-9][0-9.,]*%?') THEN regexp_replace(value, '[$ ,%]', '', 'g')::DOUBLE / CASE WHEN contains(value, '%') THEN 100 ELSE 1 END END AS n FROM vcells)""")
 def q_book_by_values(spark, sf_dir):
-    books = _books(spark, sf_dir)
+    books = kept(_books(spark, sf_dir))
     return _cells(sheets.mask_books(books, sheets.masked_values(G.mask_cells(sheets.read_cells(books), list(_SENSITIVE)))))
 
 
@@ -70,7 +71,7 @@ def q_book_from_copy(spark, sf_dir):
     copied = _csv_copy(F.col("lines"), F.lit("7,"))
     part = F.concat(F.lit("===SHEET:"), F.col("sheet"), F.lit("===\n"), F.array_join(copied, "\n"))
     texts = V.vlines(spark, sf_dir).groupBy(F.floor(n / V.SHEETS_A_BOOK).alias("doc_id")).agg(F.array_join(F.sort_array(F.collect_list(part)), "\n").alias("text"))
-    books = _books(spark, sf_dir)
+    books = kept(_books(spark, sf_dir))
     return _cells(sheets.mask_books_like_copies(books, texts))
 
 
