@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cloakwork.config import EngineConfig
+from cloakwork.operators import detect
+from cloakwork.operators import documents as D
 from cloakwork.operators.bands import number_matches, sweep_matches
 from cloakwork.plans import views as V
 from cloakwork.plans.file_queries import _csv_docs
 from cloakwork.plans.queries import query
+from cloakwork.sources import sheets, word
 from cloakwork.sources.csv_blocks import block_cells
 from cloakwork.streaming.jobs import runs_of_table
 
@@ -60,3 +64,50 @@ def q_number_bands(spark, sf_dir):
 @query(_BANDS.format(share="t <= 100 AND n > 0 AND n < 1 AND abs(n * 100 - t) <= 1e-6"))
 def q_number_sweep(spark, sf_dir):
     return sweep_matches(*_numbers(spark, sf_dir), ["doc_id"]).select("doc_id", "sheet", "r", "c", F.array_join("vis", ",").alias("vis"))
+
+
+@query("SELECT doc_id, value, any_value(category) AS field_name FROM hits WHERE length(value) >= 2 GROUP BY doc_id, value")
+def q_detect_chunks(spark, sf_dir):
+    """Texts in chunks of some lines each, detected chunk by chunk and put together."""
+    return detect.detect_text(V.vdoc(spark, sf_dir), EngineConfig(chunk_chars=300)).select("doc_id", "value", "field_name")
+
+
+@query("""SELECT doc_id, 'auto_' || row_number() OVER (PARTITION BY doc_id ORDER BY vi) AS field_id, CASE WHEN regexp_matches(value, '[0-9,]{5,}|USD') THEN 'Price' ELSE 'Vendor Name' END AS field_name, value AS original_value, 90 AS confidence, 1::BIGINT AS occurrences, true AS verified FROM vvalues""")
+def q_direct_findings(spark, sf_dir):
+    """A detector's values taken at its word."""
+    values = V.vvalues(spark, sf_dir)
+    twice = values.withColumn("ord", F.col("vi")).unionByName(values.withColumn("ord", F.col("vi") + 10))
+    return detect.direct_findings(twice).select("doc_id", "field_id", "field_name", "original_value", "confidence", "occurrences", "verified")
+
+
+_OVER = "replace(replace(replace({text}, {v}, repeat('X', length({v}))), upper({v}), repeat('X', length({v}))), lower({v}), repeat('X', length({v})))"
+
+
+@query(f"""SELECT doc_id, strlen(masked) AS n_bytes, md5(masked) AS masked_md5 FROM (SELECT doc_id, {_OVER.format(text="once", v="'USD ' || price")} AS masked FROM (
+SELECT d.doc_id, price, {_OVER.format(text="text", v="vendor")} AS once FROM vdoc d JOIN firsts USING (doc_id)))""")
+def q_legacy_masked(spark, sf_dir):
+    """Bytes of legacy files overwritten in place."""
+    files = V.vdoc(spark, sf_dir).select("doc_id", F.encode("text", "ISO-8859-1").alias("content"))
+    values = V.vvalues(spark, sf_dir).groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("vi", "value"))), lambda x: x["value"]).alias("values"))
+    return word.mask_legacy_files(files, values).select("doc_id", F.octet_length("content").cast("long").alias("n_bytes"), F.md5("content").alias("masked_md5"))
+
+
+@query("SELECT doc_id, sheet, r, c, value, 3::BIGINT AS r0, 2::BIGINT AS c0 FROM vcells")
+def q_grid_origin(spark, sf_dir):
+    """Sheets that begin at C4, counted from their own first cell, and the way back."""
+    moved = V.vcells(spark, sf_dir).select("doc_id", "sheet", (F.col("r") + 3).alias("r"), (F.col("c") + 2).alias("c"), "value")
+    return sheets.from_origin(moved).select("doc_id", "sheet", "r", "c", "value", "r0", "c0")
+
+
+@query("""SELECT doc_id % 5 AS kind, count(*) AS files, count(*) FILTER (doc_id % 5 < 4) AS accepted FROM documents GROUP BY ALL""")
+def q_ingest_mime(spark, sf_dir):
+    """Files without an extension, told apart by their MIME type."""
+    kinds = ("text/csv", "application/pdf", "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "application/msword", "text/html")
+    docs = V.table(spark, sf_dir, "documents")
+    content = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    mime = F.element_at(F.array(*map(F.lit, kinds)), (F.col("doc_id") % 5 + 1).cast("int"))
+    files = docs.select(F.concat(F.lit("in/"), F.col("doc_id").cast("string")).alias("path"), F.octet_length(content).alias("length"), content.alias("content"), mime.alias("mime"))
+    accepted, rejected = D.ingest(files, EngineConfig(max_upload_bytes=1 << 40))
+    number = lambda path: F.element_at(F.split(path, "/"), -1).cast("long") % 5
+    both = accepted.select(number("file_name").alias("kind"), F.lit(1).alias("ok")).unionByName(rejected.select(number("path").alias("kind"), F.lit(0).alias("ok")))
+    return both.groupBy("kind").agg(F.count("*").alias("files"), F.sum("ok").alias("accepted"))
