@@ -9,9 +9,10 @@ from cloakwork.config import EngineConfig
 from cloakwork.operators import detect
 from cloakwork.operators import documents as D
 from cloakwork.operators.bands import number_matches, sweep_matches
+from cloakwork.operators.line_chunks import line_chunks
 from cloakwork.plans import views as V
 from cloakwork.plans.file_queries import _csv_docs
-from cloakwork.plans.queries import query
+from cloakwork.plans.queries import ORACLE_SQL, QUERIES, query
 from cloakwork.sources import sheets, word
 from cloakwork.sources.csv_blocks import block_cells
 from cloakwork.streaming.jobs import runs_of_table
@@ -111,3 +112,13 @@ def q_ingest_mime(spark, sf_dir):
     number = lambda path: F.element_at(F.split(path, "/"), -1).cast("long") % 5
     both = accepted.select(number("file_name").alias("kind"), F.lit(1).alias("ok")).unionByName(rejected.select(number("path").alias("kind"), F.lit(0).alias("ok")))
     return both.groupBy("kind").agg(F.count("*").alias("files"), F.sum("ok").alias("accepted"))
+
+
+def q_line_chunks(spark, sf_dir):
+    """The chunks of q_chunks, of texts whose lines are rows."""
+    docs = V.table(spark, sf_dir, "documents")
+    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "text"))
+    return line_chunks(lines, 4000).select("doc_id", F.col("chunk_no").cast("int").alias("chunk_no"), "n_lines", "n_chars")
+
+
+QUERIES["q_line_chunks"], ORACLE_SQL["q_line_chunks"] = q_line_chunks, ORACLE_SQL["q_chunks"]  # the same rows
