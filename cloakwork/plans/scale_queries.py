@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cloakwork import sql
 from cloakwork.config import EngineConfig
 from cloakwork.operators import detect
 from cloakwork.operators import documents as D
 from cloakwork.operators.bands import number_matches, sweep_matches
 from cloakwork.operators.line_chunks import line_chunks
+from cloakwork.operators.policy import mask_columns, profiled_columns, profiles
 from cloakwork.plans import views as V
 from cloakwork.plans.file_queries import _csv_docs
 from cloakwork.plans.queries import ORACLE_SQL, QUERIES, query
@@ -122,3 +124,49 @@ def q_line_chunks(spark, sf_dir):
 
 
 QUERIES["q_line_chunks"], ORACLE_SQL["q_line_chunks"] = q_line_chunks, ORACLE_SQL["q_chunks"]  # the same rows
+
+
+def _silent(spark, sf_dir) -> DataFrame:
+    """vgrid with headers that say nothing, but for one that has a word inside another."""
+    heads = F.when(F.col("value") == "Item", "Separate").otherwise(F.concat(F.lit("Column "), F.col("c").cast("string")))
+    cells = V.vgrid(spark, sf_dir).withColumn("si", F.substring("sheet", 2, 20).cast("long"))
+    return cells.withColumn("value", F.when(F.col("value").isin(*V.HEADERS), heads).otherwise(F.col("value")))
+
+
+@query("""SELECT sheet, c, count(*) AS n, count(*) FILTER (regexp_full_match(value, '[0-9]+%')) AS percent, count(*) FILTER (regexp_full_match(value, '[A-Z]{2,3}-[0-9]{1,4}')) AS code,
+count(*) FILTER (regexp_full_match(value, '[0-9,]+([.][0-9]+)?')) AS number, min(CASE WHEN regexp_full_match(value, '[0-9,]+([.][0-9]+)?') THEN replace(value, ',', '')::DOUBLE END) AS low,
+max(CASE WHEN regexp_full_match(value, '[0-9,]+([.][0-9]+)?') THEN replace(value, ',', '')::DOUBLE END) AS high FROM vgrid WHERE r > 1 GROUP BY ALL""")
+def q_column_profiles(spark, sf_dir):
+    return profiles(_silent(spark, sf_dir)).select("sheet", "c", "n", "percent", "code", "number", "low", "high")
+
+
+@query("SELECT sheet, r, c, CASE WHEN r > 1 AND c IN (1, 2, 3, 5) THEN 'XXXX' WHEN value = 'Item' THEN 'Separate' WHEN value IN ('Vendor', 'Price', 'Discount', 'Qty', 'Net') THEN 'Column ' || c ELSE value END AS value FROM vgrid")
+def q_profiled_grid(spark, sf_dir):
+    """Grids masked by what their columns look like."""
+    cells = _silent(spark, sf_dir)
+    return mask_columns(cells, profiled_columns(cells), "XXXX").select("sheet", "r", "c", "value")
+
+
+def q_sql_hits(spark, sf_dir):
+    """The hits of q_scan_hits, in SQL."""
+    sql.register(spark)
+    return spark.sql("SELECT d.doc_id, h.seq, h.category, h.value, h.key FROM {docs} d, LATERAL scan_hits(d.text) h", docs=V.vdoc(spark, sf_dir))
+
+
+def q_sql_places(spark, sf_dir):
+    """The places of q_locate, in SQL."""
+    sql.register(spark)
+    text = """WITH given AS (SELECT doc_id, collapse_text(original_value) AS value, min(ai_seq) AS ai_seq FROM {suggestions} GROUP BY doc_id, collapse_text(original_value)),
+    found AS (SELECT d.doc_id, ai_seq, place_of(text, value) AS p FROM {docs} d JOIN given g ON d.doc_id = g.doc_id)
+    SELECT doc_id, ai_seq, p.occurrences AS count, p.exact, CAST(p.place AS BIGINT) AS index FROM found"""
+    return spark.sql(text, docs=V.vdoc(spark, sf_dir), suggestions=V.vsug(spark, sf_dir))
+
+
+def q_sql_masked(spark, sf_dir):
+    """The masked texts of q_detect_texts, in SQL."""
+    sql.register(spark)
+    return spark.sql("SELECT doc_id, md5(mask_values(text, transform(text_hits(text), h -> h.value))) AS masked_md5 FROM {docs}", docs=V.vdoc(spark, sf_dir))
+
+
+for _made, _same in ((q_sql_hits, "q_scan_hits"), (q_sql_places, "q_locate"), (q_sql_masked, "q_detect_texts")):
+    QUERIES[_made.__name__], ORACLE_SQL[_made.__name__] = _made, ORACLE_SQL[_same]
