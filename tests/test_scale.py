@@ -81,6 +81,20 @@ def test_runs_of_a_stream(spark, tmp_path):
     assert of(jobs.runs_of_table(spark.read.schema(RUNS).parquet(str(tmp_path / "in")))) == want
 
 
+def test_files_of_a_stream_are_taken_or_rejected(spark, tmp_path):
+    from cloakwork.streaming import ingest
+
+    (tmp_path / "in").mkdir()
+    stream = lambda: spark.readStream.format("binaryFile").option("maxFilesPerTrigger", 2).schema("path string, modificationTime timestamp, length long, content binary").load(str(tmp_path / "in"))
+    for k, names in enumerate((["a.csv", "b.txt", "big.csv"], ["c.DOCX"])):
+        for n in names:
+            (tmp_path / "in" / n).write_bytes(b"x" * (500 if n == "big.csv" else 5 + k))
+        query = ingest.ingest_files(stream(), str(tmp_path / "yes"), str(tmp_path / "no"), str(tmp_path / "at"), EngineConfig(max_upload_bytes=100))
+        assert query.awaitTermination(120)
+    assert sorted(r["file_name"] for r in spark.read.parquet(str(tmp_path / "yes")).collect()) == ["a.csv", "c.DOCX"]
+    assert sorted(r["reason"] for r in spark.read.parquet(str(tmp_path / "no")).collect()) == ["file too large", "unsupported file type"]
+
+
 def test_running_sums_over_buckets(spark):
     rows = [(k, i, (i * 7919 + (k or 0)) % 11) for k in (1, 2, None) for i in range(0, 500, 1 if k == 1 else 3)]
     got = before(spark.createDataFrame(rows, "k long, i long, v long"), "k", "i", {"total": F.col("v")}, {"top": F.struct("i", "v")}, bucket=16).collect()
