@@ -39,7 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _dirs:
         named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not named and not spark.sparkContext.master.startswith("local["):
+        if not named and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"{named.rstrip('/')}/cloakwork-{app}" if named else tempfile.mkdtemp(prefix="cloakwork-")
         files, place = _file_system(spark, root)

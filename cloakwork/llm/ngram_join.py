@@ -7,8 +7,9 @@
    sets that link share a shingle of their prefixes; sets joined by such shingles, near or far, form a block.
 3. In a block the sets, most frequent shingle first, go into a prefix tree one by one. Each is first sought in it: the
    walk shares the overlap counted on common paths, and leaves a subtree whose remaining lengths can't reach the
-   threshold, or whose sets are all in the seeker's component already. Blocks of over CHUNK sets are cut in chunks;
-   chunks meet in pairs, unless all their sets are in one component by then.
+   threshold, or whose sets are all in the seeker's component already. Blocks of over CHUNK sets are cut in chunks of
+   about CHUNK; chunks meet in pairs, two in a tree, unless all their sets are in one component by then. Before that one
+   set of each component of a chunk goes into trees with those of eight chunks, at most as many sets as eight chunks have.
 
 Shingles and sets are told apart by 64-bit hashes. Null and empty texts have no set and no link; copies, however many,
 are one node; rows that repeat a doc_id share a component if their texts link; a null doc_id has a null component unless
@@ -33,7 +34,7 @@ from cloakwork.llm.words import forget_powers, mix, slices, text_bytes, word_has
 SHINGLE = 5
 #: Links need 9 * shared >= 4 * (sum of sizes), which is a Jaccard similarity of 0.8.
 SHARED, SIZES = 9, 4
-#: A prefix tree holds at most CHUNK sets of one block; a task collects TASK_SETS sets of small blocks.
+#: A chunk has about CHUNK sets of one block, as a hash deals them; a task collects TASK_SETS sets of small blocks.
 CHUNK, TASK_SETS = 1_500, 2_000
 SLICE_BYTES, FLUSH = 1_000_000, 1_000_000
 #: A task remembers so many sets that it has sent; beyond, a set may be sent again and is dropped where it arrives.
