@@ -15,7 +15,7 @@ def kept(table: DataFrame) -> DataFrame:
     context = table.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = table.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
+        if not named and not (context.master == "local" or context.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cloakwork-"))
     return table.checkpoint()
