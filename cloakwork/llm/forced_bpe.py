@@ -36,7 +36,7 @@ from cloakwork.llm.token_store import SLICE_CHARS, Encoder
 from cloakwork.llm.token_store import _MARK as MARK
 
 #: Fixed value: the white space of the pattern below, as its own library has it.
-SPACES = r"\t-\r \x85\xa0  -     　"
+SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: how byte-level BPE splits a text before merging.
 PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 #: Longer fragments are merged with a heap each.
