@@ -8,7 +8,7 @@ they go to the one task that learns, at most MOST_COORDINATES of them. A score c
 Null and empty texts have only the bias; rows whose label is null aren't learned from; a doc_id with several labels
 takes the largest; without labels of both kinds hardly more than the bias is learned, so every score is near the one label
 (0.5 without any); repeated rows are rows of their own, and where one document in very many rows has more coordinates than
-the bound, part of its rows are learned from; an empty table gives an empty result; other columns are ignored.
+the bound, part of its rows are learned from (none, if one alone has more); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -115,7 +115,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         return pd.DataFrame({"at": at, "w": w})
 
     if end is None and (first := rows.groupBy("h").agg(F.max("n").alias("n")).orderBy("h").first()):  # one document in very many rows
-        sample = rows.where(F.col("h") == first["h"]).orderBy("n", "at").limit(max(1, MOST_COORDINATES // first["n"]))
+        sample = rows.where(F.col("h") == first["h"]).orderBy("n", "at").limit(MOST_COORDINATES // max(1, first["n"]))
     else:
         sample = rows.where(F.col("h") <= (-1 if end is None else end))
     found = sample.withColumn("model", F.lit(0)).groupBy("model").applyInPandas(run, "at long, w double").toPandas()
