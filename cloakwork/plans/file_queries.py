@@ -263,9 +263,10 @@ def q_ingest(spark, sf_dir):
     path = F.concat(F.lit("in/"), F.col("doc_id").cast("string"), F.lit("."), ext)
     files = V.table(spark, sf_dir, "documents").select(path.alias("path"), F.octet_length(content).alias("length"), content.alias("content"))
     accepted, rejected = D.ingest(files, D.EngineConfig(max_upload_bytes=3000))
-    a = accepted.agg(F.count("*").alias("accepted"), F.count_distinct("doc_id").alias("ids"))
-    b = rejected.agg(F.count_if(F.col("reason") == "unsupported file type").alias("unsupported"), F.count_if(F.col("reason") == "file too large").alias("too_large"))
-    return a.crossJoin(b)
+    none = F.lit(None).cast("string")
+    both = accepted.select("doc_id", none.alias("reason")).unionByName(rejected.select(none.alias("doc_id"), "reason"))
+    rejects = lambda reason: F.count_if(F.col("reason") == reason)
+    return both.agg(F.count_if(F.col("reason").isNull()).alias("accepted"), F.count_distinct("doc_id").alias("ids"), rejects("unsupported file type").alias("unsupported"), rejects("file too large").alias("too_large"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, count(*) AS n, sum(floor(size * 1000 + 0.5)::BIGINT)::BIGINT AS sizes, sum(floor(CASE WHEN l_linenumber % 2 = 0 THEN l_quantity ELSE size * length(l_returnflag) * 0.55::DOUBLE END * 1000 + 0.5)::BIGINT)::BIGINT AS widths
