@@ -98,13 +98,17 @@ def plan_without(plan_columns: DataFrame, plan_values: DataFrame, plan_sheets: D
     return columns, values, sheets
 
 
-def resolve_sheets(plan_sheets: DataFrame, sheets: DataFrame) -> DataFrame:
-    """plan_sheets(si, name) and sheets(idx, sheet) → si, sheet: by name in any case, or by position."""
+def resolve_sheets(plan_sheets: DataFrame, sheets: DataFrame, book: str | None = None) -> DataFrame:
+    """plan_sheets(si, name) and sheets(idx, sheet) → si, name, sheet: by name in any case, or by position.
+
+    book names a column of both that tells workbooks apart, and is in the result.
+    """
     plain = lambda c: F.lower(js_trim(c))
-    by_name = sheets.groupBy(plain(F.col("sheet")).alias("key")).agg(F.min(F.struct("idx", "sheet")).alias("named"))
-    by_place = sheets.select(F.col("idx").alias("si"), F.col("sheet").alias("placed"))
-    both = plan_sheets.join(by_name, plain(F.col("name")) == F.col("key"), "left").join(by_place, "si", "left")
-    return both.select("si", "name", F.coalesce("named.sheet", "placed").alias("sheet")).where("sheet IS NOT NULL")
+    own = [book] if book else []
+    by_name = sheets.groupBy(*own, plain(F.col("sheet")).alias("key")).agg(F.min(F.struct("idx", "sheet")).alias("named"))
+    by_place = sheets.select(*own, F.col("idx").alias("si"), F.col("sheet").alias("placed"))
+    both = plan_sheets.withColumn("key", plain(F.col("name"))).join(by_name, [*own, "key"], "left").join(by_place, [*own, "si"], "left")
+    return both.select(*own, "si", "name", F.coalesce("named.sheet", "placed").alias("sheet")).where("sheet IS NOT NULL")
 
 
 def plan_sample(rows: DataFrame, head: int = 30) -> DataFrame:

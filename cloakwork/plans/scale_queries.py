@@ -13,10 +13,12 @@ from cloakwork.operators.bands import number_matches, sweep_matches
 from cloakwork.operators.line_chunks import line_chunks
 from cloakwork.operators.policy import mask_columns, profiled_columns, profiles
 from cloakwork.plans import views as V
-from cloakwork.plans.file_queries import _csv_docs
+from cloakwork.plans.file_queries import _MASKED_LINES, _csv_docs
 from cloakwork.plans.queries import ORACLE_SQL, QUERIES, query
 from cloakwork.sources import sheets, word
 from cloakwork.sources.csv_blocks import block_cells
+from cloakwork.sources.masking import mask_files
+from cloakwork.sources.parse import texts
 from cloakwork.streaming.jobs import runs_of_table
 
 PIECE_CHARS = 53
@@ -95,6 +97,38 @@ def q_legacy_masked(spark, sf_dir):
     return word.mask_legacy_files(files, values).select("doc_id", F.octet_length("content").cast("long").alias("n_bytes"), F.md5("content").alias("masked_md5"))
 
 
+_PLANNED = _MASKED_LINES.format(cells="SELECT v.*, k.kind IS NOT NULL AS hit FROM vgrid v LEFT JOIN claims k USING (sheet, r, c)")
+
+
+@query(f"""SELECT 'c' || p.doc_id AS doc_id, 'in_' || p.doc_id || '-masked.csv' AS file_name, 'A-plan' AS track, coalesce(n, 0) AS masked, NULL AS error, masked_md5 FROM ({_PLANNED}) p LEFT JOIN (SELECT si AS doc_id, count(*) AS n FROM claims JOIN sheets USING (sheet) GROUP BY ALL) USING (doc_id)
+UNION ALL SELECT 'w' || doc_id, 'in_' || doc_id || '-masked.docx', 'B-detect', 2, NULL, md5(replace(list_reduce(list_prepend(text, [f.vendor, 'USD ' || f.price]), lambda a, v: replace(a, v, 'XXXX')), chr(10), chr(10) || chr(10))) FROM vdoc JOIN firsts f USING (doc_id)
+UNION ALL SELECT 'd' || doc_id, 'in_' || doc_id || '-masked.doc', 'B-detect', 2, NULL, md5(masked) FROM (SELECT doc_id, {_OVER.format(text="once", v="'USD ' || price")} AS masked FROM (SELECT d.doc_id, price, {_OVER.format(text="text", v="vendor")} AS once FROM vdoc d JOIN firsts USING (doc_id)))
+UNION ALL SELECT 'p' || page_id, 'in_' || page_id || '-masked.pdf', 'C', NULL, 'no writer of this type', NULL FROM pages""")
+def q_mask_files(spark, sf_dir):
+    """A masking run over CSV, Word, legacy Word and PDF files with what a detector answered, each by its own track."""
+    named = lambda df, letter, kind: df.select(F.concat(F.lit(letter), F.col("doc_id").cast("string")).alias("doc_id"), F.concat(F.lit("in "), F.col("doc_id").cast("string"), F.lit(f".{kind}")).alias("file_name"), F.lit(kind).alias("file_type"), "content")
+    said = lambda df, letter, answer: df.select(F.concat(F.lit(letter), F.col("doc_id").cast("string")).alias("doc_id"), answer.alias("answer"))
+    docs, pages = V.vdoc(spark, sf_dir), V.table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.encode("html", "UTF-8").alias("content"))
+    lines = _csv_docs(spark, sf_dir).select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    files = named(lines, "c", "csv").unionByName(named(word.new_documents(docs), "w", "docx")).unionByName(named(docs.select("doc_id", F.encode("text", "ISO-8859-1").alias("content")), "d", "doc")).unionByName(named(pages, "p", "pdf"))
+
+    columns, values, plan = V.vplan(spark, sf_dir)
+    listed = lambda t, at, v, name: t.groupBy("si").agg(F.transform(F.sort_array(F.collect_list(F.struct(at, v))), lambda x: x[v]).alias(name))
+    sheet = F.struct("maskColumns", "maskValues", F.col("sweep").alias("sweepNumbers"))
+    plans = plan.join(listed(columns, "ci", "label", "maskColumns"), "si").join(listed(values, "vi", "value", "maskValues"), "si").withColumn("doc_id", F.col("si"))
+    item = F.struct(F.lit("Value").alias("fieldName"), F.col("value").alias("originalValue"))
+    found = V.vvalues(spark, sf_dir).where("vi < 2").groupBy("doc_id").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("vi", item.alias("v")))), lambda x: x["v"])).alias("found"))
+    answers = said(plans, "c", F.to_json(F.struct(F.array(sheet).alias("sheets"))))
+    for letter in "wd":
+        answers = answers.unionByName(said(found, letter, F.col("found")))
+    answers = answers.unionByName(said(pages, "p", F.lit("[]")))
+
+    masked = mask_files(files, answers, EngineConfig(single_pass_chars=40))
+    read = texts(masked.select("doc_id", "file_type", "content")).select("doc_id", "text")
+    digest = F.when(F.col("file_type") == "doc", F.md5("content")).when(F.col("error").isNull(), F.md5("text"))
+    return masked.join(read, "doc_id").select("doc_id", "file_name", "track", "masked", "error", digest.alias("masked_md5"))
+
+
 @query("SELECT doc_id, sheet, r, c, value, 3::BIGINT AS r0, 2::BIGINT AS c0 FROM vcells")
 def q_grid_origin(spark, sf_dir):
     """Sheets that begin at C4, counted from their own first cell, and the way back."""
