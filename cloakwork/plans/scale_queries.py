@@ -17,6 +17,7 @@ from cloakwork.plans.file_queries import _MASKED_LINES, _csv_docs
 from cloakwork.plans.queries import ORACLE_SQL, QUERIES, query
 from cloakwork.sources import sheets, word
 from cloakwork.sources.csv_blocks import block_cells
+from cloakwork.sources.kept import kept
 from cloakwork.sources.masking import mask_files
 from cloakwork.sources.parse import texts
 from cloakwork.streaming.jobs import runs_of_table
@@ -100,7 +101,7 @@ def q_legacy_masked(spark, sf_dir):
 _PLANNED = _MASKED_LINES.format(cells="SELECT v.*, k.kind IS NOT NULL AS hit FROM vgrid v LEFT JOIN claims k USING (sheet, r, c)")
 
 
-@query(f"""SELECT 'c' || p.doc_id AS doc_id, 'in_' || p.doc_id || '-masked.csv' AS file_name, 'A-plan' AS track, coalesce(n, 0) AS masked, NULL AS error, masked_md5 FROM ({_PLANNED}) p LEFT JOIN (SELECT si AS doc_id, count(*) AS n FROM claims JOIN sheets USING (sheet) GROUP BY ALL) USING (doc_id)
+@query(f"""SELECT 'c' || p.doc_id AS doc_id, 'in_' || p.doc_id || '-masked.csv' AS file_name, 'A-plan' AS track, coalesce(n, 0) AS masked, NULL AS error, masked_md5 FROM ({_PLANNED}) p LEFT JOIN (SELECT s.si AS doc_id, count(*) AS n FROM claims JOIN sheets s USING (sheet) GROUP BY s.si) USING (doc_id)
 UNION ALL SELECT 'w' || doc_id, 'in_' || doc_id || '-masked.docx', 'B-detect', 2, NULL, md5(replace(list_reduce(list_prepend(text, [f.vendor, 'USD ' || f.price]), lambda a, v: replace(a, v, 'XXXX')), chr(10), chr(10) || chr(10))) FROM vdoc JOIN firsts f USING (doc_id)
 UNION ALL SELECT 'd' || doc_id, 'in_' || doc_id || '-masked.doc', 'B-detect', 2, NULL, md5(masked) FROM (SELECT doc_id, {_OVER.format(text="once", v="'USD ' || price")} AS masked FROM (SELECT d.doc_id, price, {_OVER.format(text="text", v="vendor")} AS once FROM vdoc d JOIN firsts USING (doc_id)))
 UNION ALL SELECT 'p' || page_id, 'in_' || page_id || '-masked.pdf', 'C', NULL, 'no writer of this type', NULL FROM pages""")
@@ -123,7 +124,7 @@ def q_mask_files(spark, sf_dir):
         answers = answers.unionByName(said(found, letter, F.col("found")))
     answers = answers.unionByName(said(pages, "p", F.lit("[]")))
 
-    masked = mask_files(files, answers, EngineConfig(single_pass_chars=40))
+    masked = kept(mask_files(files, answers, EngineConfig(single_pass_chars=40)))
     read = texts(masked.select("doc_id", "file_type", "content")).select("doc_id", "text")
     digest = F.when(F.col("file_type") == "doc", F.md5("content")).when(F.col("error").isNull(), F.md5("text"))
     return masked.join(read, "doc_id").select("doc_id", "file_name", "track", "masked", "error", digest.alias("masked_md5"))
