@@ -186,9 +186,9 @@ class ForcedEncoder(Encoder):
         self.special = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
         self.forget()
 
-    def _learn(self, keys: list[str]) -> None:
+    def _learn(self, keys: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         v, pieces, counts, special = self.vocabulary, [], [], {}
-        for text in (k[1:] if k.startswith(MARK) else " " + k for k in keys):
+        for text in (k[1:] if k.startswith(MARK) else " " + k for k in keys.to_pylist()):
             before = len(pieces)
             for i, stretch in enumerate(self.special.split(text) if self.special and self.special.search(text) else (text,)):
                 if i % 2:
@@ -211,9 +211,7 @@ class ForcedEncoder(Encoder):
         ends = np.concatenate(([0], np.cumsum(sizes)))
         fresh = ids[np.repeat(at[codes] - ends[:-1], sizes) + np.arange(ends[-1])]
         per_key = ends[np.concatenate(([0], np.cumsum(per_piece)))][np.concatenate(([0], np.cumsum(counts)))]
-        self.known.update(zip(keys, range(len(self.known), len(self.known) + len(keys))))
-        self.starts = np.concatenate((self.starts, per_key[1:] + self.starts[-1]))
-        self.flat = np.concatenate((self.flat, fresh.astype(np.int32)))
+        return fresh.astype(np.int32), per_key
 
     def decode(self, ids: np.ndarray, at: np.ndarray) -> tuple[bytes, np.ndarray]:
         """Bytes of the ids of many texts, and the n + 1 offsets of the texts in them."""

@@ -40,24 +40,60 @@ from cloakwork.llm.memory import map_arrow, map_pandas
 WINDOW_DOUBLINGS, MASK = 5, np.uint64(255 << 40)
 LEAST, MOST = 64, 2048
 MERKLE_FAN, NAME_BYTES = 256, 16
-#: A worker forgets words, and a task chunk names, beyond this many.
+#: A worker forgets pieces met in one slice alone, and a task chunk names, beyond this many.
 MOST_WORDS, MOST_NAMES = 400_000, 200_000
 SLICE_CHARS = 4_000_000
+#: Texts are encoded this many bytes at a time, and cut this many ids at a time (one text at least).
+SLICE_BYTES, CUT_IDS = 16_000_000, 500_000
+#: A text with more bytes is split in Python, and a worker forgets beyond so many, as Arrow's strings end at 2 GB.
+LONG_TEXT = 1 << 28
 #: So many new words go to the library as one text.
 JOINED = 500
 _GAP = re.compile(r"(?<=\S)(?= \S)")
+_SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: White space beside white space, or a space at either end.
-_ODD = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}|\A | \z"
+_ODD = rf"[{_SPACE}]{{2}}|\A | \z"
+#: Pieces that can stand beside others behind a space, or behind a line feed if _MARK begins them.
+_JOINS, _JOINS_LINES = rf"\A[^<\x{{e000}}{_SPACE}]+\z", rf"\A\x{{e000}}[^<\x{{e000}}{_SPACE}]+\z"
 _MARK = "\ue000"
+#: Signs that are cut off a part's end behind these letters and digits, which are letters and numbers in every version of
+#: Unicode. Without the apostrophe, which begins contractions, and ">", which ends an added token.
+_TAIL, _BEFORE_TAIL = '.,;:!?#$%&*|)]}"-', r"[0-9A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]\z"
+
+
+def _picked(flat: np.ndarray, starts: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of flat with these numbers, one after the other, and their n + 1 offsets."""
+    sizes = starts[where + 1] - starts[where]
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    return flat[np.repeat(starts[where] - ends[:-1], sizes) + np.arange(ends[-1])], ends
+
+
+def _without_tails(keys: pa.StringArray) -> tuple[pa.StringArray, pa.StringArray, np.ndarray]:
+    """Keys without the signs at their end, the keys of those signs, and which keys had any.
+
+    The pattern ends a run of letters or digits before such a sign, and a key ends before white space or with the text,
+    so what is cut off has the tokens that it has alone.
+    """
+    cut = pc.utf8_rtrim(keys, _TAIL)
+    sizes = pc.subtract(pc.binary_length(keys), pc.binary_length(cut)).to_numpy().astype(np.int64)
+    has = pc.and_(pa.array(sizes > 0), pc.match_substring_regex(cut, _BEFORE_TAIL))
+    had = has.to_numpy(zero_copy_only=False)
+    at = np.frombuffer(keys.buffers()[1], np.int32)[keys.offset : keys.offset + len(keys) + 1].astype(np.int64) if len(keys) else np.zeros(1, np.int64)
+    sizes = sizes[had]
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    body = np.frombuffer(keys.buffers()[2] or b"", np.uint8)[np.repeat(at[1:][had] - ends[1:], sizes) + np.arange(ends[-1])]
+    tails = pa.StringArray.from_buffers(len(sizes), pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(body.tobytes()))
+    return pc.if_else(has, cut, keys), pc.binary_join_element_wise(_MARK, tails, ""), had
 
 
 class Encoder:
-    """The tokenizers library behind a memory of words.
+    """The tokenizers library behind a memory of pieces.
 
-    A single space between two other characters always starts a token of the byte-level pattern, so the parts of a text
-    between such places can be encoded apart, and each different part once. A part's key is what follows its space;
-    _MARK stands before the key of a part without that space. New parts without other white space are put together
-    and encoded as one text: the tokens that begin with a space tell where each starts.
+    A single space between two other characters always starts a token of the byte-level pattern, and a single line feed
+    is one, so the parts of a text between such places can be encoded apart, without the signs at their end, and each
+    different piece once. A part's key is what follows its space; _MARK stands before the key of a part without that
+    space. New pieces without other white space are put together and encoded as one text: the tokens that begin with a
+    space, or the line feeds, tell where each starts.
     """
 
     def __init__(self, path: str):
@@ -68,11 +104,18 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.after_space = np.zeros(max(vocabulary.values()) + 1, bool)
         self.after_space[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
+        self.line_feed = vocabulary.get("\u010a", -1)
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.known = pa.array([], pa.string())  # keys in the order of their numbers
+        self.flat, self.starts, self.met = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+    def _forget_rare(self) -> None:
+        """Keep the pieces that were met again since the last time."""
+        keep = np.flatnonzero(self.met > 1)
+        self.flat, self.starts = _picked(self.flat, self.starts, keep)
+        self.known, self.met = self.known.take(pa.array(keep)), np.ones(len(keep), np.int32)
 
     @staticmethod
     def parts(text: str) -> list[str]:
@@ -84,42 +127,64 @@ class Encoder:
     def _batch(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, keys: list[str]) -> None:
-        plain, single = [], []
-        for k in keys:
-            (plain if k and " " not in k and k[0] != _MARK and "<|" not in k and k.strip() == k else single).append(k)
-        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
-        keys, flat, sizes = [], [], []
-        for group, got in zip(groups, self._batch([" " + " ".join(g) for g in groups])):
-            ids = np.array(got, np.int32)
-            at = np.flatnonzero(self.after_space[ids])
-            if len(at) == len(group):
-                keys += group
-                flat.append(ids)
-                sizes.append(np.diff(np.append(at, len(ids))))
-            else:
-                single += group
-        got = self._batch([k[1:] if k.startswith(_MARK) else " " + k for k in single])
-        counts = np.fromiter(map(len, got), np.int64, len(got))
-        flat.append(np.fromiter(chain.from_iterable(got), np.int32, int(counts.sum())))
-        self.known.update(zip(keys + single, range(len(self.known), len(self.known) + len(keys) + len(single))))
-        self.starts = np.concatenate((self.starts, np.cumsum(np.concatenate((*sizes, counts))) + self.starts[-1]))
-        self.flat = np.concatenate((self.flat, *flat))
+    def _learn(self, keys: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new keys from the library, flat, and the n + 1 offsets of the keys."""
+        order, flat, sizes, single = [], [], [], np.ones(len(keys), bool)
+        for pattern, sign in ((_JOINS, " "), (_JOINS_LINES, "\n")):
+            which = np.flatnonzero(pc.match_substring_regex(keys, pattern).to_numpy(zero_copy_only=False))
+            words = keys.take(pa.array(which))
+            at = np.append(np.arange(0, len(which), JOINED), len(which))
+            groups = pa.ListArray.from_arrays(pa.array(at, pa.int32()), words if sign == " " else pc.utf8_slice_codeunits(words, 1))
+            for k, text in enumerate(pc.binary_join(groups, sign).to_pylist()):
+                ids, own = np.array(self._batch([sign + text])[0], np.int32), which[at[k] : at[k + 1]]
+                first = self.after_space[ids] if sign == " " else ids == self.line_feed
+                begin = np.flatnonzero(first)
+                if len(begin) == len(own):
+                    order.append(own)
+                    flat.append(ids if sign == " " else ids[~first])
+                    sizes.append(np.diff(np.append(begin, len(ids))) - (sign != " "))
+                    single[own] = False
+        order.append(np.flatnonzero(single))
+        got = self._batch([k[1:] if k.startswith(_MARK) else " " + k for k in keys.filter(pa.array(single)).to_pylist()])
+        sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
+        flat.append(np.fromiter(chain.from_iterable(got), np.int32, int(sizes[-1].sum())))
+        back = np.empty(len(keys), np.int64)
+        back[np.concatenate(order)] = np.arange(len(keys))
+        return _picked(np.concatenate(flat), np.concatenate(([0], np.cumsum(np.concatenate(sizes)))), back)
+
+    def _ids_of(self, keys: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different keys, flat, and the n + 1 offsets of the keys."""
+        bases, tails, had = _without_tails(keys)
+        codes = pa.concat_arrays([bases, tails]).dictionary_encode()
+        pieces = codes.dictionary
+        place = pc.fill_null(pc.index_in(pieces, value_set=self.known), -1).to_numpy().astype(np.int64)
+        if len(new := np.flatnonzero(place < 0)):
+            place[new] = len(self.known) + np.arange(len(new))
+            fresh = pieces.take(pa.array(new))
+            ids, at = self._learn(fresh)
+            self.known = pa.concat_arrays([self.known, fresh])
+            self.flat, self.starts = np.concatenate((self.flat, ids)), np.concatenate((self.starts, self.starts[-1] + at[1:]))
+            self.met = np.append(self.met, np.zeros(len(new), np.int32))
+        self.met[place] += 1
+        place = place[codes.indices.to_numpy()]
+        upto = np.cumsum(1 + had)  # pieces of the keys so far
+        both = np.empty(len(place), np.int64)
+        both[upto - 1 - had], both[upto[had] - 1] = place[: len(keys)], place[len(keys) :]
+        ids, at = _picked(self.flat, self.starts, both)
+        return ids, at[np.concatenate(([0], upto))]
 
     def encode(self, texts: pa.StringArray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (null: empty), flat, each followed by end, and the n + 1 offsets of the texts."""
-        if len(self.known) > MOST_WORDS:
-            self.forget()
+        if len(self.known) > MOST_WORDS or self.known.nbytes > LONG_TEXT:
+            self._forget_rare()
         texts = pc.fill_null(texts, "")
-        odd = pc.or_(pc.match_substring_regex(texts, _ODD), pc.match_substring(texts, _MARK))
-        simple = pc.split_pattern(pc.binary_join_element_wise(_MARK, texts.filter(pc.invert(odd)), ""), " ")
+        odd = pc.or_(pc.match_substring_regex(texts, _ODD), pc.or_(pc.match_substring(texts, _MARK), pc.greater(pc.binary_length(texts), LONG_TEXT)))
+        lines = pc.replace_substring(texts.filter(pc.invert(odd)), "\n", f" {_MARK}\n {_MARK}")
+        simple = pc.split_pattern(pc.binary_join_element_wise(_MARK, lines, ""), " ")
         others = pa.array(map(self.parts, texts.filter(odd).to_pylist()), pa.list_(pa.string()))
         lists = pa.concat_arrays([simple, others])
         words = lists.flatten().dictionary_encode()
-        keys = words.dictionary.to_pylist()
-        if new := [k for k in keys if k not in self.known]:
-            self._learn(new)
-        place = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+        own, starts = self._ids_of(words.dictionary)
         counts = lists.value_lengths().to_numpy().astype(np.int64)
         begins = np.cumsum(counts) - counts
         odd = odd.to_numpy(zero_copy_only=False)
@@ -127,10 +192,10 @@ class Encoder:
         order[np.concatenate((np.flatnonzero(~odd), np.flatnonzero(odd)))] = np.arange(len(texts))
         counts, begins = counts[order], begins[order]
         last = np.cumsum(counts)
-        where = place[words.indices.to_numpy()][np.repeat(begins - (last - counts), counts) + np.arange(counts.sum())]
-        sizes = self.starts[where + 1] - self.starts[where]
-        ends = np.concatenate(([0], np.cumsum(sizes)))
-        ids = self.flat[np.repeat(self.starts[where] - ends[:-1], sizes) + np.arange(ends[-1])]
+        where = words.indices.to_numpy()
+        if odd.any():
+            where = where[np.repeat(begins - (last - counts), counts) + np.arange(counts.sum())]
+        ids, ends = _picked(own, starts, where)
         at = ends[np.concatenate(([0], last))]
         if end is not None:
             ids = np.insert(ids, at[1:], end)
@@ -210,6 +275,31 @@ _SCHEMAS = {
 }
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of SLICE_BYTES of text (one row at least), as more rows share more words."""
+
+    names = ["text", "doc_id", "source_row"]
+
+    def joined() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(k) for b in held]) for k in names], names=names)
+
+    held, size, turns = [], 0, 0
+    for batch in batches:
+        batch = pa.RecordBatch.from_arrays([batch.column("text").cast(pa.string()), *map(batch.column, names[1:])], names=names)
+        upto = size + np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64))
+        turn = np.flatnonzero(np.diff(upto // SLICE_BYTES, prepend=turns))
+        size = int(upto[-1]) if len(upto) else size
+        turns = size // SLICE_BYTES
+        for k, (a, b) in enumerate(pairwise([0, *turn.tolist(), batch.num_rows])):
+            if k and held:
+                yield joined()
+                held = []
+            if b > a:
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield joined()
+
+
 def _encode_task(tokenizer_path: str, end: int | None):
     fields = [("kind", pa.string()), ("digest", pa.binary()), ("body", pa.binary()), ("source_row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.binary()), ("sizes", pa.list_(pa.int32()))]
 
@@ -219,12 +309,11 @@ def _encode_task(tokenizer_path: str, end: int | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library, sent = encoder(tokenizer_path), set()
-        for batch in batches:
-            texts = batch.column("text").cast(pa.string())
-            chars = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy())
-            turn = np.flatnonzero(np.diff(chars // SLICE_CHARS)) + 1
+        for batch in _slices(batches):
+            every, at = library.encode(batch.column("text"), end)
+            turn = np.flatnonzero(np.diff(at[1:] // CUT_IDS)) + 1
             for a, b in pairwise([0, *turn.tolist(), batch.num_rows]):
-                ids, ends = library.encode(texts.slice(a, b - a), end)
+                ids, ends = every[at[a] : at[b]], at[a : b + 1] - at[a]
                 width, kind = (2, "<u2") if not len(ids) or int(ids.max()) < 65536 else (4, "<u4")
                 raw, head = ids.astype(kind).tobytes(), bytes((width,))
                 marks = cut_marks(ids)
