@@ -7,8 +7,9 @@ byte array and merged together: in every round each fragment joins its pairs of
 bytes have a heap over linked neighbours each, so that a word of any length takes n log n steps.
 
 Before that a text is split as the vocabulary's own rules have it: at special tokens, then by the pattern of words,
-numbers, other signs and white space. Where a space lies between two signs that aren't white space, both rules agree on a
-cut, so whole batches are split there first, by Arrow, and each different piece is worked out once (token_store.Encoder).
+numbers, other signs and white space. Where a single space or line feed lies between two signs that aren't white space, and
+before signs that end a word, both rules agree on a cut, so whole batches are split there first, by Arrow, and each
+different piece is worked out once (token_store.Encoder).
 
 Decoding looks every id's bytes up in one table and joins them; bytes that aren't UTF-8 become U+FFFD.
 
