@@ -44,7 +44,7 @@ MERKLE_FAN, NAME_BYTES = 256, 16
 MOST_WORDS, MOST_NAMES = 400_000, 200_000
 SLICE_CHARS = 4_000_000
 #: Texts are encoded this many bytes at a time, and cut this many ids at a time (one text at least).
-SLICE_BYTES, CUT_IDS = 16_000_000, 500_000
+SLICE_BYTES, CUT_IDS = 6_000_000, 500_000
 #: A text with more bytes is split in Python, and a worker forgets beyond so many, as Arrow's strings end at 2 GB.
 LONG_TEXT = 1 << 28
 #: So many new words go to the library as one text.
@@ -184,8 +184,9 @@ class Encoder:
         others = pa.array(map(self.parts, texts.filter(odd).to_pylist()), pa.list_(pa.string()))
         lists = pa.concat_arrays([simple, others])
         words = lists.flatten().dictionary_encode()
-        own, starts = self._ids_of(words.dictionary)
         counts = lists.value_lengths().to_numpy().astype(np.int64)
+        del lines, simple, others, lists  # several times the texts
+        own, starts = self._ids_of(words.dictionary)
         begins = np.cumsum(counts) - counts
         odd = odd.to_numpy(zero_copy_only=False)
         order = np.empty(len(texts), np.int64)  # where each text is in lists
